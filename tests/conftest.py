@@ -5,14 +5,16 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 
-from loomgraph.session import local_session  # noqa: E402
+from loomgraph.session import local_session, ship  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4)
+    session = local_session(4)
+    ship(session)
+    return session
 
 
 @pytest.fixture(scope="session")
