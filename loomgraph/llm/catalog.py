@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import groups, pieces
+from loomgraph.llm import chats, groups, mixing, pieces, tokens
 
-_MODULES = [groups, pieces]
+_MODULES = [groups, pieces, chats, tokens, mixing]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
