@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chats, groups, mixing, pieces, tokens
+from loomgraph.llm import chats, groups, mixing, neardups, pieces, tokens
 
-_MODULES = [groups, pieces, chats, tokens, mixing]
+_MODULES = [groups, pieces, chats, tokens, mixing, neardups]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
