@@ -107,8 +107,11 @@ def mixture(ll: np.ndarray, keep: list[int], rounds: int = 12) -> tuple[np.ndarr
     w, pi = np.exp(np.maximum(x - top, -200)), np.full(len(keep), 1 / len(keep))
     for _ in range(rounds):
         post = w * pi
-        pi = np.maximum((post / np.maximum(post.sum(1, keepdims=True), 1e-300)).mean(0), 1e-6)
+        post /= post.sum(axis=1, keepdims=True)  # the best language of a unit has w = 1, so no sum is 0
+        last, pi = pi, np.maximum(post.sum(axis=0) / len(w), 1e-6)
         pi /= pi.sum()
+        if np.abs(pi - last).max() < 1e-3:
+            break
     return pi, float((np.log(np.maximum((w * pi).sum(1), 1e-300)) + top[:, 0]).sum())
 
 
@@ -126,14 +129,13 @@ def language_set(ll: np.ndarray) -> list[int]:
         keep = [k for i, k in enumerate(keep) if i != int(gain.argmin())]
     if len(keep) == 1:
         return keep
-    _, whole = mixture(ll, keep)
+    pi, whole = mixture(ll, keep)
     while len(keep) > 1:
-        pi, _ = mixture(ll, keep)
         for i in np.argsort(pi):  # the rarest that may go
             rest = [k for k in keep if k != keep[i]]
-            _, less = mixture(ll, rest)
+            of_rest, less = mixture(ll, rest)
             if whole - less < LANGUAGE_COST:
-                keep, whole = rest, less
+                keep, pi, whole = rest, of_rest, less
                 break
         else:
             break
