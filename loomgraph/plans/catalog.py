@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import topics
+from loomgraph.plans import graph, retrieval, topics
 
-FLAGSHIP = "p1_found"
-_MODULES = [topics]
+FLAGSHIP = "rrf_hybrid"
+_MODULES = [topics, graph, retrieval]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
