@@ -20,7 +20,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector is all zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:

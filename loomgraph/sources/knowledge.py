@@ -99,7 +99,8 @@ _S = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 
 
 def slug_sql(c: str) -> str:
-    return f"coalesce(nullif(left(regexp_replace(regexp_replace(lower(trim({c})), '{_S}+', '_', 'g'), '[^a-z0-9_]', '', 'g'), 128), ''), '_')"
+    kept = f"left(regexp_replace(regexp_replace(lower(trim({c})), '{_S}+', '_', 'g'), '[^a-z0-9_]', '', 'g'), 128)"
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {kept} = '' THEN '_' ELSE {kept} END"
 
 
 def squeeze_sql(c: str) -> str:
