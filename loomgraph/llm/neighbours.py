@@ -216,7 +216,7 @@ def _assigned(vectors: DataFrame, shard: int, probes: int) -> DataFrame:
     if not large.limit(1).count():
         return keyed.select(F.col("g").alias("shard"), "id", "v", F.lit(True).alias("home"))
 
-    def fit(key, t: pa.Table) -> pa.Table:
+    def fit(key, t):
         x = unit(np.stack(t["v"].to_pylist()).astype(np.float32))
         c = x[: int(t["cells"][0].as_py())].copy()
         for _ in range(5):
@@ -224,7 +224,7 @@ def _assigned(vectors: DataFrame, shard: int, probes: int) -> DataFrame:
             for i in np.unique(at):
                 c[i] = x[at == i].mean(axis=0)
             c = unit(np.where(np.abs(c).sum(1, keepdims=True) > 0, c, 1).astype(np.float32))
-        return pa.table({"g": [key[0].as_py()] * len(c), "cell": np.arange(len(c)), "c": list(c)})
+        return pa.table({"g": [key[0].as_py()] * len(c), "cell": np.arange(len(c)), "c": pa.array(list(c), pa.list_(pa.float32()))})
 
     rank = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     joined = keyed.join(F.broadcast(large), "g")
