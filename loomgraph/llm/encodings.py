@@ -77,7 +77,6 @@ class Restorer:
         for texts in samples.values():
             words = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers.append(zstandard.ZstdCompressor(level=6, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
-        self.any = re.compile("|".join(c.pattern.pattern for c in self.codecs))
         self.odd = re.compile("[^\x00-\x7f]")
 
     def cost(self, c: str) -> float:
@@ -95,12 +94,12 @@ class Restorer:
     def restore(self, text: str) -> str:
         """``text`` with what was misread put right, or ``text`` itself."""
         for _ in range(ROUNDS):
-            if not self.any.search(text):
+            tried = {text}
+            changed = [once for c in self.codecs if (once := c.repair(text)) != text]
+            if not changed:
                 return text
             best, least = text, self.length(text)
-            tried = {text}
-            for first in self.codecs:
-                once = first.repair(text)
+            for once in changed:
                 if once in tried:
                     continue
                 tried.add(once)
@@ -149,7 +148,8 @@ def restore_texts(df: DataFrame, samples: DataFrame, key: str = "doc_id", text:
             fixed = [verdicts[i][1] for i in hit]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array(fixed, pa.string()), pa.array([f is None for f in fixed], pa.bool_())], names=["k", "fixed", "lost"])
 
-    suspects = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    # A misread character is at least two characters outside ASCII in a row.
+    suspects = df.filter(F.col(text).rlike(r"[^\x00-\x7f]{2}|\x{FFFD}")).select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = df.schema[key].dataType.simpleString()
     return suspects.mapInArrow(run, f"k {kind}, fixed string, lost boolean").select(F.col("k").alias(key), "fixed", "lost")
 
