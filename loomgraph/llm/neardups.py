@@ -32,6 +32,8 @@ from loomgraph.session import cut
 SEGMENTS, WIDTH = 9, 6
 PLACES = SEGMENTS * WIDTH
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 20, 0.70
+#: Bytes of index entries that a bucket holds on average.
+BUCKET_BYTES = 32 << 20
 #: Documents of one key in one task beyond which the key is dealt in blocks of this size.
 BLOCK = 512
 #: Copies of one text (or file) whose pairs are all listed; copies beyond are listed with their class's smallest id.
@@ -247,9 +249,10 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshol
     are compared whole; an empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = cut(_signed(df, key, text))
     reps = cut(signed.groupBy("seq").agg(F.min(F.struct("doc", "id", "h", "sig")).alias("m")).select("seq", "m.*"))
+    # Buckets grow with the texts, so that none outgrows a task.
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * PLACES * _ENTRY.itemsize // BUCKET_BYTES + 1)
     members = signed.select("seq", "id").distinct().join(reps.select("seq", F.col("doc").alias("class")), "seq").select("class", "id")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
