@@ -54,15 +54,17 @@ def part_of_links(clusters: DataFrame, existing: DataFrame, keys: list[str]) ->
     return new.join(existing.filter(F.col("rel") == "PART_OF").select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti")
 
 
-def resolve(new: DataFrame, known: DataFrame, least: float, keys: list[str], metric: str = "cosine") -> DataFrame:
+def resolve(new: DataFrame, known: DataFrame, least: float, keys: list[str], metric: str = "cosine", others: bool = False) -> DataFrame:
     """(keys, id, resolved, merged): each new record is the nearest known one of its key if that is near enough.
 
-    Records of one batch don't see each other.  A best match that is the record itself counts
-    as not merged.
+    Records of one batch don't see each other, unless they are among the known.  A best match
+    that is the record itself counts as not merged; with ``others`` it is no candidate, so the
+    nearest other record is taken.
     """
     n, k = new.select(*keys, "id", F.col("v").alias("nv")), known.select(*keys, F.col("id").alias("kid"), F.col("v").alias("kv"))
     s = F.round(similarity(F.col("nv"), F.col("kv"), metric), 9)
-    best = n.join(k, keys).groupBy(*keys, "id").agg(F.max_by("kid", F.struct(s.alias("s"), F.col("kid"))).alias("kid"), F.max(s).alias("s"))
+    pairs = n.join(k, keys).filter(F.col("kid") != F.col("id")) if others else n.join(k, keys)
+    best = pairs.groupBy(*keys, "id").agg(F.max_by("kid", F.struct(s.alias("s"), F.col("kid"))).alias("kid"), F.max(s).alias("s"))
     hit = F.coalesce((F.col("s") >= least) & (F.col("kid") != F.col("id")), F.lit(False))
     return n.select(*keys, "id").join(best, [*keys, "id"], "left").select(*keys, "id", F.when(hit, F.col("kid")).otherwise(F.col("id")).alias("resolved"), hit.alias("merged"))
 

@@ -67,8 +67,8 @@ def cluster_topics_part_of(spark, d):
   b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label, id ORDER BY s DESC, kid DESC) = 1)
   SELECT e.label, e.id, CASE WHEN b.s >= 0.3 THEN kid ELSE e.id END AS resolved, coalesce(b.s >= 0.3, false) AS merged FROM e LEFT JOIN b USING (label, id) WHERE e.id % 5 = 0""")
 def resolve_entities(spark, d):
-    v = _vectors(spark, d)  # every fifth record arrives anew and is resolved against the others
-    return C.resolve(v.filter(F.col("id") % 5 == 0), v.filter(F.col("id") % 5 != 0), 0.3, ["label"])
+    v = _vectors(spark, d)  # every record is resolved against all others of its label
+    return C.resolve(v, v, 0.3, ["label"], others=True)
 
 
 @_query("consolidation_due", "SELECT universe_id, count(*) AS documents FROM files WHERE ingested_at > 1735689600000 GROUP BY universe_id HAVING count(*) >= 10")

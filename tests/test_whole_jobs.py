@@ -57,3 +57,16 @@ def test_hybrid_pairs_every_text_with_every_asked_vector(spark, con):
             order = sorted(score, key=lambda i: (-round(score[i], 12), first[i], i))[:10]
             want |= {(q, v, i, r + 1) for r, i in enumerate(order)}
     assert {(r.qid, r.vid, r.id, r.rank) for r in catalog.QUERIES["rrf_hybrid"](spark, SF_DIR).collect()} == want
+
+
+def test_every_record_is_resolved_against_all_others(spark, con):
+    rows = con.sql("SELECT vec_id, embedding, label FROM embeddings ORDER BY vec_id").fetchall()
+    x = np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 9)
+    want = {}
+    for a, (i, _, label) in enumerate(rows):
+        near = [(s[a, b], j) for b, (j, _, other) in enumerate(rows) if other == label and j != i]
+        merged = bool(near) and max(near)[0] >= 0.3
+        want[i] = (label, max(near)[1] if merged else i, merged)
+    assert {r.id: (r.label, r.resolved, r.merged) for r in catalog.QUERIES["resolve_entities"](spark, SF_DIR).collect()} == want
