@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import both_ways, top_rows
-from loomgraph.operators.vectors import cosine
+from loomgraph.operators.search import bm25
+from loomgraph.operators.vectors import cosine, knn
 
 RRF_K = 60
 #: Weight of a relation in expansion; others count 0.3.
@@ -48,3 +49,20 @@ def best_sources(hits: DataFrame, keys: list[str], limit: int = 40) -> DataFrame
     """One row for each source, its highest score, and of those the ``limit`` best of each key (earlier ones first)."""
     one = hits.groupBy(*keys, "source_id").agg(F.max("score").alias("score"), F.min("seq").alias("seq"))
     return one.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "seq", "source_id"))).filter(F.col("rank") <= limit)
+
+
+def linked_references(refs: DataFrame, docs: DataFrame, records: DataFrame, threshold: float, top: int = 3) -> DataFrame:
+    """(universe_id, document, ref, id, score): the document of its universe that each reference most likely means.
+
+    ``refs`` has universe_id, document, ref and its vector qv; ``docs`` universe_id, id, title,
+    text and kind; ``records`` universe_id, id and v.  The ``top`` best by full text and by
+    vectors are fused by rank, the document itself is dropped, and the best of the rest is
+    kept if it scores at least ``threshold``.
+    """
+    asked = refs.groupBy("universe_id", F.col("ref").alias("qid")).agg(F.first("qv").alias("qv"))
+    fts = bm25(docs, asked.select("qid", F.col("qid").alias("query")).distinct(), top, group="universe_id").join(asked.drop("qv"), ["universe_id", "qid"], "left_semi")
+    vec = knn(records, asked, top, keys=["universe_id"])
+    found = rrf([fts, vec], ["universe_id", "qid"], 2 * top).withColumnRenamed("qid", "ref")
+    met = refs.select("universe_id", "document", "ref").distinct().join(found, ["universe_id", "ref"]).filter("id <> document")
+    best = top_rows(met, ["universe_id", "document", "ref"], [F.col("rank")], 1, "place")
+    return best.filter(F.col("score") >= threshold).select("universe_id", "document", "ref", "id", "score")

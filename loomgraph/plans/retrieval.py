@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.engine import hashed_embedding
 from loomgraph.operators import graph as G
-from loomgraph.operators.ranking import best_sources, expand, rrf
+from loomgraph.operators.ranking import best_sources, expand, linked_references, rrf
 from loomgraph.operators.search import bm25, match_expression
 from loomgraph.operators.vectors import knn, running_mean, sample_diverse, sample_recent
 from loomgraph.session import table
-from loomgraph.sources.knowledge import GRAPH_SQL, edges, nodes
+from loomgraph.sources.knowledge import GRAPH_SQL, edges, latest_vectors, nodes
 
 #: The queries asked, a stated small set.
 ASKED = ["harbour survey of the northern warehouse", "indexing run: pottery (kiln)", "grading timber harvest", "relation between alloys and fatigue", "the archive structure of cards cards"]
@@ -150,9 +151,17 @@ def rrf_cross_universe(spark, d):
   x AS (SELECT qid, id, round(sum(s * times), 6) AS score FROM s JOIN q USING (term) GROUP BY ALL)
   SELECT qid AS ref, id, round(1.0::DOUBLE / 61, 12) AS score FROM x QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1""")
 def link_references(spark, d):
-    refs = table(spark, d, "chats").select(F.trim("title").alias("qid")).filter(F.length("qid") >= 4).distinct().withColumn("query", F.col("qid"))
-    docs = _docs(spark, d).withColumn("text", F.lit(""))
-    return rrf([bm25(docs, refs, 3)], ["qid"], 1).select(F.col("qid").alias("ref"), "id", "score")
+    """Chats stand for the documents that refer, their titles for the references; files have a text or a summary."""
+    refs = table(spark, d, "chats").select("universe_id", F.col("id").alias("document"), F.trim("title").alias("ref")).filter(F.length("ref") >= 4).distinct()
+    vectors = refs.select("ref").distinct().withColumn("qv", F.udf(hashed_embedding, "array<double>", useArrow=True)("ref"))
+    v = F.col("vector")
+    ok = (F.size(v) == 64) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
+    newest = F.max(F.struct("created_at", F.col("id").alias("record"), "title", "text", "vector")).alias("m")
+    summaries = latest_vectors(spark, d, "doc_summary").groupBy("universe_id", F.col("source_id").alias("id")).agg(newest).select("universe_id", "id", "m.title", "m.text", "m.vector")
+    texts = table(spark, d, "documents").select("universe_id", F.concat(F.lit("doc:"), "file_id").alias("id"), "title", "text")
+    bare = summaries.join(texts, ["universe_id", "id"], "left_anti").select("universe_id", "id", "title", "text")
+    docs = texts.unionByName(bare).withColumn("kind", F.lit("doc_summary"))
+    return linked_references(refs.join(vectors, "ref"), docs, summaries.filter(ok).select("universe_id", "id", v.alias("v")), 0.0)
 
 
 @_query("record_sources_topn", """SELECT user_id, source_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, seq, source_id) AS rank FROM

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from loomgraph.operators.ranking import linked_references
 from loomgraph.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -70,3 +71,23 @@ def test_every_record_is_resolved_against_all_others(spark, con):
         merged = bool(near) and max(near)[0] >= 0.3
         want[i] = (label, max(near)[1] if merged else i, merged)
     assert {r.id: (r.label, r.resolved, r.merged) for r in catalog.QUERIES["resolve_entities"](spark, SF_DIR).collect()} == want
+
+
+def test_references_by_text_and_vectors_without_the_document_itself(spark):
+    docs = spark.createDataFrame([
+        ("u", "doc:a", "Alpha", "the kiln manual", "k"), ("u", "doc:b", "Beta", "other words", "k"), ("u", "doc:c", "Gamma", "more words", "k"),
+        ("w", "doc:z", "Kiln manual", "kiln manual", "k"), ("w", "doc:y", "Yes", "no words", "k"), ("w", "doc:x", "Xenon", "nothing", "k"),
+    ], "universe_id string, id string, title string, text string, kind string")
+    records = spark.createDataFrame([("u", "doc:a", [1.0, 0.0]), ("u", "doc:b", [0.9, 0.1]), ("w", "doc:z", [1.0, 0.0])], "universe_id string, id string, v array<double>")
+    refs = spark.createDataFrame([("u", "doc:c", "kiln manual", [1.0, 0.0]), ("u", "doc:a", "kiln manual", [1.0, 0.0]), ("u", "doc:b", "absent", [0.0, 1.0])], "universe_id string, document string, ref string, qv array<double>")
+    both = round(2 / 61, 12)  # first by the body's words and first by vectors
+    got = {(r.document, r.ref): (r.universe_id, r.id, r.score) for r in linked_references(refs, docs, records, 0.0).collect()}
+    assert got == {("doc:c", "kiln manual"): ("u", "doc:a", both), ("doc:a", "kiln manual"): ("u", "doc:b", round(1 / 62, 12)), ("doc:b", "absent"): ("u", "doc:a", round(1 / 62, 12))}
+    assert [r.document for r in linked_references(refs, docs, records, 0.03).collect()] == ["doc:c"]
+
+
+def test_references_reach_bodies_and_summaries(spark, con):
+    got = catalog.QUERIES["link_references"](spark, SF_DIR).collect()
+    assert len({(r.universe_id, r.document, r.ref) for r in got}) == len(got)
+    have = {r[0] for r in con.sql("SELECT DISTINCT source_id FROM vector_records WHERE kind = 'doc_summary'").fetchall()}
+    assert {r.id in have for r in got} == {True, False} and len({r.score for r in got}) > 1
