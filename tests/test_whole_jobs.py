@@ -1,8 +1,11 @@
 """Queries do the whole job: results against brute force that shares no cut with them."""
 
+import random
+
 import numpy as np
 import pytest
 
+from loomgraph.llm.chats import reply_links
 from loomgraph.operators.ranking import linked_references
 from loomgraph.plans import catalog
 
@@ -91,3 +94,22 @@ def test_references_reach_bodies_and_summaries(spark, con):
     assert len({(r.universe_id, r.document, r.ref) for r in got}) == len(got)
     have = {r[0] for r in con.sql("SELECT DISTINCT source_id FROM vector_records WHERE kind = 'doc_summary'").fetchall()}
     assert {r.id in have for r in got} == {True, False} and len({r.score for r in got}) > 1
+
+
+def test_parents_are_the_best_of_all_messages_before(spark):
+    rng = random.Random(5)
+    rows = []
+    for turn in range(1, 71):
+        words = rng.sample(["kiln", "ferry", "glaze", "harbour", "orchard", "survey", "timber"], 3)
+        if turn > 6 and turn % 3:
+            words += [f"m{max(1, turn - rng.randrange(5, 25)):03d}"]
+        rows.append((f"m{turn:03d}", "c", rng.choice(["user", "assistant", "tool"]), " ".join(words), turn * 200_000, turn))
+    got = {r.id: r.parent for r in reply_links(spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at long, turn long")).collect()}
+    fits = {("assistant", "user"), ("assistant", "tool"), ("tool", "user"), ("tool", "assistant"), ("user", "assistant"), ("user", "system")}
+
+    def score(a, b):
+        wa, wb = set(a[3].split()), set(b[3].split())
+        return 1 / (1 + (a[4] - b[4]) / 60_000) + len(wa & wb) / len(wa) + ((a[2], b[2]) in fits) + 2 * (b[0] in a[3]) - 0.25 * (a[5] - b[5] - 1)
+
+    want = {a[0]: max(rows[:i], key=lambda b, a=a: (score(a, b), b[5]), default=(None,))[0] for i, a in enumerate(rows)}
+    assert got == want and any(w and int(i[1:]) - int(w[1:]) > 4 for i, w in want.items())
