@@ -61,10 +61,10 @@ class Engine:
         recs = self._vectors(*(kinds or []))
         near = recs.filter(F.col("domain") == domain) if domain else recs
         q = self.spark.createDataFrame([(0, self.embed(query), query)], "qid int, qv array<double>, query string")
-        vec = knn(near.select("universe_id", F.col("source_id").alias("id"), F.col("vector").alias("v")), q.select("qid", "qv"), 2 * top_k).drop("qid")
         ids = recs.select("universe_id", F.col("source_id").alias("id")).distinct()
-        vec = ids.join(vec.select("id", "score"), "id")
-        vec = G.top_rows(vec, ["universe_id"], [F.desc("score"), F.col("id")], 2 * top_k)
+        asked = ids.select("universe_id").distinct().crossJoin(F.broadcast(q.select("qid", "qv")))
+        one = near.groupBy("universe_id", F.col("source_id").alias("id")).agg(F.max_by("vector", F.struct("created_at", "id")).alias("v"))
+        vec = knn(one, asked, 2 * top_k, keys=["universe_id"])
         fts = bm25(recs.select("universe_id", F.col("source_id").alias("id"), "title", "text", "kind"), q.select("qid", "query"), 2 * top_k, group="universe_id")
         fused = rrf([vec.select("universe_id", "id", "rank"), fts.select("universe_id", "id", "rank")], ["universe_id"], 2 * top_k)
         if expand_via_graph:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from loomgraph.engine import Engine, hashed_embedding
 from loomgraph.llm.chats import reply_links
 from loomgraph.operators.ranking import linked_references
 from loomgraph.plans import catalog
@@ -113,3 +114,12 @@ def test_parents_are_the_best_of_all_messages_before(spark):
 
     want = {a[0]: max(rows[:i], key=lambda b, a=a: (score(a, b), b[5]), default=(None,))[0] for i, a in enumerate(rows)}
     assert got == want and any(w and int(i[1:]) - int(w[1:]) > 4 for i, w in want.items())
+
+
+def test_every_universe_has_its_own_vector_list(spark, tmp_path):
+    near, far = hashed_embedding("kiln glaze"), hashed_embedding("kiln")
+    rows = [(f"v{u}{i}", "topic", f"{u}{i}", u, "other", "other", near if u == "big" else far, None, None, None, f"{u}{i}", None, 1) for u, n in (("big", 40), ("small", 3)) for i in range(n)]
+    schema = "id string, kind string, source_id string, universe_id string, title string, text string, vector array<float>, keywords array<string>, domain string, topics array<string>, graph_node_id string, file_id string, created_at long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "vector_records.parquet"))
+    got = Engine(spark, str(tmp_path)).vector_search("kiln glaze", ["topic"], 4).orderBy("rank").collect()
+    assert [(r.universe_id, r.id) for r in got] == [("big", "big0"), ("small", "small0"), ("big", "big1"), ("small", "small1")]
