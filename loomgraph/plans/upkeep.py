@@ -124,7 +124,8 @@ def chunk_documents(spark, d):
   range(0, 200) t(p) WHERE p * 2000 < end_offset AND (p + 1) * 2000 > start_offset GROUP BY ALL""")
 def page_range_overlap(spark, d):
     c = table(spark, d, "chunks").filter("end_offset > start_offset AND start_offset >= 0").select("file_id", "start_offset", "end_offset").distinct()
-    pages = c.select("file_id").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(199)))).select("file_id", (F.col("n") + 1).alias("page"), (F.col("n") * 2000).alias("p_start"), ((F.col("n") + 1) * 2000).alias("p_end"))
+    last = c.groupBy("file_id").agg(F.max("end_offset").alias("last"))
+    pages = last.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / 2000)))).select("file_id", (F.col("n") + 1).alias("page"), (F.col("n") * 2000).alias("p_start"), ((F.col("n") + 1) * 2000).alias("p_end"))
     return chunking.page_ranges(c, pages, ["file_id"]).withColumn("page_start", F.col("page_start").cast("long")).withColumn("page_end", F.col("page_end").cast("long"))
 
 

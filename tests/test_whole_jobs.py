@@ -123,3 +123,10 @@ def test_every_universe_has_its_own_vector_list(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "vector_records.parquet"))
     got = Engine(spark, str(tmp_path)).vector_search("kiln glaze", ["topic"], 4).orderBy("rank").collect()
     assert [(r.universe_id, r.id) for r in got] == [("big", "big0"), ("small", "small0"), ("big", "big1"), ("small", "small1")]
+
+
+def test_pages_of_files_of_any_length(spark, tmp_path):
+    rows = [("f", 398_500, 404_001), ("f", 500_000, 502_000), ("g", 0, 2_000), ("g", 1_999, 2_001)]
+    spark.createDataFrame(rows, "file_id string, start_offset long, end_offset long").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {(r.file_id, r.start_offset): (r.page_start, r.page_end) for r in catalog.QUERIES["page_range_overlap"](spark, str(tmp_path)).collect()}
+    assert got == {("f", 398_500): (200, 203), ("f", 500_000): (251, 251), ("g", 0): (1, 1), ("g", 1_999): (1, 2)}
