@@ -24,8 +24,10 @@ from loomgraph.session import cut
 
 #: Edges of a node, width of the beam, nodes opened at once, factor of the pruning.
 DEGREE, BEAM, OPEN, ALPHA = 24, 48, 4, 1.2
-#: Vectors of a batch, most vectors of a shard, cells that a vector is looked for in, most cells of a group.
+#: Vectors of a batch, most vectors of a shard, least cells that a vector is looked for in, most cells of a group.
 BATCH, SHARD, PROBES, MAX_CELLS = 2_048, 16_384, 4, 1_024
+#: Share of a group's cells that a vector is looked for in.
+PROBED = 2 / 3
 #: Vectors for each cell in the sample on which centroids are fitted.
 SAMPLE_PER_CELL = 8
 
@@ -206,7 +208,7 @@ def usable_vectors(records: DataFrame, dim: int) -> DataFrame:
     return latest.filter(F.coalesce(whole, F.lit(False))).select("m.universe_id", "m.kind", "id", "m.v")
 
 
-def _assigned(vectors: DataFrame, shard: int, probes: int) -> DataFrame:
+def _assigned(vectors: DataFrame, shard: int, probes: int | None) -> DataFrame:
     """Rows (shard string, id, v, home boolean), one for each shard in which a vector is kept or looked for."""
     group = F.to_json(F.array(F.coalesce("universe_id", F.lit("")), F.col("universe_id").isNull().cast("string"), F.coalesce("kind", F.lit("")), F.col("kind").isNull().cast("string")))
     keyed = cut(vectors.select(group.alias("g"), "id", "v"))
@@ -242,7 +244,7 @@ def _assigned(vectors: DataFrame, shard: int, probes: int) -> DataFrame:
             for name in set(g):
                 rows = np.array([i for i, y in enumerate(g) if y == name])
                 c = sent.value[name]
-                at, _ = top_columns(unit(x[rows]) @ c.T, probes)
+                at, _ = top_columns(unit(x[rows]) @ c.T, probes or max(PROBES, int(np.ceil(PROBED * len(c)))))
                 who.append(np.repeat(rows, at.shape[1]))
                 cell.append(at.ravel())
                 home.append(np.tile(np.arange(at.shape[1]) == 0, len(rows)))
@@ -260,11 +262,12 @@ def _assigned(vectors: DataFrame, shard: int, probes: int) -> DataFrame:
     return small.unionByName(spread)
 
 
-def nearest_records(records: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, shard: int = SHARD, probes: int = PROBES, batch: int = BATCH) -> DataFrame:
+def nearest_records(records: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, shard: int = SHARD, probes: int | None = None, batch: int = BATCH) -> DataFrame:
     """(``id``, ``other_id``, ``rank`` int, ``similarity`` double): the k nearest of every usable vector.
 
     Only records of the same universe_id and kind are compared, by cosine.  ``least`` is the
-    lowest similarity of interest.  Equal similarities rank by id.
+    lowest similarity of interest.  Equal similarities rank by id.  Without ``probes`` the cells
+    looked in follow the number of cells.
 
     Defined cases: rows without id are ignored; of the rows of an id the latest counts (equal
     times: the greatest in (universe, kind, vector)), and if its vector is null, of another

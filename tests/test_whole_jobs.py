@@ -7,6 +7,7 @@ import pytest
 
 from loomgraph.engine import Engine, hashed_embedding
 from loomgraph.llm.chats import reply_links
+from loomgraph.llm.neighbours import nearest_records
 from loomgraph.operators.ranking import linked_references
 from loomgraph.plans import catalog
 
@@ -130,3 +131,16 @@ def test_pages_of_files_of_any_length(spark, tmp_path):
     spark.createDataFrame(rows, "file_id string, start_offset long, end_offset long").write.parquet(str(tmp_path / "chunks.parquet"))
     got = {(r.file_id, r.start_offset): (r.page_start, r.page_end) for r in catalog.QUERIES["page_range_overlap"](spark, str(tmp_path)).collect()}
     assert got == {("f", 398_500): (200, 203), ("f", 500_000): (251, 251), ("g", 0): (1, 1), ("g", 1_999): (1, 2)}
+
+
+def test_recall_of_a_group_of_thirteen_cells(spark):
+    centres = np.random.default_rng(3).normal(size=(40, 64))
+    rng = np.random.default_rng(4)
+    x = (centres[rng.integers(0, 40, 1_000)] + 1.5 * rng.normal(size=(1_000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", 1, "u", "k", v.tolist()) for i, v in enumerate(x)], "id string, created_at long, universe_id string, kind string, vector array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
+    found = {p: {(r.id, r.other_id) for r in nearest_records(df, shard=154, probes=p).collect()} for p in (None, 4)}
+    assert len(found[None] & want) / len(want) >= 0.9 > len(found[4] & want) / len(want)
