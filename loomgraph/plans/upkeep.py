@@ -106,12 +106,14 @@ def topic_is_part_of(spark, d):
   c AS (SELECT DISTINCT doc_id AS chunk, file_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g') || ' ' AS t FROM documents)
   SELECT chunk, n.id, sum(len(string_split(t, ' ' || s || ' ')) - 1)::BIGINT AS count FROM c JOIN n USING (file_id) GROUP BY ALL HAVING sum(len(string_split(t, ' ' || s || ' ')) - 1) > 0""")
 def mention_counts(spark, d):
-    """Whole-word mentions of a document's entities in its text; only entities and texts of one file meet."""
-    name = F.trim("name")
-    n = table(spark, d, "entities").filter((F.length(name) >= 3) & F.col("document_id").isNotNull() & name.rlike(r"^[\p{L}\p{N} ]+$"))
-    n = n.select(F.expr("substring(document_id, 5)").alias("file_id"), F.col("id"), F.lower(name).alias("s")).distinct()
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), "file_id", F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", " "), F.lit(" ")).alias("t")).distinct()
-    times = F.size(F.split(F.col("t"), F.concat(F.lit(r"\Q "), F.col("s"), F.lit(r" \E")))) - 1
+    """Whole-word mentions of a document's entities, by name or alias, in its text or chunks; only entities and texts of one file meet."""
+    n = table(spark, d, "entities").filter(F.col("document_id").isNotNull())
+    surfaces = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    n = n.select(F.expr("substring(document_id, 5)").alias("file_id"), "id", surfaces.alias("s")).withColumn("s", F.lower(F.trim("s"))).filter(F.length("s") >= 3).distinct()
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk"), "file_id", "text")
+    c = texts.unionByName(table(spark, d, "chunks").select(F.col("id").alias("chunk"), "file_id", "text")).distinct()
+    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("s"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    times = F.regexp_count("text", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
     return c.join(n, "file_id").groupBy("chunk", "id").agg(F.sum(times).cast("long").alias("count")).filter("count > 0")
 
 

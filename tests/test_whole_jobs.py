@@ -144,3 +144,12 @@ def test_recall_of_a_group_of_thirteen_cells(spark):
     want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
     found = {p: {(r.id, r.other_id) for r in nearest_records(df, shard=154, probes=p).collect()} for p in (None, 4)}
     assert len(found[None] & want) / len(want) >= 0.9 > len(found[4] & want) / len(want)
+
+
+def test_mentions_of_names_and_aliases_in_texts_and_chunks(spark, tmp_path):
+    entities = [("e1", "Acme-Works", ["AW Ltd.", "ab", "acme-works"], "doc:f"), ("e2", "Kiln", None, "doc:g"), ("e3", r"C\E+", [], "doc:g")]
+    spark.createDataFrame(entities, "id string, name string, aliases array<string>, document_id string").write.parquet(str(tmp_path / "entities.parquet"))
+    spark.createDataFrame([(7, "g", r"kiln, KILN; kilns my_kiln c\e+")], "doc_id long, file_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("k0", "f", "ACME-Works and aw ltd. ab"), ("k1", "f", "kiln")], "id string, file_id string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {(r.chunk, r.id, r["count"]) for r in catalog.QUERIES["mention_counts"](spark, str(tmp_path)).collect()}
+    assert got == {("7", "e2", 2), ("7", "e3", 1), ("k0", "e1", 2)}
