@@ -171,4 +171,4 @@ class Engine:
         if self.notes is not None:
             stored = stored.unionByName(self.notes.select("universe_id", "id", "v", "content", "kind"))
         q = self.spark.createDataFrame([(0, self.embed(query))], "qid int, qv array<double>")
-        return knn(stored, q, self._range("top_k", top_k, 1, 20)).join(stored.select("id", "content", "kind"), "id").select("id", "content", "kind", "score", "rank")
+        return knn(stored, q, self._range("top_k", top_k, 1, 20)).join(stored.select("id", "content", "kind"), "id").select("id", "content", "kind", "score", "rank").orderBy("rank")
