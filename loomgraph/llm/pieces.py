@@ -1,40 +1,47 @@
 """Splitting oversized texts at natural boundaries, by ranges.
 
-A text, or a file, is handled in ranges with halos.  For a range a worker finds the
-boundaries and from them a table: for every character at which a piece may enter the range,
-where the chain of pieces leaves it and after how many pieces.  The tables of one text are
-stitched in order (each a look-up), which gives every range its true entry and, by a prefix
-sum of the counts, its first piece number.  Workers then emit the pieces of their ranges by
-offset.  A text of a single range needs no stitching and is cut where it is read.
+A text, or a file, is handled in ranges with halos.  From a range and its halo a worker makes
+a boundary table, in positions relative to the range: runs of starts with the end of the
+piece that begins there, and for every start at which a piece may enter the range, where the
+chain of pieces enters the next range and after how many pieces.  Both are runs of equal
+values, so a table is far smaller than its text, and from here on no text is moved.
+
+The tables of consecutive ranges are composed in blocks of BLOCK_RANGES, the blocks of one
+text are stitched in order (each a look-up, with prefix sums of lengths and piece counts),
+and the blocks then emit their pieces by offset, each on its own.  A text of one range takes
+the same way.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import lookup_join
+from loomgraph.session import cut
+
 MAX_CHARS = 3_500
 OVERLAP = 300
-#: Characters that one worker looks at together.
-RANGE_CHARS = 262_144
+#: Characters of a range of a text, bytes of a range of a file, ranges that are composed to a block.
+RANGE_CHARS, RANGE_BYTES, BLOCK_RANGES = 8_192, 1 << 20, 64
 
-_STRONG = re.compile(r"(?<=\n\n)|(?<=\n)")
+_TABLE = "d string, blk long, no long, size long, stop long, r_at array<int>, r_end array<long>, h_at array<int>, h_next array<long>, h_count array<long>"
 
 
 def unify_newlines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
-def boundaries(text: str, before: str = "") -> list[np.ndarray]:
-    """Positions in ``text`` right after two LF, one LF, a sentence end, and a space, in four arrays.
+def last_boundaries(text: str, before: str) -> list[np.ndarray]:
+    """For positions 0 .. len(text) the last boundary at or before them, or -1, for each rank.
 
-    ``before`` holds the two characters ahead of ``text`` (fewer at the start of the whole).
-    A position equal to ``len(text)`` is included, position 0 is not.
+    The ranks are: right after two LF, one LF, a sentence end, a space.  ``before`` holds the
+    two characters ahead of ``text`` (fewer at the start of the whole); 0 is no boundary.
     """
     k = len(before)
     codes = np.frombuffer((before + text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -44,94 +51,134 @@ def boundaries(text: str, before: str = "") -> list[np.ndarray]:
     stop = (codes == ord(".")) | (codes == ord("!")) | (codes == ord("?"))
     ending[1:] = space[1:] & stop[:-1]
     ending |= codes == ord("。")
-    return [at[at > 0] for at in (np.flatnonzero(x[k:]) + 1 for x in (double, lf, ending, space))]
-
-
-def next_cuts(starts: np.ndarray, marks: list[np.ndarray], end: int, max_chars: int) -> np.ndarray:
-    """The end of the piece that begins at each of ``starts``; ``end`` is the length of the whole."""
-    out = np.full(len(starts), -1, dtype=np.int64)
-    out[starts + max_chars >= end] = end
-    for at in marks:
-        if not at.size:
-            continue
-        i = np.searchsorted(at, starts + max_chars, side="right") - 1
-        last = np.where(i >= 0, at[np.maximum(i, 0)], -1)
-        out = np.where((out < 0) & (last > starts + max_chars // 2), last, out)
-    return np.where(out < 0, starts + max_chars, out)
-
-
-def cut_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of ``text`` with LF line ends, found in one range."""
-    marks, end, p, out = [m.tolist() for m in boundaries(text)], len(text), 0, []
-    from bisect import bisect_right
-
-    while True:
-        if end - p <= max_chars:
-            out.append((p, end))
-            return out
-        e = p + max_chars
-        for at in marks:
-            i = bisect_right(at, p + max_chars) - 1
-            if i >= 0 and at[i] > p + max_chars // 2:
-                e = at[i]
-                break
-        out.append((p, e))
-        p = e - overlap
+    out = []
+    for marks in (double, lf, ending, space):
+        at = np.full(len(text) + 1, -1, dtype=np.int64)
+        hit = np.flatnonzero(marks[k:]) + 1
+        at[hit] = hit
+        out.append(np.maximum.accumulate(at))
+    return out
+
 
+def _runs(*values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    change = np.zeros(len(values[0]), dtype=bool)
+    change[:1] = True
+    for v in values:
+        change[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(change)
 
-def range_table(text: str, before: str, base: int, size: int, total: int, max_chars: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exits and piece counts of the range [base, base + size) for an entry at each of its characters.
 
-    ``text`` is the range and a halo of at least ``max_chars`` behind it (as far as there is
-    text); positions are of the whole text.  An exit is the first start at or behind the
-    range's end, or -1 if the text ends.  Only the first ``max_chars`` entries can occur.
+def range_table(text: str, before: str, size: int, ends_here: bool, max_chars: int, overlap: int) -> tuple:
+    """The boundary table of a range: (stop, r_at, r_end, h_at, h_next, h_count).
+
+    ``text`` is the range, ``size`` characters, and a halo of ``max_chars`` (less only where
+    the whole ends, which ``ends_here`` says).  ``stop`` is the end of the whole, or -1 if it
+    lies behind the halo.  An end of -1 stands for a cut at the limit, a next entry of -1 for
+    no more pieces.  Only the first ``max_chars`` starts of a range can be entries.
     """
-    starts = np.arange(base, base + size)
-    marks = [m + base for m in boundaries(text, before)]
-    ends = next_cuts(starts, marks, total, max_chars)
-    step = np.where(ends >= total, total, ends - overlap)  # total stands for "no more pieces"
+    starts = np.arange(size, dtype=np.int64)
+    ends, reach = np.full(size, -1, dtype=np.int64), np.minimum(starts + max_chars, len(text))
+    for at in last_boundaries(text, before):
+        last = at[reach]
+        ends = np.where((ends < 0) & (last > starts + max_chars // 2), last, ends)
+    stop = len(text) if ends_here else -1
+    if ends_here:
+        ends[starts + max_chars >= stop] = stop
+    done = ends == stop if ends_here else np.zeros(size, dtype=bool)
+    step = np.where(ends < 0, starts + max_chars, ends) - overlap
+    step[done] = -1
     count = np.ones(size, dtype=np.int64)
     while True:  # pointer doubling within the range
-        inside = step < base + size
+        inside = (step >= 0) & (step < size)
         if not inside.any():
             break
-        at = step[inside] - base
+        at = step[inside]
         count[inside] += count[at]
         step[inside] = step[at]
     head = min(size, max_chars)
-    return np.where(step[:head] >= total, -1, step[:head]), count[:head]
-
-
-def ranges_of(total: int, range_chars: int) -> list[tuple[int, int]]:
-    return [(at, min(range_chars, total - at)) for at in range(0, total, range_chars)]
-
+    enter = np.where(step[:head] < 0, -1, step[:head] - size)
+    r, h = _runs(ends), _runs(enter, count[:head])
+    return stop, r.astype(np.int32), ends[r], h.astype(np.int32), enter[h], count[h]
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
+    """Rows with equal keys, which lie together, as lists; also across batches."""
+    held, of = [], None
+    for b in batches:
+        at = [b.columns.get_loc(k) for k in keys]
+        for row in b.itertuples(index=False):
+            key = tuple(row[i] for i in at)
+            if held and key != of:
+                yield held
+                held = []
+            of = key
+            held.append(row)
+    if held:
+        yield held
+
+
+def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each block: its length and, for each run of entries, where they enter the next block and after how many pieces."""
+    for rows in _groups(batches, ["d", "blk"]):
+        at, enter, count = rows[0].h_at, rows[0].h_next.copy(), rows[0].h_count.copy()
+        for r in rows[1:]:
+            on = np.flatnonzero(enter >= 0)
+            i = np.searchsorted(r.h_at, enter[on], side="right") - 1
+            count[on] += r.h_count[i]
+            enter[on] = r.h_next[i]
+        yield pd.DataFrame({"d": [rows[0].d], "blk": [rows[0].blk], "size": [sum(r.size_ for r in rows)], "h_at": [at], "h_next": [enter], "h_count": [count]})
+
+
+def stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each block that a piece starts in: its offset, the entry and the number of the first piece."""
+    for rows in _groups(batches, ["d"]):
+        entry, first, base, out = 0, 0, 0, []
+        for r in rows:
+            out.append((r.d, r.blk, base, entry, first))
+            i = bisect_right(r.h_at, entry) - 1
+            first, entry, base = first + int(r.h_count[i]), int(r.h_next[i]), base + r.size_
+            if entry < 0:
+                break
+        yield pd.DataFrame(out, columns=["d", "blk", "base", "entry", "first"])
 
-def stitch(tables: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
-    """(base, entry, first piece number) of the ranges in which a piece starts.
 
-    ``tables`` are (base, size, exits, counts), by base.  A range is at least as long as a
-    piece, so an exit lies in the next range.
+def _emitter(max_chars: int, overlap: int):
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for rows in _groups(batches, ["d", "blk"]):
+            base, p, n = int(rows[0].base), int(rows[0].entry), int(rows[0].first)
+            for r in rows:
+                if p < 0:
+                    break
+                while 0 <= p < r.size_:
+                    e = int(r.r_end[bisect_right(r.r_at, p) - 1])
+                    e = p + max_chars if e < 0 else e
+                    out.append((r.d, n, base + p, base + e))
+                    n, p = n + 1, -1 if e == r.stop else e - overlap
+                base, p = base + r.size_, p - r.size_ if p >= 0 else p
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["d", "piece_no", "s", "e"])
+                out = []
+        yield pd.DataFrame(out, columns=["d", "piece_no", "s", "e"])
+
+    return emit
+
+
+def pieces_of(tables: DataFrame, max_chars: int, overlap: int) -> DataFrame:
+    """(``d``, ``piece_no``, ``s``, ``e``) from boundary tables (see _TABLE, ``size`` as ``size_``).
+
+    A block holds at most BLOCK_RANGES tables, and the stitching of a text one small row for
+    each block: 16 for a file of 1 GB in ranges of 1 MB.
     """
-    out, entry, number = [], 0, 0
-    for base, size, exits, counts in tables:
-        if entry < 0 or not base <= entry < base + size:
-            continue
-        out.append((base, entry, number))
-        number += int(counts[entry - base])
-        entry = int(exits[entry - base])
-    return out
-
-
-def range_pieces(text: str, before: str, base: int, size: int, total: int, entry: int, first: int, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(piece number, start, end) of the pieces that start in a range."""
-    marks, out, p = [m + base for m in boundaries(text, before)], [], entry
-    while p < base + size:
-        e = int(next_cuts(np.array([p]), marks, total, max_chars)[0])
-        out.append((first + len(out), p, e))
-        if e >= total:
-            break
-        p = e - overlap
-    return out
+    heads = tables.select("d", "blk", "no", "size_", "h_at", "h_next", "h_count").repartition("d", "blk").sortWithinPartitions("d", "blk", "no")
+    blocks = heads.mapInPandas(composed, "d string, blk long, size long, h_at array<int>, h_next array<long>, h_count array<long>")
+    entries = (
+        blocks.withColumnRenamed("size", "size_").repartition("d").sortWithinPartitions("d", "blk")
+        .mapInPandas(stitched, "d string, blk long, base long, entry long, first long")
+    )
+    known = tables.select("d", "blk", "no", "size_", "stop", "r_at", "r_end").join(entries, ["d", "blk"])
+    return known.repartition("d", "blk").sortWithinPartitions("d", "blk", "no").mapInPandas(_emitter(max_chars, overlap), "d string, piece_no long, s long, e long")
 
 
 def split_texts(
@@ -152,6 +199,9 @@ def split_texts(
     or space (in this order of rank) in its second half, else at the limit; the next begins
     ``overlap`` characters before.
 
+    The tables of a text are made where it is read (a value of a column has at most 2 GB);
+    only tables are shuffled, those of equal texts once.
+
     Defined cases: null and short texts give no rows; repeated rows give one set of pieces;
     rows of one key with other texts or offsets give a set each; a null key stays null; an
     empty table gives no rows; only the columns named are read.
@@ -159,151 +209,95 @@ def split_texts(
     if not 0 <= overlap < max_chars // 2:
         raise ValueError("overlap must be less than half of max_chars")
     range_chars = max(range_chars, max_chars)
-    none = F.lit(None)
     long_ = df.filter(F.length(text) > max_chars).select(
         F.col(key).cast("string").alias("k"),
-        F.col(text).alias("t"),
+        F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("t"),
         (F.coalesce(F.col(offset), F.lit(0)) if offset else F.lit(0)).cast("long").alias("o"),
-        (F.col(heading) if heading else none.cast("array<string>")).alias("h"),
+        (F.col(heading) if heading else F.lit(None).cast("array<string>")).alias("h"),
     )
+    long_ = long_.filter(F.length("t") > max_chars).withColumn("d", F.sha2("t", 256))
 
-    def one_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, t, o, h in zip(b["k"], b["t"], b["o"], b["h"]):
-                t = unify_newlines(t)
-                if max_chars < len(t) <= range_chars:
-                    rows += [(k, n, o + s, o + e, h) for n, (s, e) in enumerate(cut_text(t, max_chars, overlap))]
-            yield pd.DataFrame(rows, columns=["k", "piece_no", "piece_start", "piece_end", "h"])
+            for d, t in zip(b["d"], b["t"]):
+                for no, at in enumerate(range(0, len(t), range_chars)):
+                    size = min(range_chars, len(t) - at)
+                    table = range_table(t[at : at + size + max_chars], t[max(0, at - 2) : at], size, at + size + max_chars >= len(t), max_chars, overlap)
+                    rows.append((d, no // BLOCK_RANGES, no, size, *table))
+                    if len(rows) >= 1_000:
+                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        rows = []
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, t, o, h, d in zip(b["k"], b["t"], b["o"], b["h"], b["d"]):
-                t = unify_newlines(t)
-                if len(t) > range_chars:
-                    for base, size in ranges_of(len(t), range_chars):
-                        x, c = range_table(t[base : base + size + max_chars], t[max(0, base - 2) : base], base, size, len(t), max_chars, overlap)
-                        yield pd.DataFrame({"d": [d], "base": [base], "size": [size], "exits": [x], "counts": [c]})
-
-    def stitched(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates("base").sort_values("base")
-        rows = stitch(list(zip(g["base"], g["size"], g["exits"], g["counts"])))
-        return pd.DataFrame({"d": g["d"].iloc[0], "base": [r[0] for r in rows], "entry": [r[1] for r in rows], "first": [r[2] for r in rows]})
+    # Copies of a text have equal tables: one is kept, after a first choice in each task.
+    made = cut(long_.select("d", "t").mapInPandas(tables, _TABLE).withColumnRenamed("size", "size_").dropDuplicates(["d", "no"]))
+    pieces = pieces_of(made, max_chars, overlap)
+    rows = cut(long_.select("k", "o", "h", "d").distinct())
+    joined = lookup_join(rows, pieces, ["d"])
+    return joined.select(F.col("k").alias(key), "piece_no", (F.col("o") + F.col("s")).alias("piece_start"), (F.col("o") + F.col("e")).alias("piece_end"), F.col("h").alias("heading")).distinct()
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, t, o, h, starts in zip(b["k"], b["t"], b["o"], b["h"], b["starts"]):
-                t = unify_newlines(t)
-                sizes = dict(ranges_of(len(t), range_chars))
-                for r in starts:
-                    base = int(r["base"])
-                    rows += [
-                        (k, n, o + s, o + e, h)
-                        for n, s, e in range_pieces(t[base : base + sizes[base] + max_chars], t[max(0, base - 2) : base], base, sizes[base], len(t), int(r["entry"]), int(r["first"]), max_chars, overlap)
-                    ]
-            yield pd.DataFrame(rows, columns=["k", "piece_no", "piece_start", "piece_end", "h"])
-
-    schema = "k string, piece_no long, piece_start long, piece_end long, h array<string>"
-    whole = long_.mapInPandas(one_range, schema)
-    # Only texts of several ranges: their tables are exchanged, the texts stay where they are read.
-    giant = long_.filter(F.length("t") > range_chars).withColumn("d", F.sha2("t", 256))
-    starts = (
-        giant.dropDuplicates(["d"]).mapInPandas(tables, "d string, base long, size long, exits array<long>, counts array<long>")
-        .groupBy("d").applyInPandas(stitched, "d string, base long, entry long, first long")
-        .groupBy("d").agg(F.collect_list(F.struct("base", "entry", "first")).alias("starts"))
-    )
-    pieces = whole.unionByName(giant.join(starts, "d").select("k", "t", "o", "h", "starts").mapInPandas(emit, schema))
-    return pieces.distinct().select(F.col("k").alias(key), "piece_no", "piece_start", "piece_end", F.col("h").alias("heading"))
 
+_COLUMNS = ["d", "blk", "no", "size", "stop", "r_at", "r_end", "h_at", "h_next", "h_count"]
 
-def split_files(spark, paths: list[str], max_chars: int = MAX_CHARS, overlap: int = OVERLAP, range_bytes: int = 64 << 20) -> DataFrame:
-    """(``path``, ``piece_no``, ``piece_start``, ``piece_end``) of UTF-8 files, none of which is loaded whole.
 
-    ``paths`` lie in a folder that all executors see.  A file is cut into byte ranges.  A first
-    pass counts each range's characters (a CRLF counts for the range of its LF, broken UTF-8
-    as replacement characters for the range of its first byte); the prefix sum gives every
-    range its character offset.  The second makes the tables of :func:`range_table`, which are
-    stitched, and the third emits.  Empty files give no rows; a file within the limit is one
-    piece.
+def read_range(f, at: int, upto: int, length: int, extra: int) -> tuple[str, str, str, bool]:
+    """(before, body, halo, whether the file ends with the halo) of the byte range [at, upto) of an open file.
+
+    A character belongs to the range of its first byte, a CRLF to that of its LF.  Broken
+    UTF-8 is read as replacement characters.  The halo has ``extra`` characters, or fewer at
+    the end; ``before`` the two characters ahead.
     """
-    import os
 
-    range_bytes = max(range_bytes, 8 * max_chars)
-    plan = [(p, i, at, os.path.getsize(p)) for p in paths for i, at in enumerate(range(0, os.path.getsize(p), range_bytes))]
-    schema = "path string, no long, at long, bytes long"
-    frame = spark.createDataFrame(plan, schema).repartition(max(1, min(len(plan), 10_000)), "path", "no") if plan else spark.createDataFrame([], schema)
-
-    def aligned(f, at: int, size: int) -> int:
-        """The first character start at or behind byte ``at`` that isn't the LF of a CRLF."""
-        if at <= 0 or at >= size:
-            return max(0, min(at, size))
-        f.seek(at - 1)
+    def aligned(x: int) -> int:
+        if x <= 0 or x >= length:
+            return max(0, min(x, length))
+        f.seek(x - 1)
         b = f.read(5)
-        i = 1
         if b[:2] == b"\r\n":
-            return at + 1
+            return x + 1
+        i = 1
         while i < len(b) and b[i] & 0xC0 == 0x80 and i < 4:
             i += 1
-        return at - 1 + i
-
-    def read(path: str, at: int, size: int, extra: int = 0) -> tuple[str, str]:
-        """The text of the range at ``at`` and ``extra`` characters more, and the two characters before."""
-        with open(path, "rb") as f:
-            a, z = aligned(f, at, size), aligned(f, at + range_bytes, size)
-            f.seek(a)
-            body = unify_newlines(f.read(z - a).decode("utf-8", "replace"))
-            halo = ""
-            if extra:
-                y = aligned(f, z + 8 * extra, size)
-                f.seek(z)
-                halo = unify_newlines(f.read(y - z).decode("utf-8", "replace"))[:extra]
-            f.seek(max(0, a - 16))
-            before = unify_newlines(f.read(min(a, 16)).decode("utf-8", "replace"))[-2:]
-        return body + halo, before
-
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(size=[len(read(p, at, n)[0]) for p, at, n in zip(b["path"], b["at"], b["bytes"])])
+        return x - 1 + i
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if r.size_:
-                    t, before = read(r.path, r.at, r.bytes, max_chars)
-                    x, c = range_table(t, before, r.base, r.size_, r.total, max_chars, overlap)
-                    yield pd.DataFrame({"path": [r.path], "base": [r.base], "size_": [r.size_], "exits": [x], "counts": [c]})
+    def text(a: int, z: int) -> str:
+        f.seek(a)
+        return unify_newlines(f.read(z - a).decode("utf-8", "replace"))
 
-    def stitched(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("base")
-        rows = stitch(list(zip(g["base"], g["size_"], g["exits"], g["counts"])))
-        return pd.DataFrame({"path": g["path"].iloc[0], "base": [r[0] for r in rows], "entry": [r[1] for r in rows], "first": [r[2] for r in rows]})
+    a, z = aligned(at), aligned(upto)
+    y = aligned(min(z + 8 * extra, length))
+    halo = text(z, y)
+    return text(max(0, a - 16), a)[-2:], text(a, z), halo[:extra], y >= length and len(halo) <= extra
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                t, before = read(r.path, r.at, r.bytes, max_chars)
-                rows += [(r.path, *x) for x in range_pieces(t, before, r.base, r.size_, r.total, r.entry, r.first, max_chars, overlap)]
-            yield pd.DataFrame(rows, columns=["path", "piece_no", "piece_start", "piece_end"])
 
-    from pyspark.sql import Window
+def split_files(spark: SparkSession, paths: str | list[str], max_chars: int = MAX_CHARS, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(``path``, ``piece_no``, ``piece_start``, ``piece_end``) of UTF-8 files, none of which is loaded whole.
 
-    from loomgraph.session import cut
+    ``paths`` are files or folders on any file system that Spark and Arrow read.  A file is
+    cut into byte ranges, which are spread over the tasks; each is read once, with its halo.
+    Offsets are in characters of the text with LF line ends; their prefix sums follow from the
+    lengths in the tables.  Empty files give no rows; a file within the limit is one piece.
+    """
+    range_bytes = max(range_bytes, 8 * max_chars)
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length").filter(F.col("length") > 0)
+    last = F.floor((F.col("length") - 1) / range_bytes)
+    plan = listed.select(F.col("path").alias("d"), "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("no"))
 
-    # One row for each range: a file of 1 TB has 16,384.
-    by = Window.partitionBy("path")
-    sized = cut(frame.mapInPandas(lengths, schema + ", size long"))
-    placed = sized.select(
-        "path", "at", "bytes", F.col("size").alias("size_"),
-        (F.sum("size").over(by.orderBy("no")) - F.col("size")).alias("base"),
-        F.sum("size").over(by).alias("total"),
-    )
-    entries = placed.mapInPandas(tables, "path string, base long, size_ long, exits array<long>, counts array<long>").groupBy("path").applyInPandas(
-        stitched, "path string, base long, entry long, first long"
-    )
-    known = placed.filter(F.col("size_") > 0).join(entries, ["path", "base"])
-    return known.mapInPandas(emit, "path string, piece_no long, piece_start long, piece_end long")
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            for r in b.itertuples(index=False):
+                system, path = fs.FileSystem.from_uri(r.d)
+                with system.open_input_file(path) as f:
+                    before, body, halo, ends = read_range(f, r.no * range_bytes, (r.no + 1) * range_bytes, r.length, max_chars)
+                if body:
+                    table = range_table(body + halo, before, len(body), ends, max_chars, overlap)
+                    yield pd.DataFrame([(r.d, r.no // BLOCK_RANGES, r.no, len(body), *table)], columns=_COLUMNS)
+
+    made = cut(plan.repartition("d", "no").mapInPandas(tables, _TABLE).withColumnRenamed("size", "size_"))
+    return pieces_of(made, max_chars, overlap).select(F.col("d").alias("path"), "piece_no", F.col("s").alias("piece_start"), F.col("e").alias("piece_end"))
 
 
 def p3_found(spark, sf_dir):
@@ -312,7 +306,19 @@ def p3_found(spark, sf_dir):
     return split_texts(table(spark, sf_dir, "chunks")).select(F.col("id").alias("chunk_id"), "piece_no", "piece_start", "piece_end").distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_files(spark, sf_dir):
+    """The texts of ``documents``, written one behind the other into a file for each task, split by byte ranges."""
+    from uuid import uuid4
+
+    from loomgraph.session import shared_dir, table
+
+    at = f"{shared_dir(spark)}/{uuid4().hex}"
+    table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("text").write.text(at)
+    pieces = split_files(spark, f"{at}/part-*")
+    return pieces.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "piece_no", "piece_start", "piece_end")
+
+
+QUERIES = {"p3_found": p3_found, "p3_files": p3_files}
 ORACLES = {
     "p3_found": r"""
 WITH RECURSIVE t AS (
