@@ -1,16 +1,17 @@
 """Most similar vectors for every vector, with a robust-pruned directed graph in each shard.
 
 Vectors of one group (here universe and kind) form a shard.  A larger group is dealt to cells
-around centroids fitted on a bounded sample, and a vector is looked for in its own cell and
-the nearest others; a cell that is still too large is dealt to several shards, all of which
+around centroids fitted on a bounded sample, and a vector is looked for in as many of the
+nearest cells as a bounded sample of queries, compared with the whole group, needs to meet
+its true neighbours.  A cell that is still too large is dealt to several shards, all of which
 are searched.  So no shard exceeds a size, and every vector is indexed.
 
-A shard is built in batches.  A batch is compared exactly with itself and by beam search with
-the graph of all batches before; what both find are candidates for edges, from which the
-relaxed pruning keeps diverse ones (a candidate is dropped if a kept one is nearer to it by
-the factor ALPHA), and every edge is also entered backwards and pruned there.  The searches
-are the queries at the same time: a vector finds its neighbours among those before it, and
-those after it find it.  Vectors from other cells query the finished graph.
+In a shard equal vectors are folded, and the graph grows over the distinct ones in batches:
+a greedy search from a few entries proposes neighbours for each new node, the relaxed pruning
+keeps diverse ones (a candidate is dropped if a kept one is nearer to it by the factor ALPHA),
+and every edge is also entered backwards and pruned there.  Then beam searches of the whole
+graph answer the queries; what they find is ranked by exact similarities.  Every group with
+more vectors than a beam takes this way, whatever its size.
 """
 
 from __future__ import annotations
@@ -22,18 +23,23 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
-#: Edges of a node, width of the beam, nodes opened at once, factor of the pruning.
-DEGREE, BEAM, OPEN, ALPHA = 24, 48, 4, 1.2
-#: Vectors of a batch, most vectors of a shard, least cells that a vector is looked for in, most cells of a group.
-BATCH, SHARD, PROBES, MAX_CELLS = 2_048, 16_384, 4, 1_024
-#: Share of a group's cells that a vector is looked for in.
-PROBED = 2 / 3
+#: Edges of a node, width of the beam when building and when asking, nodes opened at once, factor of the pruning.
+DEGREE, BUILD_BEAM, BEAM, OPEN, ALPHA = 24, 32, 48, 8, 1.2
+#: Nodes at which a search starts; most nodes that enter the graph together.
+ENTRIES, BATCH = 32, 1_024
+#: Most vectors of a shard; queries of one shard that one task answers.
+SHARD, VISITORS = 32_768, 131_072
+#: Most cells of a group, and of all groups together (their centroids are broadcast: 32 MB at 64 numbers).
+MAX_CELLS, MAX_CENTROIDS = 8_192, 131_072
 #: Vectors for each cell in the sample on which centroids are fitted.
 SAMPLE_PER_CELL = 8
+#: Queries in the sample that measures how many cells to look in, and the share of their true neighbours that those must hold.
+ASKED, MET = 512, 0.97
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def top_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,13 +51,34 @@ def top_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(at, order, 1), np.take_along_axis(val, order, 1)
 
 
+def places(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted row numbers below ``n``: how many of each, and the place of each within its row."""
+    count = np.bincount(rows, minlength=n)
+    return count, np.arange(len(rows)) - (np.cumsum(count) - count)[rows]
+
+
 class Graph:
-    """A directed graph over the rows of ``x`` (unit vectors), grown in batches."""
+    """A directed graph over the rows of ``x`` (unit vectors, single precision)."""
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA):
-        self.x, self.degree, self.beam, self.alpha2 = x, degree, beam, alpha * alpha
-        self.edges = np.full((len(x), degree), -1, dtype=np.int32)
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA):
+        n = len(x)
+        self.x, self.degree, self.alpha2 = x, degree, alpha * alpha
+        self.edges = np.full((n, degree), -1, dtype=np.int32)
         self.entries = np.empty(0, dtype=np.int64)
+        lo = 0
+        while lo < n:
+            hi = min(n, lo + min(max(lo, beam), BATCH))
+            if lo:
+                ids, sims = self.search(x[lo:hi], beam)
+            else:  # the first few nodes are candidates of each other
+                own = x[:hi] @ x[:hi].T
+                np.fill_diagonal(own, -np.inf)
+                ids, sims = top_columns(own, beam)
+                ids[~np.isfinite(sims)] = -1
+            self.link(lo, hi, ids, sims)
+            centre = int((x[:hi] @ x[:hi].mean(axis=0)).argmax())
+            self.entries = np.unique(np.append(np.linspace(0, hi - 1, min(hi, ENTRIES)).astype(np.int64), centre))
+            lo = hi
 
     def prune(self, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
         """Set the edges of ``nodes`` from candidates (-1 for none), nearest first."""
@@ -59,7 +86,7 @@ class Graph:
             c, s = cand[lo : lo + 512], sims[lo : lo + 512]
             rows, v = np.arange(len(c)), self.x[np.maximum(c, 0)]
             far = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))  # squared distances among candidates
-            limit, alive = 2 - 2 * s, c >= 0
+            limit, alive = 2 - 2 * np.where(c >= 0, s, 0), c >= 0
             out = np.full((len(c), self.degree), -1, dtype=np.int32)
             for r in range(self.degree):
                 first = alive.argmax(axis=1)
@@ -71,129 +98,149 @@ class Graph:
                 alive[rows, first] = False
             self.edges[nodes[lo : lo + 512]] = out
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest nodes found from each row of ``q``, nearest first; -1 and -inf fill up."""
-        parts = [self._search(q[lo : lo + 512], k) for lo in range(0, len(q), 512)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def _search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, m, width = len(self.x), len(q), max(self.beam, k)
-        stamp = np.full(m * n, -1, dtype=np.int32)
-        start = np.tile(self.entries, (m, 1))
-        stamp[(np.arange(m)[:, None] * n + start).ravel()] = 0
-        ids = np.full((m, width), -1, dtype=np.int64)
-        sims = np.full((m, width), -np.inf, dtype=np.float32)
-        opened = np.ones((m, width), dtype=bool)
-        at, val = top_columns(q @ self.x[self.entries].T, width)
-        w = at.shape[1]
-        ids[:, :w], sims[:, :w], opened[:, :w] = self.entries[at], val, False
-        while True:
-            fresh = ~opened
-            pick = fresh & (np.cumsum(fresh, axis=1) <= OPEN)
-            row, col = np.nonzero(pick)
-            if not row.size:
-                return ids[:, :k], sims[:, :k]
-            opened[row, col] = True
-            near = self.edges[ids[row, col]]
-            who = np.repeat(row, near.shape[1])
-            near = near.ravel()
-            key = who * n + near
-            ok = near >= 0
-            ok[ok] = stamp[key[ok]] < 0
-            who, near, key = who[ok], near[ok].astype(np.int64), key[ok]
-            turn = np.arange(len(key), dtype=np.int32)
-            stamp[key] = turn
-            once = stamp[key] == turn
-            who, near = who[once], near[once]
-            if not who.size:
-                continue
-            s = np.einsum("ij,ij->i", q[who], self.x[near])
-            count = np.bincount(who, minlength=m)
-            place = np.arange(len(who)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            new_ids, new_sims = np.full((m, count.max()), -1, dtype=np.int64), np.full((m, count.max()), -np.inf, dtype=np.float32)
-            new_ids[who, place], new_sims[who, place] = near, s
-            all_ids, all_open = np.concatenate([ids, new_ids], 1), np.concatenate([opened, new_ids < 0], 1)
-            best, sims = top_columns(np.concatenate([sims, new_sims], 1), width)
-            ids, opened = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_open, best, 1)
-
-    def grow(self, lo: int, hi: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Insert rows [lo, hi); the ``keep`` nearest found for each of them, and their similarities."""
-        batch = self.x[lo:hi]
-        own = batch @ batch.T
-        np.fill_diagonal(own, -np.inf)
-        at, s = top_columns(own, max(keep, self.beam))
-        ids = at + lo
-        ids[~np.isfinite(s)] = -1
-        if lo:
-            f_ids, f_s = self.search(batch, max(keep, self.beam))
-            ids, s = np.concatenate([ids, f_ids], 1), np.concatenate([s, f_s], 1)
-        best, s = top_columns(s, max(keep, self.beam))
-        ids = np.take_along_axis(ids, best, 1)
-        return ids, s
-
     def link(self, lo: int, hi: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        """Give rows [lo, hi) pruned edges to the candidates, and the backward edges."""
-        nodes = np.arange(lo, hi)
-        self.prune(nodes, ids, sims)
-        new = self.edges[lo:hi]
-        src, col = np.nonzero(new >= 0)
-        back_to, back_from = new[src, col].astype(np.int64), src + lo
-        s = np.einsum("ij,ij->i", self.x[back_to], self.x[back_from])
+        """Give nodes [lo, hi) pruned edges to the candidates, and enter the backward edges."""
+        self.prune(np.arange(lo, hi), ids, sims)
+        row, col = np.nonzero(self.edges[lo:hi] >= 0)
+        back_to, back_from = self.edges[lo:hi][row, col].astype(np.int64), row + lo
         # Of each target: the edges that it has and the new ones, each once, nearest first.
         targets = np.unique(back_to)
-        t_row, t_col = np.nonzero(self.edges[targets] >= 0)
-        old_to = targets[t_row]
-        old_from = self.edges[targets][t_row, t_col].astype(np.int64)
-        to, frm = np.concatenate([back_to, old_to]), np.concatenate([back_from, old_from])
-        sim = np.concatenate([s, np.einsum("ij,ij->i", self.x[old_to], self.x[old_from])])
+        row, col = np.nonzero(self.edges[targets] >= 0)
+        to = np.concatenate([back_to, targets[row]])
+        frm = np.concatenate([back_from, self.edges[targets][row, col]])
         _, first = np.unique(to * len(self.x) + frm, return_index=True)
-        to, frm, sim = to[first], frm[first], sim[first]
+        to, frm = to[first], frm[first]
+        sim = np.einsum("ij,ij->i", self.x[to], self.x[frm])
         order = np.lexsort((-sim, to))
-        to, frm, sim = to[order], frm[order], sim[order]
-        count = np.bincount(np.searchsorted(targets, to), minlength=len(targets))
-        place = np.arange(len(to)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        width = min(int(count.max()), 4 * self.degree)  # of a hub's backward edges the nearest are considered
+        row, frm, sim = np.searchsorted(targets, to[order]), frm[order], sim[order]
+        count, place = places(row, len(targets))
+        width = min(int(count.max(initial=0)), 2 * self.degree)  # of a hub's backward edges the nearest are considered
         near = place < width
-        cand, cs = np.full((len(targets), width), -1, dtype=np.int64), np.full((len(targets), width), -np.inf, dtype=np.float32)
-        r = np.searchsorted(targets, to[near])
-        cand[r, place[near]], cs[r, place[near]] = frm[near], sim[near]
-        cs[cand < 0] = 0
-        self.prune(targets, cand, cs)
-
-    def start_from(self, n: int) -> None:
-        """Searches start at the node nearest to the mean and at nodes spread over the first n."""
-        mean = self.x[:n].mean(axis=0)
-        self.entries = np.unique(np.concatenate([[int((self.x[:n] @ mean).argmax())], np.linspace(0, n - 1, 32).astype(np.int64)]))
-
-
-def shard_neighbours(x: np.ndarray, foreign: np.ndarray, k: int, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, similarity) of neighbours among the rows of ``x`` (unit vectors).
+        cand, cs = np.full((len(targets), width), -1, dtype=np.int64), np.zeros((len(targets), width), dtype=np.float32)
+        cand[row[near], place[near]], cs[row[near], place[near]] = frm[near], sim[near]
+        full = count > self.degree
+        w = min(width, self.degree)
+        self.edges[targets[~full], :w] = cand[~full, :w]
+        self.prune(targets[full], cand[full], cs[full])
+
+    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest nodes found from each row of ``q``, nearest first; -1 and -inf fill up."""
+        step = int(np.clip((1 << 24) // max(1, len(self.x)), 16, 512))  # a mark for each query and node
+        parts = [self._search(q[lo : lo + step], beam) for lo in range(0, len(q), step)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    Queries 0 .. len(x) - 1 are the rows themselves, further ones the rows of ``foreign``.
-    More than k may come out for a query.
-    """
-    n, keep = len(x), 2 * k
-    mix = np.random.default_rng(n).permutation(n)
-    graph, found = Graph(np.ascontiguousarray(x[mix])), []
-    for lo in range(0, n, batch):
-        hi = min(n, lo + batch)
-        ids, s = graph.grow(lo, hi, keep)
-        a, b = np.repeat(np.arange(lo, hi), min(keep, ids.shape[1])), ids[:, :keep].ravel()
-        ok = b >= 0
-        a, b, v = mix[a[ok]], mix[b[ok]], s[:, :keep].ravel()[ok]
-        found += [(a, b, v), (b, a, v)]
-        if hi < n or len(foreign):
-            s = np.where(ids >= 0, s, 0)
-            graph.link(lo, hi, ids, s)
-            graph.start_from(hi)
-    if len(foreign):
-        ids, s = graph.search(foreign, keep)
-        a = np.repeat(np.arange(n, n + len(foreign)), ids.shape[1])
-        ok = ids.ravel() >= 0
-        found.append((a[ok], mix[ids.ravel()[ok]], s.ravel()[ok]))
-    a, b, v = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
-    _, first = np.unique(a * max(n, 1) + b, return_index=True)
-    return a[first], b[first], v[first]
+    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        n, act = len(self.x), np.arange(len(q))
+        seen = np.zeros(len(q) * n, dtype=bool)
+        seen[(act[:, None] * n + self.entries).ravel()] = True
+        out_ids, out_sims = np.full((len(q), beam), -1, dtype=np.int64), np.full((len(q), beam), -np.inf, dtype=np.float32)
+        ids, sims = np.full((len(q), beam), -1, dtype=np.int64), np.full((len(q), beam), -np.inf, dtype=np.float32)
+        at, val = top_columns(q @ self.x[self.entries].T, beam)
+        ids[:, : at.shape[1]], sims[:, : at.shape[1]] = self.entries[at], val
+        fresh = ids >= 0
+        while True:
+            # The nearest nodes of each beam that are not opened yet; beams without any are done.
+            pick = np.argsort(~fresh, axis=1, kind="stable")[:, :OPEN]
+            has = np.take_along_axis(fresh, pick, 1)
+            live = has.any(axis=1)
+            out_ids[act[~live]], out_sims[act[~live]] = ids[~live], sims[~live]
+            if not live.any():
+                return out_ids, out_sims
+            act, ids, sims, fresh, pick, has = act[live], ids[live], sims[live], fresh[live], pick[live], has[live]
+            np.put_along_axis(fresh, pick, False, 1)
+            near = np.where(has[:, :, None], self.edges[np.take_along_axis(ids, pick, 1)], -1).reshape(len(act), -1)
+            row, col = np.nonzero(near >= 0)
+            node = near[row, col].astype(np.int64)
+            key = act[row] * n + node
+            unseen = ~seen[key]
+            key, at = np.unique(key[unseen], return_index=True)
+            row, node = row[unseen][at], node[unseen][at]
+            if not len(row):
+                continue
+            seen[key] = True
+            count, place = places(row, len(act))
+            new_ids, new_sims = np.full((len(act), count.max()), -1, dtype=np.int64), np.full((len(act), count.max()), -np.inf, dtype=np.float32)
+            new_ids[row, place], new_sims[row, place] = node, np.einsum("ij,ij->i", q[act[row]], self.x[node])
+            best, sims = top_columns(np.concatenate([sims, new_sims], 1), beam)
+            ids = np.take_along_axis(np.concatenate([ids, new_ids], 1), best, 1)
+            fresh = np.take_along_axis(np.concatenate([fresh, new_ids >= 0], 1), best, 1)
+
+
+def folded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct row, and for each row the number of its distinct one."""
+    x = np.ascontiguousarray(x)
+    _, first, which = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    return first, which.ravel()
+
+
+class Shard:
+    """The vectors ``x`` of ``ids``, equal ones folded, with a graph over the distinct ones."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, edges: np.ndarray | None = None, entries: np.ndarray | None = None):
+        order = np.argsort(ids)
+        self.ids, self.raw = ids[order], x[order]
+        first, which = folded(self.raw)
+        mix = np.random.default_rng(len(first)).permutation(len(first))
+        place = np.empty_like(mix)
+        place[mix] = np.arange(len(mix))
+        which = place[which]
+        self.exact = unit(self.raw[first[mix]])
+        self.members = np.argsort(which, kind="stable")  # by distinct vector, then id
+        self.count = np.bincount(which, minlength=len(first))
+        self.begin = np.cumsum(self.count) - self.count
+        x32 = self.exact.astype(np.float32)
+        if edges is None:
+            self.graph = Graph(x32)
+        else:
+            self.graph = Graph(x32[:0])
+            self.graph.x, self.graph.edges, self.graph.entries = x32, edges.reshape(-1, DEGREE), entries
+
+    def nearest(self, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, member, similarity): the k nearest members of each of ``ids``, itself excluded, equal ones by id."""
+        first, which = folded(x)
+        q = unit(x[first])
+        lists = [self._lists(q[lo : lo + 1_024], lo, k, least) for lo in range(0, len(q), 1_024)]
+        asked, member, sim = (np.concatenate([y[i] for y in lists]) for i in range(3))
+        # One list of k + 1 for each distinct query; each row takes it without itself.
+        size = np.bincount(asked, minlength=len(q))
+        begin, times = np.cumsum(size) - size, size[which]
+        row = np.repeat(np.arange(len(ids)), times)
+        at = np.repeat(begin[which], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        other = self.ids[member[at]] != ids[row]
+        row, at = row[other], at[other]
+        _, place = places(row, len(ids))
+        keep = place < k
+        return row[keep], member[at[keep]], sim[at[keep]]
+
+    def _lists(self, q: np.ndarray, base: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, _ = self.graph.search(q.astype(np.float32), max(BEAM, 2 * k + 2))
+        sims = np.einsum("ij,ikj->ik", q, self.exact[np.maximum(found, 0)])
+        sims[found < 0] = -np.inf
+        at, sims = top_columns(sims, 2 * k + 2)
+        found = np.take_along_axis(found, at, 1)
+        row, col = np.nonzero((found >= 0) & (sims >= least))
+        node, sim = found[row, col], sims[row, col]
+        several = np.minimum(self.count[node], k + 1)
+        step = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+        row, sim, member = np.repeat(row, several), np.repeat(sim, several), self.members[np.repeat(self.begin[node], several) + step]
+        order = np.lexsort((member, -sim, row))
+        row, sim, member = row[order], sim[order], member[order]
+        _, place = places(row, len(q))
+        keep = place <= k
+        return row[keep] + base, member[keep], sim[keep]
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array(t["id"].to_pylist(), dtype=object)
+    return ids, np.asarray(t["v"].combine_chunks().flatten(), dtype=np.float32).reshape(len(ids), -1)
+
+
+_FOUND = "id string, other_id string, similarity double"
+
+
+def _answers(shard: Shard, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> pa.Table:
+    a, b, s = shard.nearest(ids, x, k, least)
+    return pa.table({"id": pa.array(ids[a], pa.string()), "other_id": pa.array(shard.ids[b], pa.string()), "similarity": pa.array(s, pa.float64())})
 
 
 def usable_vectors(records: DataFrame, dim: int) -> DataFrame:
@@ -208,66 +255,123 @@ def usable_vectors(records: DataFrame, dim: int) -> DataFrame:
     return latest.filter(F.coalesce(whole, F.lit(False))).select("m.universe_id", "m.kind", "id", "m.v")
 
 
-def _assigned(vectors: DataFrame, shard: int, probes: int | None) -> DataFrame:
-    """Rows (shard string, id, v, home boolean), one for each shard in which a vector is kept or looked for."""
-    group = F.to_json(F.array(F.coalesce("universe_id", F.lit("")), F.col("universe_id").isNull().cast("string"), F.coalesce("kind", F.lit("")), F.col("kind").isNull().cast("string")))
-    keyed = cut(vectors.select(group.alias("g"), "id", "v"))
-    sizes = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("cells", F.least(F.lit(MAX_CELLS), F.ceil(2 * F.col("n") / shard)).cast("int"))
-    large = sizes.filter(F.col("n") > shard)
-    # The number of groups above a size is bounded by the size; small groups need no look-up.
-    if not large.limit(1).count():
-        return keyed.select(F.col("g").alias("shard"), "id", "v", F.lit(True).alias("home"))
-
-    def fit(key, t):
-        x = unit(np.stack(t["v"].to_pylist()).astype(np.float32))
-        c = x[: int(t["cells"][0].as_py())].copy()
-        for _ in range(5):
-            at = (x @ c.T).argmax(axis=1)
-            for i in np.unique(at):
-                c[i] = x[at == i].mean(axis=0)
-            c = unit(np.where(np.abs(c).sum(1, keepdims=True) > 0, c, 1).astype(np.float32))
-        return pa.table({"g": [key[0].as_py()] * len(c), "cell": np.arange(len(c)), "c": pa.array(list(c), pa.list_(pa.float32()))})
-
-    rank = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    joined = keyed.join(F.broadcast(large), "g")
-    sample = joined.filter(rank < SAMPLE_PER_CELL * F.col("cells") / F.col("n"))
-    fitted = sample.groupBy("g").applyInArrow(fit, "g string, cell long, c array<float>").groupBy("g").agg(F.collect_list("c").alias("centroids"))
-    # At most MAX_CELLS centroids for each of the large groups.
-    table = {r.g: np.array(r.centroids, dtype=np.float32) for r in fitted.collect()}
-    sent = keyed.sparkSession.sparkContext.broadcast(table)
+def _centroids(key, t):
+    """Spherical k-means on the sample of a group, five rounds."""
+    x = unit(np.stack(t["v"].to_pylist())).astype(np.float32)
+    c = x[: int(t["cells"][0].as_py())].copy()
+    for _ in range(5):
+        at = np.concatenate([(x[lo : lo + 4_096] @ c.T).argmax(axis=1) for lo in range(0, len(x), 4_096)])
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        some = np.abs(total).sum(axis=1) > 0
+        c[some] = unit(total[some]).astype(np.float32)
+    return pa.table({"g": [key[0].as_py()] * len(c), "c": pa.array(list(c), pa.list_(pa.float32()))})
 
-    def deal(batches):
-        for b in batches:
-            g = b.column(0).to_pylist()
-            x = np.asarray(b.column(2).flatten(), dtype=np.float32).reshape(b.num_rows, -1)
-            who, cell, home = [], [], []
-            for name in set(g):
-                rows = np.array([i for i, y in enumerate(g) if y == name])
-                c = sent.value[name]
-                at, _ = top_columns(unit(x[rows]) @ c.T, probes or max(PROBES, int(np.ceil(PROBED * len(c)))))
-                who.append(np.repeat(rows, at.shape[1]))
-                cell.append(at.ravel())
-                home.append(np.tile(np.arange(at.shape[1]) == 0, len(rows)))
-            who, cell, home = (np.concatenate(y) for y in (who, cell, home))
-            take = pa.array(who)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(cell), b.column(1).take(take), b.column(2).take(take), pa.array(home)], names=["g", "cell", "id", "v", "home"])
 
-    dealt = cut(joined.select("g", "id", "v").mapInArrow(deal, "g string, cell long, id string, v array<float>, home boolean"))
-    parts = dealt.filter("home").groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
-    # A cell above the size is dealt to several shards; a vector is kept in one and looked for in all.
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    cells = dealt.join(F.broadcast(parts), ["g", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = cells.select(F.concat_ws("\u0001", "g", "cell", "part").alias("shard"), "id", "v", (F.col("home") & (F.col("part") == own)).alias("home"))
-    small = keyed.join(F.broadcast(large.select("g")), "g", "left_anti").select(F.col("g").alias("shard"), "id", "v", F.lit(True).alias("home"))
-    return small.unionByName(spread)
+def _by_group(batches, table: dict):
+    """(batch, row numbers, unit vectors, entry of the group in ``table``) for each group in each batch."""
+    for b in batches:
+        groups = np.array(b.column("g").to_pylist(), dtype=object)
+        x = np.asarray(b.column("v").flatten(), dtype=np.float32).reshape(b.num_rows, -1)
+        for g in np.unique(groups):
+            rows = np.flatnonzero(groups == g)
+            if g in table:
+                yield b, rows, unit(x[rows]).astype(np.float32), table[g]
+
+
+def probed_share(joined: DataFrame, table: dict, k: int) -> float:
+    """The share of a group's cells in which MET of the true k nearest of the sampled queries lie.
 
+    ASKED queries of all large groups together (each row with the same chance) are compared
+    with their whole groups; each task passes on k rows a query and batch.
+    """
+    spark = joined.sparkSession
+    n = joined.count()
+    chance = F.pmod(F.xxhash64("id", F.lit("asked")), F.lit(1 << 40)) / float(1 << 40)
+    asked: dict = {}
+    for r in joined.filter(chance < 4 * ASKED / n).orderBy(F.xxhash64("id", F.lit("asked"))).limit(ASKED).select("g", "id", "v").collect():
+        asked.setdefault(r.g, []).append((r.id, np.array(r.v, dtype=np.float32)))
+    order = {}
+    for g, qs in asked.items():
+        q = unit(np.stack([v for _, v in qs])).astype(np.float32)
+        order[g] = (np.array([i for i, _ in qs], dtype=object), q, np.argsort(np.argsort(-(q @ table[g].T), axis=1), axis=1), table[g])
+    sent = spark.sparkContext.broadcast(order)
+
+    def compare(batches):
+        for b, rows, x, (ids, q, rank, c) in _by_group(batches, sent.value):
+            cell = (x @ c.T).argmax(axis=1)
+            own = np.array(b.column("id").take(pa.array(rows)).to_pylist(), dtype=object)
+            s = np.where(own[None, :] == ids[:, None], -np.inf, q @ x.T)
+            at, val = top_columns(s, k)
+            who = np.repeat(np.arange(len(ids)), at.shape[1])
+            ok = np.isfinite(val.ravel())
+            share = ((rank[who, cell[at.ravel()]] + 1) / len(c))[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who[ok]], pa.string()), pa.array(val.ravel()[ok].astype(np.float64)), pa.array(share)], names=["id", "s", "share"])
+
+    near = joined.select("g", "id", "v").mapInArrow(compare, "id string, s double, share double")
+    w = Window.partitionBy("id").orderBy(F.desc("s"), "share")
+    got = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(F.sort_array(F.collect_list("share")).alias("x")).first() if asked else None
+    return float(got.x[min(len(got.x) - 1, int(MET * len(got.x)))]) if got and got.x else 1.0
+
+
+def _large_groups(joined: DataFrame, shard: int, probes: int | None, k: int, least: float) -> DataFrame:
+    """Neighbours in groups of several shards; ``joined`` has g, id, v, n and cells."""
+    chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    fitted = joined.filter(chance < SAMPLE_PER_CELL * F.col("cells") / F.col("n")).select("g", "v", "cells").groupBy("g").applyInArrow(_centroids, "g string, c array<float>")
+    # At most MAX_CENTROIDS rows.
+    table: dict = {}
+    for r in fitted.toLocalIterator():
+        table.setdefault(r.g, []).append(r.c)
+    table = {g: np.array(c, dtype=np.float32) for g, c in table.items()}
+    share = None if probes else probed_share(joined, table, k)
+    sent = joined.sparkSession.sparkContext.broadcast(table)
+
+    def deal(batches):
+        for b, rows, x, c in _by_group(batches, sent.value):
+            m = min(len(c), probes or max(1, int(np.ceil(share * len(c)))))
+            for lo in range(0, len(rows), 1_024):
+                at, _ = top_columns(x[lo : lo + 1_024] @ c.T, m)
+                take = pa.array(np.repeat(rows[lo : lo + 1_024], m))
+                home = np.tile(np.arange(m) == 0, len(at))
+                yield pa.RecordBatch.from_arrays([b.column("g").take(take), pa.array(at.ravel().astype(np.int64)), b.column("id").take(take), b.column("v").take(take), pa.array(home)], names=["g", "cell", "id", "v", "home"])
 
-def nearest_records(records: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, shard: int = SHARD, probes: int | None = None, batch: int = BATCH) -> DataFrame:
+    dealt = cut(joined.select("g", "id", "v").mapInArrow(deal, "g string, cell long, id string, v array<float>, home boolean"))
+    sizes = dealt.groupBy("g", "cell").agg(F.ceil(F.count_if("home") / shard).cast("int").alias("parts"), F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("blocks")).filter("parts > 0")
+    sizes = cut(sizes)
+    placed = dealt.join(sizes, ["g", "cell"])
+    name = F.concat_ws("\u0001", "g", "cell", "part").alias("shard")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    homes = placed.filter("home").select("g", "cell", "id", "v", own).select(name, "id", "v")
+
+    def build(key, t):
+        ids, x = _columns(t)
+        s = Shard(ids, x)
+        blob = lambda y: pa.array([np.ascontiguousarray(y).tobytes()], pa.binary())
+        return pa.table({"shard": [key[0].as_py()], "ids": pa.array([list(s.ids)], pa.list_(pa.string())), "x": blob(s.raw), "edges": blob(s.graph.edges), "entries": blob(s.graph.entries)})
+
+    graphs = cut(homes.groupBy("shard").applyInArrow(build, "shard string, ids array<string>, x binary, edges binary, entries binary"))
+    # Every shard is asked in blocks of VISITORS, so its visitors are spread over tasks, each with a copy of the graph.
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int").alias("block")
+    visits = placed.select("g", "cell", "id", "v", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(name, "block", "id", "v")
+    copies = graphs.join(sizes.select("g", "cell", "blocks", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(name, "blocks"), "shard")
+    copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def visit(key, t, g):
+        if not t.num_rows or not g.num_rows:
+            return pa.table({"id": pa.array([], pa.string()), "other_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        nodes = np.array(g["ids"][0].as_py(), dtype=object)
+        x, edges, entries = (np.frombuffer(g[c][0].as_py(), dtype=d) for c, d in (("x", np.float32), ("edges", np.int32), ("entries", np.int64)))
+        return _answers(Shard(nodes, x.reshape(len(nodes), -1), edges, entries), *_columns(t), k, least)
+
+    return visits.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(visit, _FOUND)
+
+
+def nearest_records(records: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64, shard: int = SHARD, probes: int | None = None) -> DataFrame:
     """(``id``, ``other_id``, ``rank`` int, ``similarity`` double): the k nearest of every usable vector.
 
     Only records of the same universe_id and kind are compared, by cosine.  ``least`` is the
     lowest similarity of interest.  Equal similarities rank by id.  Without ``probes`` the cells
-    looked in follow the number of cells.
+    looked in follow from the measured share (:func:`probed_share`).
 
     Defined cases: rows without id are ignored; of the rows of an id the latest counts (equal
     times: the greatest in (universe, kind, vector)), and if its vector is null, of another
@@ -275,27 +379,24 @@ def nearest_records(records: DataFrame, k: int = 5, least: float = -1.0, dim: in
     universes and kinds form groups of their own; a group of one has no neighbours; an empty
     table gives no rows; other columns are ignored.
     """
-
-    def work(t: pa.Table) -> pa.Table:
-        ids = np.array(t["id"].to_pylist(), dtype=object)
-        x = unit(np.asarray(t["v"].combine_chunks().flatten(), dtype=np.float32).reshape(len(ids), -1))
-        home = np.asarray(t["home"])
-        nodes, queries = ids[home], np.concatenate([ids[home], ids[~home]])
-        a, b, _ = shard_neighbours(x[home], x[~home], k, batch)
-        q = np.concatenate([x[home], x[~home]]).astype(np.float64)
-        s = np.einsum("ij,ij->i", q[a], q[b])
-        keep = (s >= least) & (queries[a] != nodes[b])
-        a, b, s = a[keep], b[keep], s[keep]
-        order = np.lexsort((-s, a))
-        a, b, s = a[order], b[order], s[order]
-        count = np.bincount(a, minlength=len(queries))
-        place = np.arange(len(a)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        top = place < 2 * k
-        return pa.table({"id": pa.array(queries[a[top]], pa.string()), "other_id": pa.array(nodes[b[top]], pa.string()), "similarity": s[top]})
-
-    dealt = _assigned(usable_vectors(records, dim), shard, probes)
-    found = dealt.groupBy("shard").applyInArrow(work, "id string, other_id string, similarity double")
-    # At most 2 k rows for each shard in which a vector was looked for.
+    group = F.to_json(F.array(F.coalesce("universe_id", F.lit("")), F.col("universe_id").isNull().cast("string"), F.coalesce("kind", F.lit("")), F.col("kind").isNull().cast("string")))
+    keyed = cut(usable_vectors(records, dim).select(group.alias("g"), "id", "v"))
+    sizes = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # Groups above a size are at most as many as the vectors divided by it.
+    big = cut(sizes.filter(F.col("n") > shard).withColumn("cells", F.least(F.lit(MAX_CELLS), F.ceil(2 * F.col("n") / shard))))
+    total = big.agg(F.sum("cells")).first()[0] or 0
+
+    def whole(t: pa.Table) -> pa.Table:
+        ids, x = _columns(t)
+        return _answers(Shard(ids, x), ids, x, k, least)
+
+    if not total:
+        found = keyed.groupBy("g").applyInArrow(whole, _FOUND)
+    else:
+        big = big.withColumn("cells", F.greatest(F.lit(2), F.ceil(F.col("cells") * min(1.0, MAX_CENTROIDS / total))).cast("int"))
+        small = keyed.join(big.select("g"), "g", "left_anti").groupBy("g").applyInArrow(whole, _FOUND)
+        found = small.unionByName(_large_groups(cut(keyed.join(big, "g")), shard, probes, k, least))
+    # At most k rows for each shard in which a vector was looked for.
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "other_id", "rank", "similarity")
 

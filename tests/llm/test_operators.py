@@ -125,20 +125,50 @@ def recall(x, found, k=5):
     return len(want & found) / len(want)
 
 
-def test_graph_recall():
-    x = neighbours.unit(clustered(3_000))
-    a, b, _ = neighbours.shard_neighbours(x, x[:0], 5, batch=256)
-    assert recall(x, set(zip(a.tolist(), b.tolist()))) >= 0.95
-
-
-def test_shards_and_probes_recall(spark):
+def test_graph_of_a_shard_recall():
+    x = clustered(3_000)
+    ids = np.array([f"v{i:04d}" for i in range(len(x))], dtype=object)
+    a, b, s = neighbours.Shard(ids, x).nearest(ids, x, 5, -1.0)
+    assert recall(neighbours.unit(x), set(zip(a.tolist(), b.tolist()))) >= 0.95 and len(a) == 5 * len(x)
+    few = neighbours.Shard(ids[:40], x[:40]).nearest(ids[:40], x[:40], 5, -1.0)
+    assert recall(neighbours.unit(x[:40]), set(zip(few[0].tolist(), few[1].tolist()))) == 1.0
+
+
+def test_copies_are_folded_and_rank_by_id():
+    x = clustered(200)
+    many = np.concatenate([np.repeat(x[:1], 5_000, axis=0), x[1:]])
+    ids = np.array([f"c{i:05d}" for i in range(len(many))], dtype=object)
+    shard = neighbours.Shard(ids, many)
+    assert len(shard.graph.x) == 200
+    a, b, s = shard.nearest(ids, many, 5, -1.0)
+    assert [int(y) for y in b[a == 3]] == [0, 1, 2, 4, 5] and [int(y) for y in b[a == 4_000]] == [0, 1, 2, 3, 4] and np.allclose(s[a == 3], 1)
+    assert np.bincount(a, minlength=len(ids)).min() == 5
+
+
+@pytest.mark.parametrize("shard, cells", [(400, 8), (46, 66)])
+def test_cells_shards_and_visitors_recall(spark, shard, cells, monkeypatch):
+    monkeypatch.setattr(neighbours, "VISITORS", 150)
     x = clustered(1_500)
-    rows = [(f"v{i:04d}", "u", "chunk", 1, x[i].tolist()) for i in range(len(x))]
+    rows = [(f"v{i:04d}", "u", "chunk", 1, x[i].tolist()) for i in range(len(x))] + [(f"w{i}", "w", "chunk", 1, x[i].tolist()) for i in range(3)]
     df = spark.createDataFrame(rows, "id string, universe_id string, kind string, created_at long, vector array<float>")
-    got = neighbours.nearest_records(df, shard=400, batch=128).collect()
+    assert -(-2 * 1_500 // shard) == cells
+    got = [r for r in neighbours.nearest_records(df, shard=shard).collect() if r.id[0] == "v"]
     assert recall(x, {(int(r.id[1:]), int(r.other_id[1:])) for r in got}) >= 0.9 and len(got) == 5 * len(x)
 
 
+def test_recall_without_clear_clusters(spark):
+    centres = np.random.default_rng(3).normal(size=(40, 64))
+    rng = np.random.default_rng(4)
+    x = (centres[rng.integers(0, 40, 1_000)] + 1.5 * rng.normal(size=(1_000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", 1, "u", "k", v.tolist()) for i, v in enumerate(x)], "id string, created_at long, universe_id string, kind string, vector array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
+    found = {p: {(r.id, r.other_id) for r in neighbours.nearest_records(df, shard=31, probes=p).collect()} for p in (None, 4)}
+    assert len(found[None] & want) / len(want) >= 0.9 > len(found[4] & want) / len(want)
+
+
 def test_unusable_vectors_versions_and_ties(spark):
     unit = [1.0] + [0.0] * 63
     bad = [[float("nan")] + unit[1:], [0.0] * 64, unit[:63], None, [None] + unit[1:], [float("inf")] + unit[1:]]
