@@ -11,8 +11,10 @@ places hold min-hashes, of which a segment holds few but selective ones.  With 9
 Texts with equal word sequences are one class and indexed once.  Variants travel as packed
 blobs, one for each (task, bucket), and a bucket sorts its keys.  Candidates must then agree
 in a one-bit sketch, in their whole signatures, and last in an exact Jaccard of the shingles.
-A key that is frequent in a task is dealt as blocks of documents, and pairs of blocks are
-compared in tasks of their own, so no key is gathered in one task.
+A key that is frequent among the documents of a task goes past its bucket, so it fills none;
+a bucket, which sees all other entries of its keys, passes on every key with more than BLOCK
+documents.  Both are counted together and dealt evenly to blocks of BLOCK documents, and
+pairs of blocks are compared, so no key is gathered in one task.
 """
 
 from __future__ import annotations
@@ -27,17 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import strip_space
-from loomgraph.session import cut
+from loomgraph.operators.skew import lookup_join
+from loomgraph.session import cut, drop_cut
 
 SEGMENTS, WIDTH = 9, 6
 PLACES = SEGMENTS * WIDTH
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 20, 0.70
 #: Bytes of index entries that a bucket holds on average.
-BUCKET_BYTES = 32 << 20
-#: Documents of one key in one task beyond which the key is dealt in blocks of this size.
-BLOCK = 512
-#: Copies of one text (or file) whose pairs are all listed; copies beyond are listed with their class's smallest id.
-PAIRED_COPIES = 1_000
+BUCKET_BYTES = 8 << 20
+#: Documents of one key that are compared in place; a key with more is dealt in blocks of this size.
+BLOCK = 4_096
+#: Entries of one key among SPREAD documents of a task beyond which they go past the key's bucket.
+FREQUENT, SPREAD = 128, 20_000
+#: Members of a class in a block when the pairs of a class are listed.
+LISTED = 1_000
 
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(7)
@@ -169,72 +174,104 @@ def _signed(df: DataFrame, key: str, text: str) -> DataFrame:
     return slim.mapInArrow(run, "doc long, id string, h long, seq binary, sig binary")
 
 
-def candidate_pairs(reps: DataFrame, buckets: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, of documents (doc long, sig binary) that share a one-wildcard variant."""
+def candidate_pairs(reps: DataFrame, buckets: int, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct (a, b), a < b, of documents (doc long, sig binary) that share a one-wildcard variant.
+
+    Also returns the written frames behind it, to be dropped when the pairs have been read.
+    """
+    frequent = min(FREQUENT, block)
+    none = lambda n, kind: pa.nulls(n, kind)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = b.column(0).to_numpy()
             sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, PLACES)
-            for lo in range(0, len(docs), 20_000):
-                e = variant_entries(docs[lo : lo + 20_000], sigs[lo : lo + 20_000])
+            for lo in range(0, len(docs), SPREAD):
+                e = variant_entries(docs[lo : lo + SPREAD], sigs[lo : lo + SPREAD])
                 where = (e["key"] % np.uint64(buckets)).astype(np.int64)
                 e = e[np.lexsort((e["key"], where))]
                 rows = []
                 change = np.flatnonzero(e["key"][1:] != e["key"][:-1]) + 1
                 starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(e)]])
-                hot = ends - starts > block
+                hot = ends - starts > frequent
                 light = np.ones(len(e), dtype=bool)
                 for s, t in zip(starts[hot], ends[hot]):
                     # The bucket gets a mark in place of the documents, so that it passes on what others have of the key.
-                    rows += [(int(e["key"][s] % np.uint64(buckets)), int(e["key"][s].view(np.int64)), e[x : min(x + block, t)].tobytes()) for x in range(s, t, block)]
+                    rows += [(None, int(e["key"][s].view(np.int64)), min(block, t - x), e[x : min(x + block, t)].tobytes()) for x in range(s, t, block)]
                     light[s:t] = False
                     light[s], e["doc"][s] = True, -1
                 e = e[light]
                 edges = np.searchsorted((e["key"] % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
-                rows += [(i, None, e[edges[i] : edges[i + 1]].tobytes()) for i in range(buckets) if edges[i] < edges[i + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["bucket", "hot", "blob"],
-                )
+                rows += [(i, None, None, e[edges[i] : edges[i + 1]].tobytes()) for i in range(buckets) if edges[i] < edges[i + 1]]
+                cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "hot", "n", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column(1).to_pylist()]
-        if not blobs:
-            return
+        held: list[bytes] = []
+        at = None
+        for b in batches:  # the buckets of a task lie one behind the other
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and bucket != at:
+                    yield from meet_bucket(held)
+                    held = []
+                at = bucket
+                held.append(blob)
+        if held:
+            yield from meet_bucket(held)
+
+    def meet_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         e = np.frombuffer(b"".join(blobs), dtype=_ENTRY)
         e = e[np.argsort(e["key"], kind="stable")]
-        marked = np.isin(e["key"], e["key"][e["doc"] < 0])
-        rest = e[marked & (e["doc"] >= 0)]
-        e = e[~marked]
-        a, b = pairs_in_runs(e["key"], e["doc"], e["bits"], threshold)
-        none = pa.nulls(len(a), pa.int64())
-        out = [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, pa.nulls(len(a), pa.binary())], names=["a", "b", "hot", "blob"])]
-        for k in np.unique(rest["key"]):
-            own = rest[rest["key"] == k]
-            n = -(-len(own) // block)
-            x = [own[i * block : (i + 1) * block].tobytes() for i in range(n)]
-            out.append(pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([int(k.view(np.int64))] * n, pa.int64()), pa.array(x, pa.binary())], names=["a", "b", "hot", "blob"]))
-        yield from out
+        change = np.flatnonzero(e["key"][1:] != e["key"][:-1]) + 1
+        starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(e)]])
+        passed = (ends - starts > block) | (np.add.reduceat((e["doc"] < 0).astype(np.int64), starts) > 0)
+        here = np.repeat(~passed, ends - starts)
+        a, b = pairs_in_runs(e["key"][here], e["doc"][here], e["bits"][here], threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(none(len(a), t) for t in (pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "hot", "n", "blob"])
+        for s, t in zip(starts[passed], ends[passed]):
+            own = e[s:t][e["doc"][s:t] >= 0]
+            x = [own[i : i + block] for i in range(0, len(own), block)]
+            key, n = pa.array([int(e["key"][s].view(np.int64))] * len(x), pa.int64()), pa.array([len(y) for y in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([none(len(x), pa.int64()), none(len(x), pa.int64()), key, n, pa.array([y.tobytes() for y in x], pa.binary())], names=["a", "b", "hot", "n", "blob"])
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block_of(key: tuple, blobs: list[bytes]) -> pa.RecordBatch:
+            cols = [pa.array([v], t) for v, t in zip((*key, b"".join(blobs)), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, names=["hot", "part", "parts", "blob"])
+
+        held: list[bytes] = []
+        at = None
+        for b in batches:
+            for *key, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and tuple(key) != at:
+                    yield block_of(at, held)
+                    held = []
+                at = tuple(key)
+                held.append(blob)
+        if held:
+            yield block_of(at, held)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 p, q = np.frombuffer(x, dtype=_ENTRY), np.frombuffer(y, dtype=_ENTRY)
-                i, j = np.nonzero(close_bits(p["bits"][:, None], q["bits"][None, :], threshold))
-                a, b = p["doc"][i], q["doc"][j]
-                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    dealt = cut(reps.select("doc", "sig").mapInArrow(spread, "bucket int, hot long, blob binary"))
-    met = cut(dealt.filter(F.col("hot").isNull()).select("bucket", "blob").repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, hot long, blob binary"))
-    hot = dealt.filter(F.col("hot").isNotNull()).select("hot", "blob").unionByName(met.filter(F.col("hot").isNotNull()).select("hot", "blob"))
-    hot = hot.withColumn("no", F.xxhash64("blob"))
-    other = hot.select("hot", F.col("blob").alias("blob2"), F.col("no").alias("no2"))
-    # Pairs of blocks, dealt evenly: the number of blocks is that of the key's documents by BLOCK.
-    blocks = hot.join(other, "hot").filter(F.col("no") <= F.col("no2")).select("blob", "blob2")
-    far = blocks.repartition(buckets, F.xxhash64("blob", "blob2")).mapInArrow(cross, "a long, b long")
-    return met.filter(F.col("hot").isNull()).select("a", "b").unionByName(far).distinct()
+                for lo in range(0, len(p), 256):
+                    i, j = np.nonzero(close_bits(p["bits"][lo : lo + 256, None], q["bits"][None, :], threshold))
+                    a, b = p["doc"][lo + i], q["doc"][j]
+                    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = cut(reps.select("doc", "sig").mapInArrow(spread, "bucket int, hot long, n long, blob binary"))
+    in_order = dealt.filter(F.col("hot").isNull()).select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = cut(in_order.mapInArrow(meet, "a long, b long, hot long, n long, blob binary"))
+    hot = dealt.filter(F.col("hot").isNotNull()).select("hot", "n", "blob").unionByName(met.filter(F.col("hot").isNotNull()).select("hot", "n", "blob"))
+    # All documents of a key, counted in one row for each task, are dealt to as many blocks as they fill.
+    parts = hot.groupBy("hot").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    placed = lookup_join(hot.select("hot", "blob"), parts, ["hot"]).select("hot", F.pmod(F.xxhash64("blob"), F.col("parts")).cast("int").alias("part"), "parts", "blob")
+    blocks = cut(placed.repartition("hot", "part").sortWithinPartitions("hot", "part").mapInArrow(regroup, "hot long, part int, parts int, blob binary"))
+    left = blocks.select("hot", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"), "blob")
+    far = left.join(blocks.select("hot", "part", F.col("blob").alias("blob2")), ["hot", "part"]).select("blob", "blob2").mapInArrow(cross, "a long, b long")
+    return met.filter(F.col("hot").isNull()).select("a", "b").unionByName(far).distinct(), [dealt, met, blocks]
 
 
 def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -248,12 +285,11 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshol
     repeated rows count once; an id with several texts is in several classes; very long texts
     are compared whole; an empty table gives no rows; other columns are ignored.
     """
-    spark = df.sparkSession
     signed = cut(_signed(df, key, text))
     reps = cut(signed.groupBy("seq").agg(F.min(F.struct("doc", "id", "h", "sig")).alias("m")).select("seq", "m.*"))
     # Buckets grow with the texts, so that none outgrows a task.
-    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * PLACES * _ENTRY.itemsize // BUCKET_BYTES + 1)
-    members = signed.select("seq", "id").distinct().join(reps.select("seq", F.col("doc").alias("class")), "seq").select("class", "id")
+    n = buckets or reps.count() * PLACES * _ENTRY.itemsize // BUCKET_BYTES + 1
+    members = lookup_join(signed.select("seq", "id").distinct(), reps.select("seq", F.col("doc").alias("class")), ["seq"], rows=signed.count()).select("class", "id")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,44 +298,57 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshol
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, frozenset] = {}
+        size = 0
         for b in batches:
             a_, b_ = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = []
             for i, j, x, y in zip(a_, b_, b.column(2), b.column(3)):
                 for d, t in ((i, x), (j, y)):
                     if d not in sets:
-                        if len(sets) > 2_000:
+                        if size > 200_000:  # shingles kept
                             sets.clear()
+                            size = 0
                         sets[d] = shingle_set(words_of(t.as_py()))
+                        size += len(sets[d])
                 out.append(jaccard(sets[i], sets[j]) if i in sets and j in sets else jaccard(shingle_set(words_of(x.as_py())), shingle_set(words_of(y.as_py()))))
             sims = np.array(out, dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(sims)], names=["a", "b", "similarity"]).filter(pa.array(sims >= threshold))
 
-    pairs = candidate_pairs(reps, n, threshold, block)
+    pairs, written = candidate_pairs(reps, n, threshold, block)
     sig_a, sig_b = (reps.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = cut(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long"))
+    for frame in written:
+        drop_cut(frame)
     # Texts only of those still in question, found again by id and hash.
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(reps.select("doc", "id", "h"), "doc")
     source = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     texts = cut(source.join(asked, ["id", "h"]).dropDuplicates(["doc"]).select("doc", "t"))
     text_a, text_b = (texts.select(F.col("doc").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
     links = cut(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long, similarity double"))
+    for frame in (pairs, texts):
+        drop_cut(frame)
     return members, links
 
 
-def _expanded(members: DataFrame, links: DataFrame, limit: int = PAIRED_COPIES) -> DataFrame:
-    """(id_a, id_b) of all members of linked classes and of each class; see PAIRED_COPIES."""
-    size = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    sized = members.join(size, "class")
-    listed = sized.filter((F.col("n") <= limit) | (F.col("id") == F.col("least"))).select("class", "id")
-    x, y = listed.select(F.col("class").alias("a"), F.col("id").alias("x")), listed.select(F.col("class").alias("b"), F.col("id").alias("y"))
-    between = links.join(x, "a").join(y, "b").select("x", "y")
-    several = sized.filter(F.col("n") > 1)
-    inside = several.filter(F.col("n") <= limit).select("class", F.col("id").alias("x"))
-    inside = inside.join(inside.withColumnRenamed("x", "y"), "class").filter(F.col("x") < F.col("y")).select("x", "y")
-    star = several.filter((F.col("n") > limit) & (F.col("id") != F.col("least"))).select(F.col("least").alias("x"), F.col("id").alias("y"))
-    every = between.unionByName(inside).unionByName(star)
-    return every.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+def all_pairs(members: DataFrame, links: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of all members of linked classes and of each class.
+
+    Members are dealt to blocks of ``listed``, and blocks are joined, so that a large class is
+    listed by many tasks.
+    """
+    size = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).select("class", "n", F.ceil(F.col("n") / listed).cast("int").alias("parts"))
+    placed = lookup_join(members, size, ["class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    several = placed.filter(F.col("n") > 1)
+    x = several.select("class", F.col("id").alias("x"), "part", every("parts").alias("with"))
+    y = several.select("class", F.col("id").alias("y"), F.col("part").alias("with"), every("parts").alias("part"))
+    inside = x.join(y, ["class", "part", "with"]).filter(F.col("x") < F.col("y")).select("x", "y")
+    sized = [size.select(F.col("class").alias(c), F.col("parts").alias(f"n{c}")) for c in "ab"]
+    ends = links.select("a", "b").join(sized[0], "a").join(sized[1], "b").select("a", "b", every("na").alias("pa"), "nb").select("a", "b", "pa", every("nb").alias("pb"))
+    xs, ys = (placed.select(F.col("class").alias(c), F.col("part").alias(f"p{c}"), F.col("id").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    between = ends.join(xs, ["a", "pa"]).join(ys, ["b", "pb"]).select("x", "y")
+    both = between.unionByName(inside)
+    return both.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def file_classes(files: DataFrame) -> DataFrame:
@@ -314,7 +363,7 @@ def p7_found(spark, sf_dir):
     members, links = near_duplicates(table(spark, sf_dir, "chunks"))
     same = file_classes(table(spark, sf_dir, "files"))
     none = spark.createDataFrame([], "a string, b string")
-    return _expanded(members, links).unionByName(_expanded(same, none))
+    return all_pairs(members, links).unionByName(all_pairs(same, none))
 
 
 def p7_groups(spark, sf_dir):
@@ -330,7 +379,7 @@ def p7_groups(spark, sf_dir):
     groups = connected_components(ends, "x", "y").select(F.col("id").alias("least"), "group_id")
     zero = F.coalesce("links", F.lit(0).cast("long")).alias("links")
     kept = size.join(degree, "class", "left").join(groups, "least", "left").filter((F.col("copies") > 1) | F.col("links").isNotNull())
-    return members.join(kept, "class").select("id", F.coalesce("group_id", "least").alias("group_id"), "copies", zero)
+    return lookup_join(members, kept, ["class"]).select("id", F.coalesce("group_id", "least").alias("group_id"), "copies", zero)
 
 
 QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}

@@ -279,7 +279,7 @@ def test_near_duplicates_match_brute_force(spark, block):
     rows = [(f"t{i:03d}", t, 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + rows[:5] + [(None, texts[0], 0)], "id string, text string, doc long")
     members, links = neardups.near_duplicates(df, block=block)
-    got = {tuple(r) for r in neardups._expanded(members, links).collect()}
+    got = {tuple(r) for r in neardups.all_pairs(members, links).collect()}
     sets = {i: neardups.shingle_set(w) for i, t, _ in rows if t and len(w := neardups.words_of(t)) >= 20}
     want = {(a, b) for a in sets for b in sets if a < b and neardups.jaccard(sets[a], sets[b]) >= 0.70}
     assert got <= want and len(want - got) <= 0.02 * len(want)
@@ -289,8 +289,10 @@ def test_near_duplicates_of_nothing_and_large_classes(spark):
     members, links = neardups.near_duplicates(spark.createDataFrame([], "id string, text string"))
     assert members.count() == 0 and links.count() == 0
     many = spark.createDataFrame([(1, f"i{i}") for i in range(6)], "class long, id string")
-    assert neardups._expanded(many, spark.createDataFrame([], "a long, b long"), limit=5).count() == 5
-    assert neardups._expanded(many, spark.createDataFrame([], "a long, b long"), limit=6).count() == 15
+    for listed in (2, 1_000):
+        pairs = neardups.all_pairs(many.unionByName(spark.createDataFrame([(2, "j0"), (2, "j1"), (2, "i0")], many.schema)), spark.createDataFrame([(1, 2)], "a long, b long"), listed)
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == {(f"i{a}", f"i{b}") for a in range(6) for b in range(a + 1, 6)} | {(f"i{a}", f"j{b}") for a in range(6) for b in range(2)} | {("j0", "j1")}
 
 
 def test_file_hashes(spark):
