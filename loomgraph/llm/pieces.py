@@ -118,29 +118,47 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list]:
         yield held
 
 
+def _framed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of up to 1,000."""
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= 1_000:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    yield pd.DataFrame(held, columns=columns)
+
+
 def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each block: its length and, for each run of entries, where they enter the next block and after how many pieces."""
-    for rows in _groups(batches, ["d", "blk"]):
-        at, enter, count = rows[0].h_at, rows[0].h_next.copy(), rows[0].h_count.copy()
-        for r in rows[1:]:
-            on = np.flatnonzero(enter >= 0)
-            i = np.searchsorted(r.h_at, enter[on], side="right") - 1
-            count[on] += r.h_count[i]
-            enter[on] = r.h_next[i]
-        yield pd.DataFrame({"d": [rows[0].d], "blk": [rows[0].blk], "size": [sum(r.size_ for r in rows)], "h_at": [at], "h_next": [enter], "h_count": [count]})
+
+    def rows_of() -> Iterator[tuple]:
+        for rows in _groups(batches, ["d", "blk"]):
+            at, enter, count = rows[0].h_at, rows[0].h_next.copy(), rows[0].h_count.copy()
+            for r in rows[1:]:
+                on = np.flatnonzero(enter >= 0)
+                i = np.searchsorted(r.h_at, enter[on], side="right") - 1
+                count[on] += r.h_count[i]
+                enter[on] = r.h_next[i]
+            yield rows[0].d, rows[0].blk, sum(r.size_ for r in rows), at, enter, count
+
+    return _framed(rows_of(), ["d", "blk", "size", "h_at", "h_next", "h_count"])
 
 
 def stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each block that a piece starts in: its offset, the entry and the number of the first piece."""
-    for rows in _groups(batches, ["d"]):
-        entry, first, base, out = 0, 0, 0, []
-        for r in rows:
-            out.append((r.d, r.blk, base, entry, first))
-            i = bisect_right(r.h_at, entry) - 1
-            first, entry, base = first + int(r.h_count[i]), int(r.h_next[i]), base + r.size_
-            if entry < 0:
-                break
-        yield pd.DataFrame(out, columns=["d", "blk", "base", "entry", "first"])
+
+    def rows_of() -> Iterator[tuple]:
+        for rows in _groups(batches, ["d"]):
+            entry, first, base = 0, 0, 0
+            for r in rows:
+                yield r.d, r.blk, base, entry, first
+                i = bisect_right(r.h_at, entry) - 1
+                first, entry, base = first + int(r.h_count[i]), int(r.h_next[i]), base + r.size_
+                if entry < 0:
+                    break
+
+    return _framed(rows_of(), ["d", "blk", "base", "entry", "first"])
 
 
 def _emitter(max_chars: int, overlap: int):
