@@ -125,41 +125,42 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest nodes found from each row of ``q``, nearest first; -1 and -inf fill up."""
-        step = int(np.clip((1 << 24) // max(1, len(self.x)), 16, 512))  # a mark for each query and node
+        step = int(np.clip((1 << 23) // max(1, len(self.x)), 16, 512))  # a mark for each query and node
         parts = [self._search(q[lo : lo + step], beam) for lo in range(0, len(q), step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, act = len(self.x), np.arange(len(q))
-        seen = np.zeros(len(q) * n, dtype=bool)
-        seen[(act[:, None] * n + self.entries).ravel()] = True
-        out_ids, out_sims = np.full((len(q), beam), -1, dtype=np.int64), np.full((len(q), beam), -np.inf, dtype=np.float32)
-        ids, sims = np.full((len(q), beam), -1, dtype=np.int64), np.full((len(q), beam), -np.inf, dtype=np.float32)
+        seen = np.full(len(q) * n, -1, dtype=np.int32)  # the turn at which a query met a node
+        seen[(act[:, None] * n + self.entries).ravel()] = 0
+        out_ids, out_sims = np.full((len(q), beam), -1, dtype=np.int32), np.full((len(q), beam), -np.inf, dtype=np.float32)
+        ids, sims = out_ids.copy(), out_sims.copy()
         at, val = top_columns(q @ self.x[self.entries].T, beam)
         ids[:, : at.shape[1]], sims[:, : at.shape[1]] = self.entries[at], val
         fresh = ids >= 0
         while True:
             # The nearest nodes of each beam that are not opened yet; beams without any are done.
-            pick = np.argsort(~fresh, axis=1, kind="stable")[:, :OPEN]
-            has = np.take_along_axis(fresh, pick, 1)
-            live = has.any(axis=1)
-            out_ids[act[~live]], out_sims[act[~live]] = ids[~live], sims[~live]
-            if not live.any():
-                return out_ids, out_sims
-            act, ids, sims, fresh, pick, has = act[live], ids[live], sims[live], fresh[live], pick[live], has[live]
-            np.put_along_axis(fresh, pick, False, 1)
-            near = np.where(has[:, :, None], self.edges[np.take_along_axis(ids, pick, 1)], -1).reshape(len(act), -1)
-            row, col = np.nonzero(near >= 0)
-            node = near[row, col].astype(np.int64)
-            key = act[row] * n + node
-            unseen = ~seen[key]
-            key, at = np.unique(key[unseen], return_index=True)
-            row, node = row[unseen][at], node[unseen][at]
-            if not len(row):
+            pick = fresh & (np.cumsum(fresh, axis=1, dtype=np.int16) <= OPEN)
+            live = fresh.any(axis=1)
+            if not live.all():
+                out_ids[act[~live]], out_sims[act[~live]] = ids[~live], sims[~live]
+                if not live.any():
+                    return out_ids, out_sims
+                act, ids, sims, fresh, pick = act[live], ids[live], sims[live], fresh[live], pick[live]
+            fresh &= ~pick
+            row, col = np.nonzero(pick)
+            near = self.edges[ids[row, col]]
+            key = ((act[row] * n)[:, None] + near).ravel()
+            new = np.flatnonzero((seen[key] < 0) & (near.ravel() >= 0))
+            key, turn = key[new], np.arange(len(new), dtype=np.int32)
+            seen[key] = turn
+            once = seen[key] == turn  # a node met on several ways counts once
+            new = new[once]
+            if not len(new):
                 continue
-            seen[key] = True
+            row, node = row[new // self.degree], near.ravel()[new]
             count, place = places(row, len(act))
-            new_ids, new_sims = np.full((len(act), count.max()), -1, dtype=np.int64), np.full((len(act), count.max()), -np.inf, dtype=np.float32)
+            new_ids, new_sims = np.full((len(act), count.max()), -1, dtype=np.int32), np.full((len(act), count.max()), -np.inf, dtype=np.float32)
             new_ids[row, place], new_sims[row, place] = node, np.einsum("ij,ij->i", q[act[row]], self.x[node])
             best, sims = top_columns(np.concatenate([sims, new_sims], 1), beam)
             ids = np.take_along_axis(np.concatenate([ids, new_ids], 1), best, 1)
