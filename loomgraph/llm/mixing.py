@@ -2,9 +2,10 @@
 
 The natural share of a source is its part of all tokens.  Weights run from natural shares
 (exponent 0) to the targets (exponent 1) as natural * (target / natural) ^ exponent,
-normalised.  The largest total that an exponent allows is where the first source reaches its
-cap of repeats.  Without a total the targets are met exactly and the total is the largest
-possible; for a larger total the exponent is bisected down until the caps hold.
+normalised.  The exponent is bisected to the largest one at which no source is repeated
+beyond its cap for the total asked for; without a total, that is the most tokens that the
+targets themselves allow, so the exponent is 1 and the targets are met exactly.  With an
+entropy in place of targets, weights are natural ^ exponent, bisected to that entropy.
 
 A source's budget is realised as full passes over its documents and one part pass: documents
 are hashed to blocks, blocks are taken in a seeded permutation up to the budget, and the
@@ -23,7 +24,7 @@ from loomgraph.llm.tokens import VOCABULARY, count_tokens
 from loomgraph.session import cut
 
 #: Tokens of a block, and the most blocks of a source (then blocks are larger).
-BLOCK_TOKENS, MAX_BLOCKS = 1_000_000, 100_000
+BLOCK_TOKENS, MAX_BLOCKS = 65_536, 100_000
 
 
 def source_name(c: Column) -> Column:
@@ -72,10 +73,27 @@ def exponent_for_entropy(sizes: dict[str, float], entropy: float) -> float:
     return (low + high) / 2
 
 
+def budgets(sizes: dict[str, float], shares: dict[str, float], caps: dict[str, int], total: float | None, entropy: float | None) -> tuple[dict[str, float], float]:
+    """The weights of the sources and the tokens of the whole mix."""
+    if entropy is not None:
+        whole = sum(sizes.values())
+        e = exponent_for_entropy(sizes, entropy * log(len(sizes))) if len(sizes) > 1 else 1.0
+        raw = {s: (n / whole) ** e for s, n in sizes.items()}
+        weights = {s: w / sum(raw.values()) for s, w in raw.items()}
+        most = largest_total(sizes, weights, caps)
+        if total is not None and total > most:
+            raise ValueError("the caps don't allow that total at that entropy")
+        return weights, most if total is None else total
+    wanted = largest_total(sizes, shares, caps) if total is None else total
+    return tempered(sizes, shares, exponent_for_total(sizes, shares, caps, wanted)), wanted
+
+
 def mix_sources(
     documents: DataFrame,
     targets: DataFrame,
     total: float | None = None,
+    passes: float | None = None,
+    entropy: float | None = None,
     seed: int = 42,
     path: str = VOCABULARY,
 ) -> DataFrame:
@@ -84,6 +102,9 @@ def mix_sources(
     ``targets`` has ``source``, ``target_share`` and ``max_repeats``, a bounded table of
     sources.  Shares of listed sources without tokens are spread over the others in
     proportion.  A source's tokens differ from its budget by less than one document.
+    ``total`` is the number of tokens wanted, ``passes`` the same as a multiple of the
+    tokens of the listed sources; ``entropy``, as a share of the highest (equal weights),
+    takes the place of the target shares.  ValueError if the caps don't allow the total.
 
     Defined cases: documents of unlisted and null sources, and those without tokens (null,
     empty), are left out; a repeated row is a document of its own; targets that are null or
@@ -104,9 +125,7 @@ def mix_sources(
         return counted.select("doc_id", "source", F.lit(1).alias("copy_no"), "n_tokens").limit(0)
     norm = sum(r.share for r in goal.values())
     shares, caps = {s: r.share / norm for s, r in goal.items()}, {s: r.cap for s, r in goal.items()}
-    exponent = 1.0 if total is None else exponent_for_total(sizes, shares, caps, total)
-    weights = tempered(sizes, shares, exponent)
-    budget_all = largest_total(sizes, weights, caps) if total is None else total
+    weights, budget_all = budgets(sizes, shares, caps, passes * sum(sizes.values()) if passes is not None else total, entropy)
     plan = []
     for s, n in sizes.items():
         budget = weights[s] * budget_all
@@ -157,5 +176,26 @@ def p9_shares(spark, sf_dir):
     return share_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
+def p9_full(spark, sf_dir):
+    """As many tokens as the listed sources have: more than the targets allow, so the exponent is bisected to the caps."""
+    from loomgraph.session import table
+
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), passes=1.0)
+
+
+def p9_full_shares(spark, sf_dir):
+    from loomgraph.session import table
+
+    return share_report(p9_full(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_entropy_shares(spark, sf_dir):
+    """Natural shares, flattened to nine tenths of the highest entropy within the caps."""
+    from loomgraph.session import table
+
+    targets = table(spark, sf_dir, "mix_targets")
+    return share_report(mix_sources(table(spark, sf_dir, "documents"), targets, entropy=0.9), targets)
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_full": p9_full, "p9_full_shares": p9_full_shares, "p9_entropy_shares": p9_entropy_shares}
 ORACLES: dict[str, str] = {}

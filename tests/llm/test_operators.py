@@ -257,6 +257,26 @@ def test_interleaved_threads_separate(spark):
     df = spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at long, turn long")
     got = {r.id: r.parent for r in chats.reply_links(df, new_thread_below=1.0).collect()}
     assert got == {"1": None, "2": None, "3": "1", "4": "2"}
+    assert {(r.message_id, r.thread, r.depth) for r in chats.threads(df).collect()} == {("1", "1", 0), ("2", "2", 0), ("3", "1", 1), ("4", "2", 1)}
+
+
+def test_parents_are_the_best_of_all_messages_before(spark):
+    rng = random.Random(5)
+    rows = []
+    for turn in range(1, 71):
+        words = rng.sample(["kiln", "ferry", "glaze", "harbour", "orchard", "survey", "timber"], 3)
+        if turn > 6 and turn % 3:
+            words += [f"m{max(1, turn - rng.randrange(5, 25)):03d}"]
+        rows.append((f"m{turn:03d}", "c", rng.choice(["user", "assistant", "tool"]), " ".join(words), turn * 200_000, turn))
+    got = {r.id: r.parent for r in chats.reply_links(spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at long, turn long")).collect()}
+    fits = {("assistant", "user"), ("assistant", "tool"), ("tool", "user"), ("tool", "assistant"), ("user", "assistant"), ("user", "system")}
+
+    def score(a, b):
+        wa, wb = set(a[3].split()), set(b[3].split())
+        return 1 / (1 + (a[4] - b[4]) / 60_000) + len(wa & wb) / len(wa) + ((a[2], b[2]) in fits) + 2 * (b[0] in a[3]) - 0.25 * (a[5] - b[5] - 1)
+
+    want = {a[0]: max(rows[:i], key=lambda b, a=a: (score(a, b), b[5]), default=(None,))[0] for i, a in enumerate(rows)}
+    assert got == want and any(w and int(i[1:]) - int(w[1:]) > 4 for i, w in want.items())
 
 
 # --- near-duplicates ----------------------------------------------------------------------
@@ -341,6 +361,43 @@ def test_mix_meets_shares_and_caps(spark):
     assert again.exceptAll(mix).count() == 0
 
 
+def test_exponent_is_bisected_for_a_total_and_an_entropy(spark):
+    rows = [(i, "a" if i % 10 else "b", "word " * (1 + i % 7)) for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    sizes = {r.source: r.n for r in mixing.count_tokens(docs).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    whole = sum(sizes.values())
+    got = {r.source: r for r in mixing.share_report(mixing.mix_sources(docs, targets, passes=1.0), targets).collect()}
+    assert abs(sum(r.n_tokens for r in got.values()) - whole) <= 20
+    e = mixing.exponent_for_total(sizes, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 4}, whole)
+    want = mixing.tempered(sizes, {"a": 0.5, "b": 0.5}, e)
+    assert 0 <= e < 1 and all(abs(got[s].actual_share - want[s]) < 0.01 for s in want)
+    got = {r.source: r.actual_share for r in mixing.share_report(mixing.mix_sources(docs, targets, entropy=0.9), targets).collect()}
+    assert abs(-sum(w * np.log2(w) for w in got.values()) - 0.9) < 0.01 and got["a"] > got["b"]
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, targets, passes=5.0)
+
+
+def test_block_permutation_against_brute_force(spark, monkeypatch):
+    """The documents of a part pass are the first blocks in the seeded order, and of the next block the first documents."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 200)
+    docs = spark.createDataFrame([(i, "a", "word " * (1 + i % 5)) for i in range(600)] + [(10_000 + i, "b", "word") for i in range(100)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    chosen = {r.doc_id for r in mixing.mix_sources(docs, targets).filter("source = 'a'").collect()}
+    tokens_of = {r.doc_id: r.n_tokens for r in mixing.count_tokens(docs).filter("source = 'a'").collect()}
+    n_b = sum(r.n_tokens for r in mixing.count_tokens(docs).filter("source = 'b'").collect())
+    blocks = -(-sum(tokens_of.values()) // 200)
+    keys = docs.filter("source = 'a'").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(blocks)))
+    keys = keys.select("doc_id", "block", F.xxhash64("block", "source", F.lit(42)).alias("b"), F.xxhash64("doc_id", F.lit(43)).alias("d")).collect()
+    budget, so_far, want = 9 * n_b, 0, set()
+    for r in sorted(keys, key=lambda r: (r.b, r.block, r.d, r.doc_id)):
+        so_far += tokens_of[r.doc_id]
+        if so_far - tokens_of[r.doc_id] / 2 > budget:
+            break
+        want.add(r.doc_id)
+    assert len({r.block for r in keys if r.doc_id in chosen}) > 3 and chosen == want
+
+
 def test_exponents():
     sizes, targets, caps = {"a": 900.0, "b": 100.0}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 4}
     assert mixing.exponent_for_total(sizes, targets, caps, 700) == 1.0
