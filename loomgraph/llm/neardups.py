@@ -196,8 +196,9 @@ def candidate_pairs(reps: DataFrame, buckets: int, threshold: float = THRESHOLD,
                 hot = ends - starts > frequent
                 light = np.ones(len(e), dtype=bool)
                 for s, t in zip(starts[hot], ends[hot]):
-                    # The bucket gets a mark in place of the documents, so that it passes on what others have of the key.
-                    rows += [(None, int(e["key"][s].view(np.int64)), min(block, t - x), e[x : min(x + block, t)].tobytes()) for x in range(s, t, block)]
+                    # The bucket gets a mark in place of the documents, so that it passes on what others have of the key;
+                    # they themselves travel with any bucket.
+                    rows += [(int(e["doc"][x] % buckets), int(e["key"][s].view(np.int64)), min(block, t - x), e[x : min(x + block, t)].tobytes()) for x in range(s, t, block)]
                     light[s:t] = False
                     light[s], e["doc"][s] = True, -1
                 e = e[light]
@@ -210,7 +211,12 @@ def candidate_pairs(reps: DataFrame, buckets: int, threshold: float = THRESHOLD,
         held: list[bytes] = []
         at = None
         for b in batches:  # the buckets of a task lie one behind the other
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            past = b.filter(pa.array(b.column(1).is_valid()))
+            if past.num_rows:
+                unknown = none(past.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([unknown, unknown, *past.columns[1:]], names=["a", "b", "hot", "n", "blob"])
+            b = b.filter(b.column(1).is_null())
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
                 if held and bucket != at:
                     yield from meet_bucket(held)
                     held = []
@@ -261,17 +267,16 @@ def candidate_pairs(reps: DataFrame, buckets: int, threshold: float = THRESHOLD,
                     a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = cut(reps.select("doc", "sig").mapInArrow(spread, "bucket int, hot long, n long, blob binary"))
-    in_order = dealt.filter(F.col("hot").isNull()).select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = cut(in_order.mapInArrow(meet, "a long, b long, hot long, n long, blob binary"))
-    hot = dealt.filter(F.col("hot").isNotNull()).select("hot", "n", "blob").unionByName(met.filter(F.col("hot").isNotNull()).select("hot", "n", "blob"))
+    dealt = reps.select("doc", "sig").mapInArrow(spread, "bucket int, hot long, n long, blob binary")
+    met = cut(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, hot long, n long, blob binary"))
+    hot = met.filter(F.col("hot").isNotNull()).select("hot", "n", "blob")
     # All documents of a key, counted in one row for each task, are dealt to as many blocks as they fill.
     parts = hot.groupBy("hot").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     placed = lookup_join(hot.select("hot", "blob"), parts, ["hot"]).select("hot", F.pmod(F.xxhash64("blob"), F.col("parts")).cast("int").alias("part"), "parts", "blob")
     blocks = cut(placed.repartition("hot", "part").sortWithinPartitions("hot", "part").mapInArrow(regroup, "hot long, part int, parts int, blob binary"))
     left = blocks.select("hot", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"), "blob")
     far = left.join(blocks.select("hot", "part", F.col("blob").alias("blob2")), ["hot", "part"]).select("blob", "blob2").mapInArrow(cross, "a long, b long")
-    return met.filter(F.col("hot").isNull()).select("a", "b").unionByName(far).distinct(), [dealt, met, blocks]
+    return met.filter(F.col("hot").isNull()).select("a", "b").unionByName(far).distinct(), [met, blocks]
 
 
 def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
