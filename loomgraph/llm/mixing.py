@@ -4,8 +4,9 @@ The natural share of a source is its part of all tokens.  Weights run from natur
 (exponent 0) to the targets (exponent 1) as natural * (target / natural) ^ exponent,
 normalised.  The exponent is bisected to the largest one at which no source is repeated
 beyond its cap for the total asked for; without a total, that is the most tokens that the
-targets themselves allow, so the exponent is 1 and the targets are met exactly.  With an
-entropy in place of targets, weights are natural ^ exponent, bisected to that entropy.
+targets themselves allow, so the exponent is 1 and the targets are met exactly.  Without
+targets weights are natural ^ exponent: bisected to an entropy, or to the smallest exponent
+(the flattest weights) at which no source is repeated beyond its cap for the total.
 
 A source's budget is realised as full passes over its documents and one part pass: documents
 are hashed to blocks, blocks are taken in a seeded permutation up to the budget, and the
@@ -73,17 +74,36 @@ def exponent_for_entropy(sizes: dict[str, float], entropy: float) -> float:
     return (low + high) / 2
 
 
-def budgets(sizes: dict[str, float], shares: dict[str, float], caps: dict[str, int], total: float | None, entropy: float | None) -> tuple[dict[str, float], float]:
+def powered(sizes: dict[str, float], exponent: float) -> dict[str, float]:
+    """Weights in proportion to share ^ exponent, which sum to 1."""
+    whole = sum(sizes.values())
+    raw = {s: (n / whole) ** exponent for s, n in sizes.items()}
+    return {s: w / sum(raw.values()) for s, w in raw.items()}
+
+
+def exponent_for_repeats(sizes: dict[str, float], caps: dict[str, int], total: float) -> float:
+    """The smallest exponent in [0, 1] at which ``total`` tokens in proportion to share ^ exponent keep every cap."""
+    if largest_total(sizes, powered(sizes, 1.0), caps) < total * (1 - 1e-12):
+        raise ValueError("the caps don't allow that total")
+    low, high = -1e-9, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if largest_total(sizes, powered(sizes, max(mid, 0.0)), caps) >= total else (mid, high)
+    return max(high, 0.0)
+
+
+def budgets(sizes: dict[str, float], shares: dict[str, float], caps: dict[str, int], total: float | None, entropy: float | None = None, flatten: bool = False) -> tuple[dict[str, float], float]:
     """The weights of the sources and the tokens of the whole mix."""
-    if entropy is not None:
-        whole = sum(sizes.values())
-        e = exponent_for_entropy(sizes, entropy * log(len(sizes))) if len(sizes) > 1 else 1.0
-        raw = {s: (n / whole) ** e for s, n in sizes.items()}
-        weights = {s: w / sum(raw.values()) for s, w in raw.items()}
+    if flatten or entropy is not None:
+        if flatten:
+            e = exponent_for_repeats(sizes, caps, sum(sizes.values()) if total is None else total)
+        else:
+            e = exponent_for_entropy(sizes, entropy * log(len(sizes))) if len(sizes) > 1 else 1.0
+        weights = powered(sizes, e)
         most = largest_total(sizes, weights, caps)
-        if total is not None and total > most:
-            raise ValueError("the caps don't allow that total at that entropy")
-        return weights, most if total is None else total
+        if total is not None and total > most * (1 + 1e-9):
+            raise ValueError("the caps don't allow that total")
+        return weights, (most if entropy is not None else sum(sizes.values())) if total is None else total
     wanted = largest_total(sizes, shares, caps) if total is None else total
     return tempered(sizes, shares, exponent_for_total(sizes, shares, caps, wanted)), wanted
 
@@ -94,6 +114,7 @@ def mix_sources(
     total: float | None = None,
     passes: float | None = None,
     entropy: float | None = None,
+    flatten: bool = False,
     seed: int = 42,
     path: str = VOCABULARY,
 ) -> DataFrame:
@@ -104,7 +125,8 @@ def mix_sources(
     proportion.  A source's tokens differ from its budget by less than one document.
     ``total`` is the number of tokens wanted, ``passes`` the same as a multiple of the
     tokens of the listed sources; ``entropy``, as a share of the highest (equal weights),
-    takes the place of the target shares.  ValueError if the caps don't allow the total.
+    or ``flatten`` (as equal as the caps allow for the total) takes the place of the target
+    shares.  ValueError if the caps don't allow the total.
 
     Defined cases: documents of unlisted and null sources, and those without tokens (null,
     empty), are left out; a repeated row is a document of its own; targets that are null or
@@ -125,7 +147,7 @@ def mix_sources(
         return counted.select("doc_id", "source", F.lit(1).alias("copy_no"), "n_tokens").limit(0)
     norm = sum(r.share for r in goal.values())
     shares, caps = {s: r.share / norm for s, r in goal.items()}, {s: r.cap for s, r in goal.items()}
-    weights, budget_all = budgets(sizes, shares, caps, passes * sum(sizes.values()) if passes is not None else total, entropy)
+    weights, budget_all = budgets(sizes, shares, caps, passes * sum(sizes.values()) if passes is not None else total, entropy, flatten)
     plan = []
     for s, n in sizes.items():
         budget = weights[s] * budget_all
@@ -176,17 +198,17 @@ def p9_shares(spark, sf_dir):
     return share_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-def p9_full(spark, sf_dir):
-    """As many tokens as the listed sources have: more than the targets allow, so the exponent is bisected to the caps."""
+def p9_flat(spark, sf_dir):
+    """Half as many tokens as the listed sources have, with shares as equal as the caps allow: the exponent is bisected to the caps."""
     from loomgraph.session import table
 
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), passes=1.0)
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), passes=0.5, flatten=True)
 
 
-def p9_full_shares(spark, sf_dir):
+def p9_flat_shares(spark, sf_dir):
     from loomgraph.session import table
 
-    return share_report(p9_full(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return share_report(p9_flat(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_entropy_shares(spark, sf_dir):
@@ -197,5 +219,5 @@ def p9_entropy_shares(spark, sf_dir):
     return share_report(mix_sources(table(spark, sf_dir, "documents"), targets, entropy=0.9), targets)
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_full": p9_full, "p9_full_shares": p9_full_shares, "p9_entropy_shares": p9_entropy_shares}
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_flat": p9_flat, "p9_flat_shares": p9_flat_shares, "p9_entropy_shares": p9_entropy_shares}
 ORACLES: dict[str, str] = {}

@@ -374,8 +374,13 @@ def test_exponent_is_bisected_for_a_total_and_an_entropy(spark):
     assert 0 <= e < 1 and all(abs(got[s].actual_share - want[s]) < 0.01 for s in want)
     got = {r.source: r.actual_share for r in mixing.share_report(mixing.mix_sources(docs, targets, entropy=0.9), targets).collect()}
     assert abs(-sum(w * np.log2(w) for w in got.values()) - 0.9) < 0.01 and got["a"] > got["b"]
-    with pytest.raises(ValueError):
-        mixing.mix_sources(docs, targets, passes=5.0)
+    flat = mixing.powered(sizes, mixing.exponent_for_repeats(sizes, {"a": 1, "b": 4}, whole))
+    assert abs(flat["b"] * whole / sizes["b"] - 4) < 1e-6 and mixing.exponent_for_repeats(sizes, {"a": 9, "b": 9}, whole) == 0
+    got = {r.source: r for r in mixing.share_report(mixing.mix_sources(docs, targets, passes=1.0, flatten=True), targets).collect()}
+    assert abs(got["b"].actual_share - flat["b"]) < 0.01 and got["b"].most_repeats == 4 and got["a"].most_repeats == 1
+    for how in ({"passes": 5.0}, {"passes": 5.0, "flatten": True}, {"passes": 5.0, "entropy": 0.9}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, targets, **how)
 
 
 def test_block_permutation_against_brute_force(spark, monkeypatch):
