@@ -74,7 +74,7 @@ def _asked_vectors(spark, d):
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_KNN = f"vec AS (SELECT b.vec_id AS qid, a.vec_id AS id, a.label, round({_COS}, 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id < {len(ASKED)})"
+_KNN = f"vec AS (SELECT b.vec_id AS qid, a.vec_id AS id, a.label, round({_COS}, 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0)"
 
 
 @_query("knn_topk", f"WITH {_KNN} SELECT qid::INT AS qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 10")
@@ -88,7 +88,7 @@ def knn_filtered(spark, d):
     return knn(kept, _asked_vectors(spark, d), 10)
 
 
-@_query("knn_l2_score", f"WITH v AS (SELECT b.vec_id AS qid, a.vec_id AS id, round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id < {len(ASKED)}) SELECT qid::INT AS qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 10")
+@_query("knn_l2_score", f"WITH v AS (SELECT b.vec_id AS qid, a.vec_id AS id, round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0) SELECT qid::INT AS qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 10")
 def knn_l2_score(spark, d):
     return knn(_vectors(spark, d), _asked_vectors(spark, d), 10, "l2")
 
@@ -119,13 +119,13 @@ def sample_diverse_query(spark, d):
     return sample_diverse(_summaries(spark, d).filter(F.size("v") == 64), 6, ["universe_id"])
 
 
-_RANKED = """, l1 AS (SELECT qid::BIGINT AS qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 20),
-l2 AS (SELECT qid::BIGINT AS qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fts QUALIFY rank <= 20),
+_RANKED = """, l1 AS (SELECT a.qid::BIGINT AS qid, v.qid AS vid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 20) v, asked a),
+l2 AS (SELECT qid::BIGINT AS qid, vid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fts QUALIFY rank <= 20), (SELECT DISTINCT qid AS vid FROM vec)),
 u AS (SELECT *, 0 AS list FROM l1 UNION ALL SELECT *, 1 FROM l2),
-f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({'l': list, 'r': rank}) AS first FROM u GROUP BY ALL)"""
+f AS (SELECT qid, vid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({'l': list, 'r': rank}) AS first FROM u GROUP BY ALL)"""
 
 
-@_query("rrf_hybrid", f"WITH {_BM25}, {_KNN}{_RANKED} SELECT qid::INT AS qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS rank FROM f QUALIFY rank <= 10")
+@_query("rrf_hybrid", f"WITH {_BM25}, {_KNN}{_RANKED} SELECT qid::INT AS qid, vid::INT AS vid, id, score, row_number() OVER (PARTITION BY qid, vid ORDER BY score DESC, first, id) AS rank FROM f QUALIFY rank <= 10")
 def rrf_hybrid(spark, d):
     """Every text query with every asked vector (``vid``)."""
     asked, vectors = _asked(spark), _asked_vectors(spark, d)

@@ -63,9 +63,9 @@ def cluster_topics_part_of(spark, d):
     return C.part_of_links(C.single_link(C.similar_pairs(t, 0.85, ["universe_id"], "cosine"), ["universe_id"]), edges(spark, d, "PART_OF"), ["universe_id"])
 
 
-@_query("resolve_entities", f"""WITH e AS MATERIALIZED ({_LATEST}), s AS (SELECT a.label, a.id, b.id AS kid, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.label = b.label WHERE a.id % 5 = 0 AND b.id % 5 <> 0),
+@_query("resolve_entities", f"""WITH e AS MATERIALIZED ({_LATEST}), s AS (SELECT a.label, a.id, b.id AS kid, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id),
   b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label, id ORDER BY s DESC, kid DESC) = 1)
-  SELECT e.label, e.id, CASE WHEN b.s >= 0.3 THEN kid ELSE e.id END AS resolved, coalesce(b.s >= 0.3, false) AS merged FROM e LEFT JOIN b USING (label, id) WHERE e.id % 5 = 0""")
+  SELECT e.label, e.id, CASE WHEN b.s >= 0.3 THEN kid ELSE e.id END AS resolved, coalesce(b.s >= 0.3, false) AS merged FROM e LEFT JOIN b USING (label, id)""")
 def resolve_entities(spark, d):
     v = _vectors(spark, d)  # every record is resolved against all others of its label
     return C.resolve(v, v, 0.3, ["label"], others=True)
@@ -122,8 +122,7 @@ def chunk_documents(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id").select("doc_id", "position", "text", "start_offset", "end_offset")
 
 
-@_query("page_range_overlap", """SELECT c.file_id, c.start_offset, c.end_offset, min(p) + 1 AS page_start, max(p) + 1 AS page_end FROM (SELECT DISTINCT file_id, start_offset, end_offset FROM chunks WHERE end_offset > start_offset AND start_offset >= 0) c,
-  range(0, 200) t(p) WHERE p * 2000 < end_offset AND (p + 1) * 2000 > start_offset GROUP BY ALL""")
+@_query("page_range_overlap", """SELECT DISTINCT file_id, start_offset, end_offset, start_offset // 2000 + 1 AS page_start, (end_offset - 1) // 2000 + 1 AS page_end FROM chunks WHERE end_offset > start_offset AND start_offset >= 0""")
 def page_range_overlap(spark, d):
     c = table(spark, d, "chunks").filter("end_offset > start_offset AND start_offset >= 0").select("file_id", "start_offset", "end_offset").distinct()
     last = c.groupBy("file_id").agg(F.max("end_offset").alias("last"))

@@ -1,13 +1,9 @@
 """Queries do the whole job: results against brute force that shares no cut with them."""
 
-import random
-
 import numpy as np
 import pytest
 
 from loomgraph.engine import Engine, hashed_embedding
-from loomgraph.llm.chats import reply_links
-from loomgraph.llm.neighbours import nearest_records
 from loomgraph.operators.ranking import linked_references
 from loomgraph.plans import catalog
 
@@ -98,25 +94,6 @@ def test_references_reach_bodies_and_summaries(spark, con):
     assert {r.id in have for r in got} == {True, False} and len({r.score for r in got}) > 1
 
 
-def test_parents_are_the_best_of_all_messages_before(spark):
-    rng = random.Random(5)
-    rows = []
-    for turn in range(1, 71):
-        words = rng.sample(["kiln", "ferry", "glaze", "harbour", "orchard", "survey", "timber"], 3)
-        if turn > 6 and turn % 3:
-            words += [f"m{max(1, turn - rng.randrange(5, 25)):03d}"]
-        rows.append((f"m{turn:03d}", "c", rng.choice(["user", "assistant", "tool"]), " ".join(words), turn * 200_000, turn))
-    got = {r.id: r.parent for r in reply_links(spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at long, turn long")).collect()}
-    fits = {("assistant", "user"), ("assistant", "tool"), ("tool", "user"), ("tool", "assistant"), ("user", "assistant"), ("user", "system")}
-
-    def score(a, b):
-        wa, wb = set(a[3].split()), set(b[3].split())
-        return 1 / (1 + (a[4] - b[4]) / 60_000) + len(wa & wb) / len(wa) + ((a[2], b[2]) in fits) + 2 * (b[0] in a[3]) - 0.25 * (a[5] - b[5] - 1)
-
-    want = {a[0]: max(rows[:i], key=lambda b, a=a: (score(a, b), b[5]), default=(None,))[0] for i, a in enumerate(rows)}
-    assert got == want and any(w and int(i[1:]) - int(w[1:]) > 4 for i, w in want.items())
-
-
 def test_every_universe_has_its_own_vector_list(spark, tmp_path):
     near, far = hashed_embedding("kiln glaze"), hashed_embedding("kiln")
     rows = [(f"v{u}{i}", "topic", f"{u}{i}", u, "other", "other", near if u == "big" else far, None, None, None, f"{u}{i}", None, 1) for u, n in (("big", 40), ("small", 3)) for i in range(n)]
@@ -133,19 +110,6 @@ def test_pages_of_files_of_any_length(spark, tmp_path):
     assert got == {("f", 398_500): (200, 203), ("f", 500_000): (251, 251), ("g", 0): (1, 1), ("g", 1_999): (1, 2)}
 
 
-def test_recall_of_a_group_of_thirteen_cells(spark):
-    centres = np.random.default_rng(3).normal(size=(40, 64))
-    rng = np.random.default_rng(4)
-    x = (centres[rng.integers(0, 40, 1_000)] + 1.5 * rng.normal(size=(1_000, 64))).astype(np.float32)
-    df = spark.createDataFrame([(f"v{i:04d}", 1, "u", "k", v.tolist()) for i, v in enumerate(x)], "id string, created_at long, universe_id string, kind string, vector array<float>")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -9)
-    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
-    found = {p: {(r.id, r.other_id) for r in nearest_records(df, shard=154, probes=p).collect()} for p in (None, 4)}
-    assert len(found[None] & want) / len(want) >= 0.9 > len(found[4] & want) / len(want)
-
-
 def test_mentions_of_names_and_aliases_in_texts_and_chunks(spark, tmp_path):
     entities = [("e1", "Acme-Works", ["AW Ltd.", "ab", "acme-works"], "doc:f"), ("e2", "Kiln", None, "doc:g"), ("e3", r"C\E+", [], "doc:g")]
     spark.createDataFrame(entities, "id string, name string, aliases array<string>, document_id string").write.parquet(str(tmp_path / "entities.parquet"))
