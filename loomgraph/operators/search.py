@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import top_rows
+from loomgraph.session import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -40,27 +41,66 @@ def match_expression(c: Column) -> Column:
     return F.array_join(F.transform(sanitize_query(c), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None, kinds: list[str] | None = None) -> DataFrame:
+def query_units(queries: DataFrame) -> DataFrame:
+    """(qid, unit, tokens, times): the words of each query with their tokens.
+
+    A word of several tokens, as ``a/b``, is a phrase; one without tokens matches nothing; a
+    repeated word counts as often as it is asked.
+    """
+    words = queries.select("qid", F.explode(sanitize_query(F.col("query"))).alias("w")).select("qid", terms(F.col("w")).alias("tokens")).filter(F.size("tokens") > 0)
+    return words.groupBy("qid", F.array_join("tokens", " ").alias("unit"), "tokens").agg(F.count(F.lit(1)).alias("times"))
+
+
+def postings(docs: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(keys, id, kind, len, term, pos): one row for each token, and one with a null term for each document.
+
+    With ``wanted`` (term) only those terms are kept.  Written once, it serves statistics and
+    hits of any number of searches; the texts are tokenised once.  A position between title
+    and text is left out, so no phrase crosses it.
+    """
+    title, text = terms(F.col("title")), terms(F.col("text"))
+    own = docs.select(*keys, "id", "kind", title.alias("t1"), text.alias("t2"))
+    tokens = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("pos"))),
+        F.transform("t1", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))),
+        F.transform("t2", lambda t, i: F.struct(t.alias("term"), (i + F.size("t1") + 1).alias("pos"))),
+    )
+    rows = own.select(*keys, "id", "kind", (F.size("t1") + F.size("t2")).alias("len"), F.explode(tokens).alias("p")).select(*keys, "id", "kind", "len", "p.term", "p.pos")
+    return rows if wanted is None else rows.join(wanted.withColumn("_w", F.lit(True)), "term", "left").filter(F.col("_w") | F.col("term").isNull()).drop("_w")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None, kinds: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """(``group``, qid, id, score, rank): the k best documents of each query.
 
     ``docs`` has id, title, text, kind (and ``group``: statistics are per group), ``queries``
     qid and query.  Statistics cover all documents; ``kinds`` filters the hits only.  Only
-    terms of the queries, a small table, leave the scan: the corpus isn't shuffled.
+    the terms of the queries leave the scan: the corpus isn't shuffled.  ``index`` is a written
+    :func:`postings` in place of ``docs``.
     """
     keys = [group] if group else []
-    q = queries.select("qid", F.explode(sanitize_query(F.col("query"))).alias("w")).select("qid", F.explode(terms(F.col("w"))).alias("term"))
-    q = q.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    own = docs.select(*keys, "id", "kind", F.concat(terms(F.col("title")), terms(F.col("text"))).alias("ts")).withColumn("len", F.size("ts"))
-    stats = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    wanted = F.broadcast(q.select("term").distinct())
-    hits = own.select(*keys, "id", "kind", "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy(*keys, "id", "kind", "len", "term").agg(F.count(F.lit(1)).alias("f"))
-    df = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
+    q = query_units(queries)
+    wanted = q.select(F.explode("tokens").alias("term")).distinct()
+    post = cut(postings(docs, keys, wanted)) if index is None else index
+    stats = post.filter(F.col("term").isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    units = q.select("unit", "tokens").distinct()
+    hits = post.filter(F.col("term").isNotNull())
+    one = hits.join(units.filter(F.size("tokens") == 1).select(F.col("unit").alias("term")), "term", "left_semi").groupBy(*keys, "id", "kind", "len", F.col("term").alias("unit")).agg(F.count(F.lit(1)).alias("f"))
+    # A phrase begins where all its tokens are found in their places.
+    steps = units.filter(F.size("tokens") > 1).select("unit", F.size("tokens").alias("size"), F.posexplode("tokens").alias("step", "term"))
+    begun = hits.join(steps, "term").groupBy(*keys, "id", "kind", "len", "unit", "size", (F.col("pos") - F.col("step")).alias("begin")).agg(F.count(F.lit(1)).alias("met"))
+    several = begun.filter(F.col("met") == F.col("size")).groupBy(*keys, "id", "kind", "len", "unit").agg(F.count(F.lit(1)).alias("f"))
+    tf = one.unionByName(several)
+    df = tf.groupBy(*keys, "unit").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    joined = tf.join(df, [*keys, "term"])
-    joined = joined.join(stats, keys) if keys else joined.crossJoin(F.broadcast(stats))
+    rare = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row of statistics
+    joined = tf.join(rare, [*keys, "unit"])
     if kinds:
         joined = joined.filter(F.col("kind").isin(*kinds))
-    scored = joined.withColumn("s", weight).join(F.broadcast(q), "term").groupBy(*keys, "qid", "id").agg(F.round(F.sum(F.col("s") * F.col("times")), 6).alias("score"))
+    scored = joined.withColumn("s", weight).join(q.select("qid", "unit", "times"), "unit").groupBy(*keys, "qid", "id").agg(F.round(F.sum(F.col("s") * F.col("times")), 6).alias("score"))
     return top_rows(scored, [*keys, "qid"], [F.desc("score"), F.col("id")], k)
+
+
+def documents_by_title(docs: DataFrame, queries: DataFrame, k: int = 5, group: str | None = None) -> DataFrame:
+    """The k best document summaries of each query; see :func:`bm25`."""
+    return bm25(docs, queries, k, group, kinds=["doc_summary"])

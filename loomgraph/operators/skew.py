@@ -46,6 +46,21 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
+def paired(left: DataFrame, right: DataFrame, keys: list[str], block: int = 1_000) -> DataFrame:
+    """Join all rows of ``left`` and ``right`` with equal keys, many on both sides.
+
+    A key's rows on the right are dealt to blocks of ``block`` rows and its rows on the left
+    copied to each block, so that the pairs of a hot key come from many tasks.  Counts are
+    combined on the map side.  Null keys match nothing; only the keys share names.
+    """
+    parts = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+    dealt = lookup_join(right, parts, keys)
+    rest = [F.col(c) for c in right.columns if c not in keys]
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*(rest or [F.lit(0)])), F.col("_parts")).cast("int")).drop("_parts")
+    copies = lookup_join(left, parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return copies.join(dealt, [*keys, "_part"]).drop("_part")
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
     """Add running sums (inclusive) of the columns ``sums`` within ``keys`` in ``order``.
 

@@ -143,13 +143,35 @@ def rrf_cross_universe(spark, d):
     return rrf([per.select("qid", F.concat_ws(":", "universe_id", "id").alias("id"), "rank")], ["qid"], 10).select("qid", "id", "score", "rank")
 
 
-@_query("link_references", rf"""WITH r AS (SELECT DISTINCT trim(title) AS ref FROM chats WHERE length(trim(title)) >= 4), q AS (SELECT ref AS qid, term, count(*) AS times FROM (SELECT ref, unnest({_TERMS.format(c="w")}) AS term FROM
-  (SELECT ref, unnest(string_split_regex(regexp_replace(ref, '["''*^:()\-]', ' ', 'g'), '\s+')) AS w FROM r) WHERE length(w) > 1) GROUP BY ALL),
-  d AS MATERIALIZED (SELECT doc_id AS id, {_TERMS.format(c="title")} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM d),
-  tf AS (SELECT id, len, term, count(*) AS f FROM (SELECT id, len(ts) AS len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  s AS (SELECT id, term, CASE WHEN n > 2 * df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av)) AS s FROM tf JOIN dfs USING (term), st),
-  x AS (SELECT qid, id, round(sum(s * times), 6) AS score FROM s JOIN q USING (term) GROUP BY ALL)
-  SELECT qid AS ref, id, round(1.0::DOUBLE / 61, 12) AS score FROM x QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1""")
+_OK = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+#: The newest summary of each document, and the words of the asked texts as a sparse hashed vector (dim, val).
+_SUMMARIES = """latest AS (SELECT * FROM vector_records WHERE kind = 'doc_summary' QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, source_id DESC, universe_id DESC, title DESC, text DESC, vector DESC) = 1),
+summaries AS (SELECT universe_id, source_id AS id, title, text, vector, topics, domain, keywords FROM latest QUALIFY row_number() OVER (PARTITION BY universe_id, source_id ORDER BY created_at DESC, latest.id DESC) = 1)"""
+
+
+def _hashed_sql(texts: str) -> str:
+    """(t, dim, val) of the column t of ``texts``: :func:`hashed_embedding` without its length."""
+    return f"""SELECT t, ('0x' || h[1:2])::INT % 64 + 1 AS dim, sum(CASE WHEN ('0x' || h[3:4])::INT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS val
+  FROM (SELECT t, sha256(w) AS h FROM (SELECT t, unnest(string_split_regex(lower(trim(t)), '\\s+')) AS w FROM {texts}) WHERE w <> '') GROUP BY ALL"""
+
+
+@_query("link_references", rf"""WITH {_SUMMARIES}, refs AS (SELECT DISTINCT universe_id, id AS document, trim(title) AS ref FROM chats WHERE length(trim(title)) >= 4),
+ru AS (SELECT DISTINCT universe_id, ref FROM refs WHERE universe_id IS NOT NULL),
+q AS (SELECT ref, term, count(*) AS times FROM (SELECT ref, unnest({_TERMS.format(c="w")}) AS term FROM (SELECT ref, unnest(string_split_regex(regexp_replace(ref, '["''*^:()\-]', ' ', 'g'), '\s+')) AS w FROM (SELECT DISTINCT ref FROM refs)) WHERE length(w) > 1) GROUP BY ALL),
+texts AS (SELECT universe_id, 'doc:' || file_id AS id, title, text FROM documents),
+d AS MATERIALIZED (SELECT universe_id, id, {_TERMS.format(c="title")} || {_TERMS.format(c="text")} AS ts FROM (SELECT * FROM texts UNION ALL SELECT universe_id, id, title, text FROM summaries s WHERE NOT EXISTS (FROM texts t WHERE t.universe_id = s.universe_id AND t.id = s.id))),
+st AS (SELECT universe_id, count(*) AS n, avg(len(ts)) AS av FROM d GROUP BY ALL),
+tf AS (SELECT universe_id, id, len, term, count(*) AS f FROM (SELECT universe_id, id, len(ts) AS len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+dfs AS (SELECT universe_id, term, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT universe_id, id, term, CASE WHEN n > 2 * df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av)) AS s FROM tf JOIN dfs USING (universe_id, term) JOIN st USING (universe_id)),
+fts AS (SELECT s.universe_id, ref, id, round(sum(s * times), 6) AS score FROM s JOIN q USING (term) JOIN ru USING (universe_id, ref) GROUP BY ALL),
+l1 AS (SELECT universe_id, ref, id, row_number() OVER (PARTITION BY universe_id, ref ORDER BY score DESC, id) AS rank FROM fts QUALIFY rank <= 3),
+h AS MATERIALIZED ({_hashed_sql("(SELECT DISTINCT ref AS t FROM refs)")}),
+vec AS (SELECT universe_id, ru.ref, id, round(sum(val * vector[dim]::DOUBLE) / sqrt(sum(val * val)) / any_value(len2), 9) AS score FROM ru JOIN h ON h.t = ru.ref JOIN
+  (SELECT *, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS len2 FROM summaries WHERE {_OK}) USING (universe_id) GROUP BY ALL),
+l2 AS (SELECT universe_id, ref, id, row_number() OVER (PARTITION BY universe_id, ref ORDER BY score DESC NULLS LAST, id) AS rank FROM vec QUALIFY rank <= 3),
+f AS (SELECT universe_id, ref, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({{'l': list, 'r': rank}}) AS first FROM (SELECT *, 0 AS list FROM l1 UNION ALL SELECT *, 1 FROM l2) GROUP BY ALL)
+SELECT universe_id, document, ref, id, score FROM refs JOIN f USING (universe_id, ref) WHERE id <> document QUALIFY row_number() OVER (PARTITION BY universe_id, document, ref ORDER BY score DESC, first, id) = 1""")
 def link_references(spark, d):
     """Chats stand for the documents that refer, their titles for the references; files have a text or a summary."""
     refs = table(spark, d, "chats").select("universe_id", F.col("id").alias("document"), F.trim("title").alias("ref")).filter(F.length("ref") >= 4).distinct()
@@ -171,7 +193,6 @@ def record_sources_topn(spark, d):
     return best_sources(hits, ["user_id"], 3).select("user_id", "source_id", "score", "rank")
 
 
-_OK = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
 _EXPAND = rf"""WITH {GRAPH_SQL}, recs AS MATERIALIZED (SELECT universe_id, graph_node_id AS id, kind, max(vector)::DOUBLE[] AS v FROM vector_records WHERE {_OK} GROUP BY ALL),
 qs AS (SELECT universe_id, v AS qv FROM recs WHERE kind = 'agent_note' QUALIFY row_number() OVER (PARTITION BY universe_id ORDER BY id) = 1),
 fused AS (SELECT r.universe_id, r.id, round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY r.universe_id ORDER BY round(list_cosine_similarity(v, qv), 9) DESC, r.id)), 12) AS score

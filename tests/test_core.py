@@ -54,6 +54,84 @@ def test_chunks():
     assert head[-1][2] == ["A", None, "B"] and head[0][2] == ["A"]
 
 
+def rows_of_chunks(text, size, overlap):
+    return [(t, p, a, b) for _, t, p, a, b in chunking.chunk_text(text, size, overlap)]
+
+
+def test_chunks_of_the_fixture_cases():
+    # A long run is sliced; what follows it is a chunk of its own.
+    run = "x" * 1_500
+    assert rows_of_chunks(f"{run}\n\nshort paragraph", 1_000, 0) == [("x" * 1_000, [], 0, 1_000), ("x" * 500, [], 1_000, 1_500), ("short paragraph", [], 1_502, 1_517)]
+    digits = "".join(f"{i:04d}" for i in range(400))
+    got = rows_of_chunks(digits, 1_000, 100)
+    assert [x[0] for x in got] == [digits[:1_000], f"{digits[900:1_000]}\n\n{digits[1_000:]}"] and [x[2:] for x in got] == [(0, 1_000), (1_000, 1_600)]
+    # Ten sections of 500 characters with headings: each heading begins a chunk.
+    text = "\n\n".join(f"# S{i}\n\n{'w' * 500}" for i in range(10))
+    got = rows_of_chunks(text, 800, 50)
+    assert len(got) == 10 and [p for _, p, _, _ in got] == [[f"S{i}"] for i in range(10)] and got[0][0] == f"# S0\n\n{'w' * 500}" and got[1][0] == f"{'w' * 50}\n\n# S1\n\n{'w' * 500}"
+    # The tail is the end of the chunk before, without the tail that this one carries.
+    parts = [c * 390 for c in "abc"]
+    got = rows_of_chunks("\n\n".join(parts), 400, 80)
+    assert [x[0] for x in got] == [parts[0], f"{'a' * 80}\n\n{parts[1]}", f"{'b' * 80}\n\n{parts[2]}"]
+    # Offsets, also with CRLF and headings of two levels; paragraphs are joined by exactly one blank line.
+    assert rows_of_chunks("one two three\n\n\n\nfour five six seven\n\neight", 40, 0) == [("one two three\n\nfour five six seven", [], 0, 36), ("eight", [], 38, 43)]
+    assert rows_of_chunks("aa\r\nbb\r\n\r\ncc\rdd", 20, 0) == [("aa\nbb\n\ncc\ndd", [], 0, 12)]
+    assert rows_of_chunks("# A\ntext of a\n## B ##\ntext of b", 30, 0) == [("# A\n\ntext of a", ["A"], 0, 13), ("## B ##\n\ntext of b", ["A", "B"], 14, 31)]
+    # Skipped levels, leading spaces, a text that begins with the tail, characters beyond the first plane, blank lines of spaces.
+    assert rows_of_chunks("# A\n### C\nx", 12, 0) == [("# A", ["A"], 0, 3), ("### C\n\nx", ["A", None, "C"], 4, 11)]
+    assert rows_of_chunks("aaaaaa\n\naaabbb", 6, 3) == [("aaaaaa", [], 0, 6), ("aaabbb", [], 8, 14)]
+    assert rows_of_chunks("😀😀😀\n\né", 3, 0) == [("😀😀😀", [], 0, 3), ("é", [], 5, 6)]
+    assert rows_of_chunks("   x \n \t \ny", 12, 3) == [("x\n\ny", [], 0, 10)]
+    for size, overlap in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            chunking.chunk_text("x", size, overlap)
+
+
+def test_offsets_titles_and_excerpts(spark):
+    raw = "a\r\nb\r\n\rc"
+    df = spark.range(10).select(F.col("id").alias("o"), F.lit(raw).alias("raw"))
+    got = {r.o: r.n for r in df.select("o", chunking.rebased_offset(F.col("raw"), F.col("o")).alias("n")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 3, 5: 4, 6: 4, 7: 5, 8: 6, 9: 6}
+    rows = [("T", ["h", "i"], 0, "0123456789", 3, 5), ("T", None, 4, "0123456789", -1, 5), ("T", [], 0, "0123456789", 20, 25), ("T", [None], 0, "0123456789", None, None)]
+    df = spark.createDataFrame(rows, "title string, heading array<string>, n int, text string, a long, b long")
+    got = df.select(chunking.chunk_title(F.col("title"), F.col("heading"), F.col("n")), chunking.excerpt(F.col("text"), F.col("a"), F.col("b"), 2)).collect()
+    assert [tuple(r) for r in got] == [("T — h › i", "123456"), ("T — part 5", "0123456789"), ("T — part 1", "0123456789"), ("T — ", "0123456789")]
+
+
+def test_text_functions(spark):
+    from loomgraph.functions import text as T
+
+    df = spark.createDataFrame([("Acme-Works", ["AW Ltd.", None, " ", "ab", "acme-works "], "ACME-Works, acme-works; acme-works2 aw ltd. foo foo")], "name string, aliases array<string>, text string")
+    r = df.select(T.surfaces(F.col("name"), F.col("aliases")).alias("s"), T.merged_aliases(F.col("aliases"), F.array(F.lit("ab"), F.lit("new")), 4).alias("m")).first()
+    assert r.s == ["acme-works", "aw ltd."] and r.m == ["AW Ltd.", "ab", "acme-works", "new"]
+    count = lambda s: df.select(T.times_mentioned(F.col("text"), F.lit(s))).first()[0]
+    assert [count(s) for s in ("acme-works", "aw ltd.", "foo", "fo", "a.me")] == [2, 1, 2, 0, 0]
+    one = df.select(T.vector_id(F.lit("entity"), F.lit("ent:a b")), T.file_id_of(F.lit("doc:f1")), T.file_id_of(F.lit("f1")), T.found_at(F.lit("A  big\nKILN here"), F.lit(" Big kiln ")), T.found_at(F.lit("x"), F.lit("y"))).first()
+    assert tuple(one) == ("vec_entity_ent_a_b", "f1", "f1", 2, -1)
+
+
+def test_phrases_bags_and_groups_in_full_text(spark):
+    from loomgraph.operators.search import bm25, cut, documents_by_title, postings
+
+    docs = spark.createDataFrame([(1, "a b", "x", "k", "u"), (2, "b a", "x", "k", "u"), (3, "a", "b c", "doc_summary", "u"), (4, None, "a b a b", "k", "w")], "id int, title string, text string, kind string, universe_id string")
+    ask = lambda q, **kw: {r.id: r.score for r in bm25(docs, spark.createDataFrame([(0, q)], "qid int, query string"), 10, **kw).collect()}
+    assert set(ask("a/b")) == {1, 4} and set(ask("@@ a/b/c")) == set() and set(ask("ab x/y")) == set()
+    one, two = ask("a/b zz"), ask("a/b a/b zz")
+    assert all(abs(two[i] - 2 * one[i]) < 2e-6 for i in one)
+    index = cut(postings(docs, []))
+    assert ask("a/b", index=index) == one and index.count() == 4 + 3 + 3 + 3 + 4
+    assert [r.id for r in documents_by_title(docs, spark.createDataFrame([(0, "b/c b/a")], "qid int, query string")).collect()] == [3]
+    assert bm25(docs.limit(0), spark.createDataFrame([(0, "a/b")], "qid int, query string"), 3).count() == 0
+
+
+def test_pairs_of_hot_keys(spark):
+    from loomgraph.operators.skew import paired
+
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("cold", 1), (None, 2)], "k string, x int")
+    right = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 7), (None, 3), ("none", 1)], "k string, y int")
+    assert sorted(map(tuple, paired(left, right, ["k"], 7).collect())) == sorted(map(tuple, left.join(right, ["k"]).collect()))
+
+
 def test_parsers(tmp_path, spark):
     assert files.parse_html("<html><title> T </title><script>no()</script><p>a<br>b&amp;</p></html>", "n") == ("T", "a b&")
     assert files.parse_markdown("---\ntitle: 'X'\nk: v\n---\n# H\nbody", "n") == ("X", "# H\nbody", {"title": "X", "k": "v"})
