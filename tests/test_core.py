@@ -81,7 +81,7 @@ def test_chunks_of_the_fixture_cases():
     assert rows_of_chunks("# A\n### C\nx", 12, 0) == [("# A", ["A"], 0, 3), ("### C\n\nx", ["A", None, "C"], 4, 11)]
     assert rows_of_chunks("aaaaaa\n\naaabbb", 6, 3) == [("aaaaaa", [], 0, 6), ("aaabbb", [], 8, 14)]
     assert rows_of_chunks("😀😀😀\n\né", 3, 0) == [("😀😀😀", [], 0, 3), ("é", [], 5, 6)]
-    assert rows_of_chunks("   x \n \t \ny", 12, 3) == [("x\n\ny", [], 0, 10)]
+    assert rows_of_chunks("   x \n \t \ny", 12, 3) == [("x\n\ny", [], 0, 11)]
     for size, overlap in ((0, 0), (5, 5), (5, -1)):
         with pytest.raises(ValueError):
             chunking.chunk_text("x", size, overlap)
