@@ -3,10 +3,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.skew import lookup_join
+from loomgraph.operators.skew import lookup_join, paired
 from loomgraph.session import cut
 
 #: Edges of a node, in each direction, that a neighbourhood step looks at.
@@ -30,31 +32,89 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("universe_id").agg(of("Document").alias("documents"), of("Entity").alias("entities"), of("Topic").alias("topics"), of("Chunk").alias("chunks"))
 
 
-def shared_targets(edges: DataFrame, rel: str) -> DataFrame:
-    """(universe_id, a, b, shared) of all pairs a <> b of sources with a common target."""
-    e = edges.filter(F.col("rel") == rel)
-    x, y = e.select("universe_id", "dst", F.col("src").alias("a")), e.select("universe_id", "dst", F.col("src").alias("b"))
-    return x.join(y, ["universe_id", "dst"]).filter("a <> b").groupBy("universe_id", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+#: A target of more edges of one relation than this is hot: its sources are not paired with each other.
+HOT_TARGET = 1_000
 
 
-#: Weight of a shared target by relation.
-RELATED_WEIGHTS = {"MENTIONS": 1.0, "ABOUT": 0.7}
+def most_shared(edges: DataFrame, rel: str, k: int, docs: DataFrame | None = None, hot: int = HOT_TARGET) -> DataFrame:
+    """(universe_id, doc, other, shared, rank): for each document the k others with most common ``rel`` targets.
 
+    ``docs`` (universe_id, doc) are the documents asked for, all if null.  Ties rank by id.
 
-def related_documents(edges: DataFrame, via: str = "all", k: int = 8) -> DataFrame:
-    """(universe_id, doc, other, score, rank): documents that share entities or topics."""
-    rels = {"entities": ["MENTIONS"], "topics": ["ABOUT"], "all": list(RELATED_WEIGHTS)}[via]
-    parts = None
-    for rel in rels:
-        p = shared_targets(edges, rel).select("universe_id", F.col("a").alias("doc"), F.col("b").alias("other"), (F.col("shared") * RELATED_WEIGHTS[rel]).alias("s"))
-        parts = p if parts is None else parts.unionByName(p)
-    scored = parts.groupBy("universe_id", "doc", "other").agg(F.round(F.sum("s"), 6).alias("score"))
+    Exact without pairing the sources of a hot target: documents that share another target
+    are paired there, and their common hot targets are counted from the sets of hot targets
+    that both have.  Of documents that share nothing but hot targets only the k + 1 first of
+    each set of hot targets can be among the k best, so sets are paired in place of documents.
+    """
+    e = edges.filter((F.col("rel") == rel) & F.col("src").startswith("doc:")).select("universe_id", "src", "dst").distinct()
+    degree = e.groupBy("universe_id", "dst").agg(F.count(F.lit(1)).alias("n"))
+    marked = lookup_join(e, degree.select("universe_id", "dst", (F.col("n") > hot).alias("hot")), ["universe_id", "dst"])
+    key = ["universe_id", "src"]
+    sets = marked.filter("hot").groupBy(*key).agg(F.sort_array(F.collect_set("dst")).alias("set"))  # at most edges / hot targets
+    cold = marked.filter("NOT hot").select("universe_id", "dst", "src")
+    asked = e.select(*key).distinct() if docs is None else docs.select("universe_id", F.col("doc").alias("src")).distinct()
+    left = cold.select("universe_id", "dst", F.col("src").alias("doc"))
+    left = left if docs is None else left.join(docs.select("universe_id", "doc").distinct(), ["universe_id", "doc"], "left_semi")
+    met = left.join(cold.select("universe_id", "dst", F.col("src").alias("other")), ["universe_id", "dst"]).filter("doc <> other").groupBy("universe_id", "doc", "other").agg(F.count(F.lit(1)).alias("cold"))
+    of = lambda c, name: sets.select("universe_id", F.col("src").alias(c), F.col("set").alias(name))
+    both = met.join(of("doc", "s1"), ["universe_id", "doc"], "left").join(of("other", "s2"), ["universe_id", "other"], "left")
+    near = both.select("universe_id", "doc", "other", (F.col("cold") + F.coalesce(F.when(F.col("s1").isNotNull() & F.col("s2").isNotNull(), F.size(F.array_intersect("s1", "s2"))), F.lit(0))).alias("shared"))
+    # Sets of hot targets, each with its first documents.
+    first = top_rows(sets, ["universe_id", "set"], [F.col("src")], k + 1, "r").select("universe_id", "set", F.col("src").alias("other"))
+    mine = sets.join(asked, key, "left_semi")
+    own = mine.select("universe_id", F.col("set").alias("s1")).distinct().select("universe_id", "s1", F.explode("s1").alias("t"))
+    theirs = first.select("universe_id", F.col("set").alias("s2")).distinct().select("universe_id", "s2", F.explode("s2").alias("t"))
+    common = own.join(theirs, ["universe_id", "t"]).groupBy("universe_id", "s1", "s2").agg(F.count(F.lit(1)).alias("shared"))
+    best = top_rows(common.join(first.withColumnRenamed("set", "s2"), ["universe_id", "s2"]), ["universe_id", "s1"], [F.desc("shared"), F.col("other")], k + 1, "r")
+    far = mine.select("universe_id", F.col("src").alias("doc"), F.col("set").alias("s1")).join(best.select("universe_id", "s1", "other", "shared"), ["universe_id", "s1"]).filter("doc <> other")
+    every = near.unionByName(far.select("universe_id", "doc", "other", "shared")).groupBy("universe_id", "doc", "other").agg(F.max("shared").alias("shared"))
+    return top_rows(every.withColumn("shared", F.col("shared").cast("long")), ["universe_id", "doc"], [F.desc("shared"), F.col("other")], k)
+
+
+#: Channels of related documents, in order, with their weights and reasons.
+RELATED_CHANNELS = {
+    "entities": ("MENTIONS", 1.0, "shared entities"),
+    "topics": ("ABOUT", 0.7, "shared topics"),
+    "references": ("REFERENCES_DOC", 1.5, "cross-document reference"),
+}
+
+
+def related_documents(edges: DataFrame, via: str = "all", k: int = 8, docs: DataFrame | None = None, hot: int = HOT_TARGET) -> DataFrame:
+    """(universe_id, doc, other, score, reason, rank): documents with common entities or topics, or a reference.
+
+    Of entities and topics the 2 k best of a document count, as found by :func:`most_shared`;
+    a reference counts in both directions.
+    """
+    parts = []
+    for at, (name, (rel, weight, reason)) in enumerate(RELATED_CHANNELS.items()):
+        if via not in (name, "all"):
+            continue
+        if name == "references":
+            r = edges.filter((F.col("rel") == rel) & (F.col("src") != F.col("dst")))
+            met = both_ways(r).select("universe_id", F.col("at").alias("doc"), "other", F.lit(1).cast("long").alias("shared"))
+            met = met if docs is None else met.join(docs.select("universe_id", "doc").distinct(), ["universe_id", "doc"], "left_semi")
+        else:
+            met = most_shared(edges, rel, 2 * k, docs, hot).drop("rank")
+        parts.append(met.select("universe_id", "doc", "other", (F.col("shared") * weight).alias("s"), F.struct(F.lit(at).alias("at"), F.lit(reason).alias("reason")).alias("why")))
+    if not parts:
+        raise ValueError(f"unknown channel: {via}")
+    scored = reduce(DataFrame.unionByName, parts).groupBy("universe_id", "doc", "other").agg(
+        F.round(F.sum("s"), 6).alias("score"), F.array_join(F.transform(F.sort_array(F.collect_list("why")), lambda w: w["reason"]), "; ").alias("reason")
+    )
     return top_rows(scored, ["universe_id", "doc"], [F.desc("score"), F.col("other")], k)
 
 
-def similar_documents(edges: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of documents with at least ``least`` common entities and no reference between them."""
-    pairs = shared_targets(edges, "MENTIONS").filter((F.col("a") < F.col("b")) & (F.col("shared") >= least))
+def similar_documents(edges: DataFrame, least: int = 3, block: int = 1_000) -> DataFrame:
+    """(universe_id, a, b, shared): pairs of documents with at least ``least`` common entities and no reference between them.
+
+    The documents of a hot entity are paired by many tasks (:func:`paired`).
+    """
+    e = edges.filter((F.col("rel") == "MENTIONS") & F.col("src").startswith("doc:")).select("universe_id", "dst", "src").distinct()
+    # A document with fewer targets than ``least`` is in no pair.
+    enough = e.groupBy("universe_id", "src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    e = e.join(enough.select("universe_id", "src"), ["universe_id", "src"], "left_semi")
+    x, y = e.select("universe_id", "dst", F.col("src").alias("a")), e.select("universe_id", "dst", F.col("src").alias("b"))
+    pairs = paired(x, y, ["universe_id", "dst"], block).filter("a < b").groupBy("universe_id", "a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
     refs = edges.filter(F.col("rel") == "REFERENCES_DOC").select("universe_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return pairs.join(refs, ["universe_id", "a", "b"], "left_anti")
 
@@ -81,36 +141,70 @@ def documents_for_entity(edges: DataFrame, k: int = 5) -> DataFrame:
     return top_rows(e, ["universe_id", "id"], [F.desc("count"), F.col("doc")], k)
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Every edge seen from both ends: (universe_id, at, other, rel, src, dst)."""
-    out = edges.select("universe_id", F.col("src").alias("at"), F.col("dst").alias("other"), "rel", "src", "dst")
-    return out.unionByName(edges.select("universe_id", F.col("dst").alias("at"), F.col("src").alias("other"), "rel", "src", "dst"))
+def chunks_for_entity(edges: DataFrame, k: int = 8) -> DataFrame:
+    """(universe_id, id, chunk, document, count, rank): the chunks that mention an entity most, with the document that holds them."""
+    m = edges.filter((F.col("rel") == "MENTIONS") & ~F.col("src").startswith("doc:")).select("universe_id", F.col("dst").alias("id"), F.col("src").alias("chunk"), F.coalesce("count", F.lit(1).cast("long")).alias("count"))
+    best = top_rows(m, ["universe_id", "id"], [F.desc("count"), F.col("chunk")], k)
+    held = edges.filter(F.col("rel") == "CONTAINS").groupBy("universe_id", F.col("dst").alias("chunk")).agg(F.min("src").alias("document"))
+    return best.join(held, ["universe_id", "chunk"], "left").select("universe_id", "id", "chunk", "document", "count", "rank")
 
 
-def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, only: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
-    """(universe_id, root, rel, src, dst, hop): edges met in ``depth`` steps from each root.
+def both_ways(edges: DataFrame, *more: str) -> DataFrame:
+    """Every edge seen from both ends: (universe_id, at, other, rel, src, dst and the columns ``more``)."""
+    out = edges.select("universe_id", F.col("src").alias("at"), F.col("dst").alias("other"), "rel", "src", "dst", *more)
+    return out.unionByName(edges.select("universe_id", F.col("dst").alias("at"), F.col("src").alias("other"), "rel", "src", "dst", *more))
 
-    ``roots`` has (universe_id, root).  From a node and direction at most FAN_OUT edges count,
-    in the order (rel, src, dst), before the relations are filtered.
+
+def steps_from(edges: DataFrame, at: DataFrame, only: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """The edges at the nodes ``at`` (universe_id, at): (universe_id, at, other, rel, src, dst, count, predicate).
+
+    Of a node and direction the first FAN_OUT edges in the order (rel, src, dst) count, before
+    the relations are filtered.  Only edges of the nodes asked for are ranked.
     """
     order = [F.col("rel"), F.col("src"), F.col("dst")]
-    capped = top_rows(edges, ["universe_id", "src"], order, FAN_OUT, "ro").withColumn("ri", F.row_number().over(Window.partitionBy("universe_id", "dst").orderBy(*order)))
-    inbound = top_rows(edges, ["universe_id", "dst"], order, FAN_OUT, "ri")
-    steps = capped.select("universe_id", F.col("src").alias("at"), F.col("dst").alias("other"), "rel", "src", "dst").unionByName(
-        inbound.select("universe_id", F.col("dst").alias("at"), F.col("src").alias("other"), "rel", "src", "dst")
+    kept = edges.select("universe_id", "rel", "src", "dst", "count", "predicate")
+    asked = at.select("universe_id", "at").distinct()
+    out, into = (
+        top_rows(kept.withColumn("at", F.col(here)).join(asked, ["universe_id", "at"], "left_semi"), ["universe_id", "at"], order, FAN_OUT, "r").drop("r").withColumn("other", F.col(there))
+        for here, there in (("src", "dst"), ("dst", "src"))
     )
+    steps = out.unionByName(into)
     if only is not None:
         steps = steps.filter(F.col("rel").isin(*only))
     if without:
         steps = steps.filter(~F.col("rel").isin(*without))
+    return steps
+
+
+def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 1, only: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """(universe_id, root, rel, src, dst, count, predicate, hop): edges met in ``depth`` steps from each root.
+
+    ``roots`` has (universe_id, root).  See :func:`steps_from` for the edges of a step.
+    """
     frontier = roots.select("universe_id", "root", F.col("root").alias("at"))
     seen, found = frontier, None
     for hop in range(1, depth + 1):
-        met = frontier.join(steps, ["universe_id", "at"]).withColumn("hop", F.lit(hop))
+        met = frontier.join(steps_from(edges, frontier, only, without), ["universe_id", "at"]).withColumn("hop", F.lit(hop))
+        if hop < depth:
+            met = cut(met)
         found = met if found is None else found.unionByName(met)
         frontier = met.select("universe_id", "root", F.col("other").alias("at")).distinct().join(seen, ["universe_id", "root", "at"], "left_anti")
         seen = seen.unionByName(frontier)
-    return found.groupBy("universe_id", "root", "rel", "src", "dst").agg(F.min("hop").alias("hop"))
+    return found.groupBy("universe_id", "root", "rel", "src", "dst", "count", "predicate").agg(F.min("hop").alias("hop"))
+
+
+def per_neighbour(around: DataFrame) -> DataFrame:
+    """(universe_id, root, id, relations, predicates, direction): the edges at the root by neighbour.
+
+    Lists are joined by ``|``; the direction is that of the last edge in the order (rel, src, dst).
+    """
+    own = around.filter((F.col("src") == F.col("root")) != (F.col("dst") == F.col("root")))
+    is_out = F.col("src") == F.col("root")
+    return own.groupBy("universe_id", "root", F.when(is_out, F.col("dst")).otherwise(F.col("src")).alias("id")).agg(
+        F.array_join(F.sort_array(F.collect_set("rel")), "|").alias("relations"),
+        F.array_join(F.sort_array(F.collect_set("predicate")), "|").alias("predicates"),
+        F.max_by(F.when(is_out, F.lit("out")).otherwise(F.lit("in")), F.struct("rel", "src", "dst")).alias("direction"),
+    )
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
@@ -133,6 +227,45 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> Dat
     return pairs.join(reached.withColumnRenamed("at", "goal"), ["universe_id", "start", "goal"]).select("universe_id", "start", "goal", "path")
 
 
+def path_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(universe_id, start, goal, hop, here, there, rel, src, dst, predicate): an edge for each step of the paths, the first in the order (rel, src, dst)."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct((i - 1).alias("hop"), F.get("path", i - 1).alias("here"), F.get("path", i).alias("there")))
+    steps = paths.filter(F.size("path") > 1).select("universe_id", "start", "goal", F.explode(pairs).alias("p")).select("universe_id", "start", "goal", "p.*")
+    seen = both_ways(edges, "predicate").select("universe_id", F.col("at").alias("here"), F.col("other").alias("there"), F.struct("rel", "src", "dst", "predicate").alias("e"))
+    return steps.join(seen, ["universe_id", "here", "there"]).groupBy("universe_id", "start", "goal", "hop", "here", "there").agg(F.min("e").alias("e")).select("universe_id", "start", "goal", "hop", "here", "there", "e.*")
+
+
+def path_narrative(hops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(universe_id, start, goal, narrative): the hops in words, ``A --[REL:predicate]--> B`` or ``B <--[REL]-- C``, separated by `` | ``."""
+    names = nodes.groupBy("universe_id", "id").agg(F.min("label").alias("label"))
+    near, far = (names.select("universe_id", F.col("id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("here", "there"))
+    h = hops.join(near, ["universe_id", "here"], "left").join(far, ["universe_id", "there"], "left")
+    mark = F.when((F.col("rel") == "RELATED") & F.col("predicate").isNotNull(), F.concat_ws(":", "rel", "predicate")).otherwise(F.col("rel"))
+    a, b = F.coalesce("l_here", "here"), F.coalesce("l_there", "there")
+    said = F.when(F.col("src") == F.col("here"), F.concat(a, F.lit(" --["), mark, F.lit("]--> "), b)).otherwise(F.concat(a, F.lit(" <--["), mark, F.lit("]-- "), b))
+    told = h.groupBy("universe_id", "start", "goal").agg(F.sort_array(F.collect_list(F.struct("hop", said.alias("said")))).alias("all"))
+    return told.select("universe_id", "start", "goal", F.array_join(F.transform("all", lambda x: x["said"]), " | ").alias("narrative"))
+
+
+def browser_view(nodes: DataFrame, edges: DataFrame, types: list[str], needle: str = "") -> tuple[DataFrame, DataFrame]:
+    """Nodes of the visible types whose label contains ``needle`` (in any case), and the edges with both ends among them."""
+    n = nodes.filter(F.col("type").isin(*types) & F.lower("label").contains(needle.lower()))
+    ids = n.select("universe_id", "id")
+    e = edges.join(ids.withColumnRenamed("id", "src"), ["universe_id", "src"], "left_semi").join(ids.withColumnRenamed("id", "dst"), ["universe_id", "dst"], "left_semi")
+    return n, e
+
+
+def expanded_view(nodes: tuple[DataFrame, DataFrame], edges: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A view and what a further look added: nodes once by id, edges once by ends and relation."""
+    return nodes[0].unionByName(nodes[1]).dropDuplicates(["universe_id", "id"]), edges[0].unionByName(edges[1]).dropDuplicates(["universe_id", "rel", "src", "dst"])
+
+
+def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes with the asked ids (id, and universe_id if it is there); unknown ids give no rows."""
+    keys = [c for c in ("universe_id", "id") if c in ids.columns]
+    return nodes.join(ids.select(*keys).distinct(), keys, "left_semi")
+
+
 def describe(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Type and label of the asked (universe_id, pos, id), in that order; unknown ids count as documents."""
     named = nodes.select("universe_id", "id", "type", "label")

@@ -53,12 +53,12 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], block: int = 1_00
     copied to each block, so that the pairs of a hot key come from many tasks.  Counts are
     combined on the map side.  Null keys match nothing; only the keys share names.
     """
-    parts = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+    parts = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     dealt = lookup_join(right, parts, keys)
     rest = [F.col(c) for c in right.columns if c not in keys]
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*(rest or [F.lit(0)])), F.col("_parts")).cast("int")).drop("_parts")
-    copies = lookup_join(left, parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return copies.join(dealt, [*keys, "_part"]).drop("_part")
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(*(rest or [F.lit(0)])), F.col("_blocks")).cast("int")).drop("_blocks")
+    copies = lookup_join(left, parts, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    return copies.join(dealt, [*keys, "_block"]).drop("_block")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:

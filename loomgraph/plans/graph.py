@@ -47,27 +47,30 @@ def graph_stats(spark, d):
 
 
 def _related(name, via, rels):
-    w = "CASE a.rel WHEN 'MENTIONS' THEN 1.0 ELSE 0.7 END"
-
     @_query(
         name,
-        _sql(f""" SELECT universe_id, doc, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY universe_id, doc ORDER BY score DESC, other) AS rank FROM (
-          SELECT a.universe_id, a.src AS doc, b.src AS other, round(sum({w}::DOUBLE), 6) AS score FROM edges a JOIN edges b
-          ON a.universe_id = b.universe_id AND a.rel = b.rel AND a.dst = b.dst AND a.src <> b.src WHERE a.rel IN ({rels}) GROUP BY ALL)) WHERE rank <= 8"""),
+        _sql(f""", ch(rel, o, w, reason) AS (VALUES ('MENTIONS', 0, 1.0::DOUBLE, 'shared entities'), ('ABOUT', 1, 0.7::DOUBLE, 'shared topics'), ('REFERENCES_DOC', 2, 1.5::DOUBLE, 'cross-document reference')),
+          c AS (SELECT a.universe_id, a.rel, a.src AS doc, b.src AS other, count(*) AS shared FROM edges a JOIN edges b ON a.universe_id = b.universe_id AND a.rel = b.rel AND a.dst = b.dst AND a.src <> b.src
+            WHERE a.rel IN ('MENTIONS', 'ABOUT') AND a.src LIKE 'doc:%' AND b.src LIKE 'doc:%' GROUP BY a.universe_id, a.rel, a.src, b.src QUALIFY row_number() OVER (PARTITION BY a.universe_id, a.rel, a.src ORDER BY count(*) DESC, b.src) <= 16
+            UNION ALL SELECT universe_id, rel, src, dst, 1 FROM edges WHERE rel = 'REFERENCES_DOC' UNION ALL SELECT universe_id, rel, dst, src, 1 FROM edges WHERE rel = 'REFERENCES_DOC'),
+          s AS (SELECT universe_id, doc, other, round(sum(shared * w), 6) AS score, string_agg(reason, '; ' ORDER BY o) AS reason FROM c JOIN ch USING (rel) WHERE rel IN ({rels}) GROUP BY ALL)
+          SELECT universe_id, doc, other, score, reason, row_number() OVER (PARTITION BY universe_id, doc ORDER BY score DESC, other) AS rank FROM s QUALIFY rank <= 8"""),
     )
     def run(spark, d):
-        return G.related_documents(edges(spark, d, "MENTIONS", "ABOUT"), via)
+        return G.related_documents(edges(spark, d, "MENTIONS", "ABOUT", "REFERENCES_DOC"), via)
 
 
 _related("related_docs_entities", "entities", "'MENTIONS'")
 _related("related_docs_topics", "topics", "'ABOUT'")
-_related("related_docs_all", "all", "'MENTIONS', 'ABOUT'")
+_related("related_docs_references", "references", "'REFERENCES_DOC'")
+_related("related_docs_all", "all", "'MENTIONS', 'ABOUT', 'REFERENCES_DOC'")
 
 
-@_query("similar_docs_pairs", _sql(""" SELECT a.universe_id, a.src AS a, b.src AS b, count(*) AS shared FROM edges a JOIN edges b
-  ON a.universe_id = b.universe_id AND a.dst = b.dst AND a.src < b.src WHERE a.rel = 'MENTIONS' AND b.rel = 'MENTIONS' GROUP BY ALL HAVING count(*) >= 1"""))
+@_query("similar_docs_pairs", _sql(""" SELECT a.universe_id, a.src AS a, b.src AS b, count(DISTINCT a.dst) AS shared FROM edges a JOIN edges b
+  ON a.universe_id = b.universe_id AND a.dst = b.dst AND a.src < b.src WHERE a.rel = 'MENTIONS' AND b.rel = 'MENTIONS' AND a.src LIKE 'doc:%' AND b.src LIKE 'doc:%'
+  AND NOT EXISTS (FROM edges r WHERE r.rel = 'REFERENCES_DOC' AND r.universe_id = a.universe_id AND ((r.src = a.src AND r.dst = b.src) OR (r.src = b.src AND r.dst = a.src))) GROUP BY ALL HAVING count(DISTINCT a.dst) >= 1"""))
 def similar_docs_pairs(spark, d):
-    return G.similar_documents(edges(spark, d, "MENTIONS"), 1)
+    return G.similar_documents(edges(spark, d, "MENTIONS", "REFERENCES_DOC"), 1)
 
 
 @_query("degree_centrality", _sql(""" SELECT universe_id, id, degree, degree / greatest(1, max(degree) OVER (PARTITION BY universe_id)) AS centrality FROM (
@@ -104,13 +107,13 @@ _STEPS = """, steps AS MATERIALIZED (SELECT universe_id, src AS here, dst AS oth
 @_query("neighborhood_1hop", _sql(_ROOTS + _STEPS + " SELECT DISTINCT universe_id, root, rel, src, dst, 1 AS hop FROM roots JOIN steps USING (universe_id) WHERE here = root"))
 def neighborhood_1hop(spark, d):
     e = edges(spark, d)
-    return G.neighbourhood(e, _roots(e))
+    return G.neighbourhood(e, _roots(e)).drop("count", "predicate")
 
 
 @_query("neighborhood_filtered", _sql(_ROOTS + _STEPS + " SELECT DISTINCT universe_id, root, rel, src, dst, 1 AS hop FROM roots JOIN steps USING (universe_id) WHERE here = root AND rel NOT IN ('TAGGED', 'CONTAINS')"))
 def neighborhood_filtered(spark, d):
     e = edges(spark, d)
-    return G.neighbourhood(e, _roots(e), without=["TAGGED", "CONTAINS"])
+    return G.neighbourhood(e, _roots(e), without=["TAGGED", "CONTAINS"]).drop("count", "predicate")
 
 
 @_query("neighborhood_2hop", _sql(_ROOTS + _STEPS + """, h1 AS (SELECT universe_id, root, rel, src, dst, other FROM roots JOIN steps USING (universe_id) WHERE here = root AND rel <> 'TAGGED'),
@@ -119,21 +122,77 @@ def neighborhood_filtered(spark, d):
   UNION ALL SELECT f.universe_id, f.root, s.rel, s.src, s.dst, 2 FROM f JOIN steps s ON s.universe_id = f.universe_id AND s.here = f.here WHERE s.rel <> 'TAGGED') GROUP BY ALL"""))
 def neighborhood_2hop(spark, d):
     e = edges(spark, d)
-    return G.neighbourhood(e, _roots(e), depth=2, without=["TAGGED"])
+    return G.neighbourhood(e, _roots(e), depth=2, without=["TAGGED"]).drop("count", "predicate")
+
+
+@_query("neighborhood_only", _sql(_ROOTS + _STEPS + " SELECT DISTINCT universe_id, root, rel, src, dst, 1 AS hop FROM roots JOIN steps USING (universe_id) WHERE here = root AND rel IN ('ABOUT', 'MENTIONS')"))
+def neighborhood_only(spark, d):
+    e = edges(spark, d)
+    return G.neighbourhood(e, _roots(e), only=["ABOUT", "MENTIONS"]).drop("count", "predicate")
+
+
+@_query("graph_navigate", _sql(""", roots AS (SELECT universe_id, src AS root FROM edges WHERE rel = 'RELATED' GROUP BY universe_id, src QUALIFY row_number() OVER (PARTITION BY universe_id ORDER BY count(*) DESC, src) = 1)""" + _STEPS + """,
+  e AS (SELECT DISTINCT s.universe_id, root, s.rel, s.src, s.dst, s.other, g.predicate FROM roots r JOIN steps s ON s.universe_id = r.universe_id AND s.here = r.root JOIN edges g ON g.universe_id = s.universe_id AND g.rel = s.rel AND g.src = s.src AND g.dst = s.dst
+    WHERE s.rel NOT IN ('CONTAINS', 'TAGGED') AND s.src <> s.dst)
+  SELECT universe_id, root, other AS id, string_agg(DISTINCT rel, '|' ORDER BY rel) AS relations, coalesce(string_agg(DISTINCT predicate, '|' ORDER BY predicate), '') AS predicates,
+    arg_max(CASE WHEN src = root THEN 'out' ELSE 'in' END, {'r': rel, 's': src, 'd': dst}) AS direction FROM e GROUP BY universe_id, root, other"""))
+def graph_navigate(spark, d):
+    e = edges(spark, d)
+    n = e.filter(F.col("rel") == "RELATED").groupBy("universe_id", F.col("src").alias("root")).agg(F.count(F.lit(1)).alias("n"))
+    roots = G.top_rows(n, ["universe_id"], [F.desc("n"), F.col("root")], 1).select("universe_id", "root")
+    return G.per_neighbour(G.neighbourhood(e, roots, without=["CONTAINS", "TAGGED"]))
 
 
-@_query("find_path_bfs", _sql(_ROOTS + """, ends AS (SELECT r.universe_id, r.root AS start, g.goal FROM roots r JOIN (SELECT universe_id, max(src) AS goal FROM edges WHERE rel = 'MENTIONS' GROUP BY ALL) g USING (universe_id)),
+_PATHS = _ROOTS + """, ends AS (SELECT r.universe_id, r.root AS start, g.goal FROM roots r JOIN (SELECT universe_id, max(src) AS goal FROM edges WHERE rel = 'MENTIONS' GROUP BY ALL) g USING (universe_id)),
   both_ways AS MATERIALIZED (SELECT DISTINCT universe_id, src AS here, dst AS other FROM edges WHERE rel IN ('MENTIONS', 'ABOUT', 'RELATED') UNION SELECT universe_id, dst, src FROM edges WHERE rel IN ('MENTIONS', 'ABOUT', 'RELATED')),
   walk AS (SELECT universe_id, start, start AS here, 0 AS hop, [start] AS path FROM ends UNION ALL
     SELECT universe_id, start, here, hop, path FROM (SELECT w.universe_id, w.start, b.other AS here, w.hop + 1 AS hop, list_append(w.path, b.other) AS path FROM walk w JOIN both_ways b ON b.universe_id = w.universe_id AND b.here = w.here
-    WHERE w.hop < 4 AND NOT list_contains(w.path, b.other)))
-  SELECT universe_id, start, goal, len(path) - 1 AS hops FROM (SELECT e.*, w.path FROM ends e JOIN walk w ON w.universe_id = e.universe_id AND w.start = e.start AND w.here = e.goal
-    QUALIFY row_number() OVER (PARTITION BY e.universe_id ORDER BY w.hop, w.path) = 1)"""))
-def find_path_bfs(spark, d):
+    WHERE w.hop < 4 AND NOT list_contains(w.path, b.other))),
+  paths AS (SELECT universe_id, start, goal, path FROM (SELECT e.*, w.path FROM ends e JOIN walk w ON w.universe_id = e.universe_id AND w.start = e.start AND w.here = e.goal
+    QUALIFY row_number() OVER (PARTITION BY e.universe_id ORDER BY w.hop, w.path) = 1))"""
+
+
+def _paths(spark, d):
     e = edges(spark, d, "MENTIONS", "ABOUT", "RELATED")
     goal = e.filter(F.col("rel") == "MENTIONS").groupBy("universe_id").agg(F.max("src").alias("goal"))
-    pairs = _roots(e).join(goal, "universe_id").select("universe_id", F.col("root").alias("start"), "goal")
-    return G.shortest_paths(e, pairs).select("universe_id", "start", "goal", (F.size("path") - 1).alias("hops"))
+    return G.shortest_paths(e, _roots(e).join(goal, "universe_id").select("universe_id", F.col("root").alias("start"), "goal")), e
+
+
+@_query("find_path_bfs", _sql(_PATHS + " SELECT universe_id, start, goal, len(path) - 1 AS hops, array_to_string(path, '|') AS path FROM paths"))
+def find_path_bfs(spark, d):
+    return _paths(spark, d)[0].select("universe_id", "start", "goal", (F.size("path") - 1).alias("hops"), F.array_join("path", "|").alias("path"))
+
+
+@_query("find_path_narrative", _sql(_PATHS + """, hops AS (SELECT universe_id, start, goal, i AS hop, path[i] AS here, path[i + 1] AS there FROM (SELECT *, unnest(range(1, len(path))) AS i FROM paths)),
+  named AS (SELECT universe_id, id, min(label) AS label FROM nodes GROUP BY ALL),
+  said AS (SELECT h.*, e.rel, e.src, e.predicate, coalesce(a.label, here) AS la, coalesce(b.label, there) AS lb FROM hops h JOIN edges e ON e.universe_id = h.universe_id AND e.rel IN ('MENTIONS', 'ABOUT', 'RELATED') AND ((e.src = here AND e.dst = there) OR (e.src = there AND e.dst = here))
+    LEFT JOIN named a ON a.universe_id = h.universe_id AND a.id = here LEFT JOIN named b ON b.universe_id = h.universe_id AND b.id = there
+    QUALIFY row_number() OVER (PARTITION BY h.universe_id, start, goal, hop ORDER BY e.rel, e.src, e.dst) = 1)
+  SELECT universe_id, start, goal, string_agg(CASE WHEN src = here THEN la || ' --[' || rel || coalesce(':' || predicate, '') || ']--> ' || lb ELSE la || ' <--[' || rel || coalesce(':' || predicate, '') || ']-- ' || lb END, ' | ' ORDER BY hop) AS narrative FROM said GROUP BY ALL"""))
+def find_path_narrative(spark, d):
+    paths, e = _paths(spark, d)
+    return G.path_narrative(G.path_hops(paths, e), nodes(spark, d))
+
+
+@_query("browser_filter", _sql(""", n AS (SELECT * FROM nodes WHERE type IN ('Document', 'Topic', 'Entity') AND contains(lower(label), 'r'))
+  SELECT universe_id, rel, src, dst FROM edges e WHERE EXISTS (FROM n WHERE n.universe_id = e.universe_id AND n.id = e.src) AND EXISTS (FROM n WHERE n.universe_id = e.universe_id AND n.id = e.dst)"""))
+def browser_filter(spark, d):
+    return G.browser_view(nodes(spark, d), edges(spark, d), ["Document", "Topic", "Entity"], "R")[1].select("universe_id", "rel", "src", "dst")
+
+
+@_query("node_dispatch", _sql(""" SELECT universe_id, id, CASE WHEN id LIKE 'doc:%' THEN 'document' WHEN id LIKE 'chunk:%' THEN 'chunk' END AS reader, type, label FROM nodes WHERE id LIKE 'doc:%' OR id LIKE 'chunk:%'"""))
+def node_dispatch(spark, d):
+    """Only ids of documents and chunks have a reader; others give no row."""
+    reader = F.when(F.col("id").startswith("doc:"), "document").when(F.col("id").startswith("chunk:"), "chunk")
+    return nodes(spark, d).withColumn("reader", reader).filter("reader IS NOT NULL").select("universe_id", "id", "reader", "type", "label")
+
+
+@_query("get_node", _sql(""" SELECT universe_id, id, type, label, subtype FROM nodes WHERE id = (SELECT max(id) FROM entities)"""))
+def get_node(spark, d):
+    from loomgraph.session import table
+
+    asked = table(spark, d, "entities").agg(F.max("id").alias("id"))
+    return G.get_nodes(nodes(spark, d), asked)
 
 
 @_query("topic_hierarchy", _sql(""" SELECT n.universe_id, n.id, coalesce((SELECT string_agg(dst, '|' ORDER BY dst) FROM edges e WHERE e.universe_id = n.universe_id AND e.rel = 'PART_OF' AND e.src = n.id), '') AS parents,

@@ -55,6 +55,16 @@ def _related(spark, sf_dir):
     return r.filter("src <> dst").select("universe_id", F.lit("RELATED").alias("rel"), "src", "dst", "predicate")
 
 
+def _references(spark, sf_dir):
+    """A document refers to the one from which the entity was extracted that one of its relations leads to."""
+    r = table(spark, sf_dir, "relations").filter((F.lower("kind") == "related") & F.col("document_id").isNotNull())
+    e = table(spark, sf_dir, "entities")
+    names = e.select("universe_id", squeeze(F.col("name")).alias("k"), "id").groupBy("universe_id", "k").agg(F.min("id").alias("id"))
+    origin = e.groupBy("universe_id", "id").agg(F.min("document_id").alias("dst"))
+    r = r.select("universe_id", F.col("document_id").alias("src"), squeeze(F.col("dst_name")).alias("k")).join(names, ["universe_id", "k"]).join(origin, ["universe_id", "id"])
+    return r.filter("src <> dst").select("universe_id", F.lit("REFERENCES_DOC").alias("rel"), "src", "dst")
+
+
 _EDGES = {
     "CONTAINS": _contains,
     "MENTIONS": _mentions,
@@ -63,6 +73,7 @@ _EDGES = {
     "TAGGED": lambda s, d: _summary_edges(s, d, "TAGGED", "kw:", "keywords"),
     "RELATED": _related,
     "PART_OF": _part_of,
+    "REFERENCES_DOC": _references,
 }
 
 
@@ -123,6 +134,8 @@ raw_edges AS (
   UNION ALL SELECT r.universe_id, 'RELATED', a.id, b.id, {predicate_sql("predicate")} FROM relations r
     JOIN names a ON a.universe_id = r.universe_id AND a.k = {squeeze_sql("src_name")} JOIN names b ON b.universe_id = r.universe_id AND b.k = {squeeze_sql("dst_name")}
     WHERE lower(kind) = 'related' AND a.id <> b.id
+  UNION ALL SELECT r.universe_id, 'REFERENCES_DOC', r.document_id, o.dst, NULL FROM relations r JOIN names n ON n.universe_id = r.universe_id AND n.k = {squeeze_sql("dst_name")}
+    JOIN (SELECT universe_id, id, min(document_id) AS dst FROM entities GROUP BY ALL) o ON o.universe_id = n.universe_id AND o.id = n.id WHERE lower(kind) = 'related' AND r.document_id <> o.dst
   UNION ALL SELECT * FROM (SELECT universe_id, 'PART_OF', 'top:' || {slug_sql("src_name")} AS s, 'top:' || {slug_sql("dst_name")} AS d, NULL FROM relations
     WHERE regexp_replace(lower(kind), '[^a-z]', '', 'g') = 'partof' AND trim(src_name) <> '' AND trim(dst_name) <> '') WHERE s <> d
 ), edges AS MATERIALIZED (SELECT universe_id, rel, src, dst, count(*) AS count, min(predicate) AS predicate FROM raw_edges GROUP BY ALL),

@@ -219,3 +219,39 @@ def test_tools(spark):
     assert e.recall_agent_memory("harbour note").first().id == "n1"
     with pytest.raises(ValueError):
         e.list_topics(0)
+
+
+@pytest.mark.parametrize("hot", [1_000, 3, 0])
+def test_most_shared_targets_without_pairing_hot_ones(spark, hot):
+    """With ``hot`` 0 no documents are paired at all."""
+    from collections import Counter
+
+    from loomgraph.operators import graph as G
+
+    rng = random.Random(8)
+    links = {("u" if d % 7 else "w", f"doc:{d:03d}", f"e{min(int(rng.expovariate(0.25)), 25)}") for d in range(60) for _ in range(rng.randrange(1, 6))}
+    rows = [(u, "MENTIONS", s, t, 1, None) for u, s, t in sorted(links)] + [("u", "MENTIONS", "chunk:1", "e1", 1, None), ("u", "ABOUT", "doc:001", "e1", 1, None)]
+    e = spark.createDataFrame(rows + rows[:5], "universe_id string, rel string, src string, dst string, count long, predicate string")
+    want = {}
+    for u, a in {(u, s) for u, s, _ in links}:
+        shared = Counter(s for v, s, t in links if v == u and s != a and (u, a, t) in links)
+        want[u, a] = [(s, n) for s, n in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:4]]
+    got = {}
+    for r in G.most_shared(e, "MENTIONS", 4, hot=hot).orderBy("rank").collect():
+        got.setdefault((r.universe_id, r.doc), []).append((r.other, r.shared))
+    assert got == {k: v for k, v in want.items() if v}
+    asked = spark.createDataFrame([("u", "doc:001"), ("u", "doc:404")], "universe_id string, doc string")
+    assert [(r.other, r.shared) for r in G.most_shared(e, "MENTIONS", 4, asked, hot).orderBy("rank").collect()] == want["u", "doc:001"]
+
+
+def test_related_documents_sum_their_channels(spark):
+    from loomgraph.operators import graph as G
+
+    rows = [("MENTIONS", "doc:a", "x"), ("MENTIONS", "doc:b", "x"), ("ABOUT", "doc:a", "t"), ("ABOUT", "doc:b", "t"), ("REFERENCES_DOC", "doc:b", "doc:a"), ("REFERENCES_DOC", "doc:c", "doc:a"), ("REFERENCES_DOC", "doc:a", "doc:a")]
+    e = spark.createDataFrame([("u", r, s, d, 1, None) for r, s, d in rows], "universe_id string, rel string, src string, dst string, count long, predicate string")
+    asked = spark.createDataFrame([("u", "doc:a")], "universe_id string, doc string")
+    got = [(r.other, r.score, r.reason) for r in G.related_documents(e, docs=asked).orderBy("rank").collect()]
+    assert got == [("doc:b", 3.2, "shared entities; shared topics; cross-document reference"), ("doc:c", 1.5, "cross-document reference")]
+    assert G.similar_documents(e, 1).count() == 0 and G.similar_documents(e.filter("rel <> 'REFERENCES_DOC'"), 1).count() == 1
+    with pytest.raises(ValueError):
+        G.related_documents(e, "friends")
