@@ -14,6 +14,15 @@ HOT_ROWS = 500_000
 MAX_HOT_KEYS = 10_000
 
 
+#: Most rows that are sent to all tasks after a check.
+SENT_ROWS = 100_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, so that the join is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, limit: int = MAX_HOT_KEYS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows, and in ``_parts`` over how many tasks to spread each.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import top_rows
+from loomgraph.operators.skew import sent_if_small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,12 +37,12 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
 def knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", keys: list[str] | None = None, digits: int = 9) -> DataFrame:
     """(keys, qid, id, score, rank): the k nearest records of each query, equal scores by id.
 
-    ``queries`` (qid, qv, keys) is a stated, small set that is sent to all tasks; the records
-    are scanned once and only k rows for each query and task are shuffled.
+    ``queries`` (qid, qv, keys) is a stated set.  A small one, as checked, is sent to all
+    tasks; the records are scanned once and only k rows for each query and task are shuffled.
     """
     keys = keys or []
     score = F.round(similarity(F.col("v"), F.col("qv"), metric), digits).alias("score")
-    q = F.broadcast(queries)
+    q = sent_if_small(queries)
     pairs = records.join(q, keys) if keys else records.crossJoin(q)
     return top_rows(pairs.select(*keys, "qid", "id", score), [*keys, "qid"], [F.desc("score"), F.col("id")], k)
 
@@ -57,6 +60,72 @@ def sample_recent(records: DataFrame, n: int, keys: list[str]) -> DataFrame:
     return top_rows(pool, keys, [F.desc("created_at"), F.col("id")], n).drop("p")
 
 
+def sample_random(records: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """n of the first 2 n records (in id order) of each key, in a seeded order."""
+    pool = top_rows(records, keys, [F.col("id")], 2 * n, "p")
+    return top_rows(pool, keys, [F.xxhash64("id", F.lit(seed)), F.col("id")], n).drop("p")
+
+
+def usable(v: Column, dim: int = 64) -> Column:
+    """Whether a vector has ``dim`` numbers, none null, NaN or infinite, and not all zero."""
+    whole = (F.size(v) == dim) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
+    return F.coalesce(v.isNotNull() & whole, F.lit(False))
+
+
+def vector_filter(records: DataFrame, kinds: list[str] | None = None, file_id: str | None = None, domain: str | None = None, entity_type: str | None = None, source_ids: list[str] | None = None, exclude_source_ids: list[str] | None = None) -> DataFrame:
+    """Records that meet all conditions given; an entity's type is its domain, so with both ``domain`` and ``entity_type`` both must hold."""
+    conditions = [
+        F.col("kind").isin(*kinds) if kinds else None,
+        F.col("file_id") == file_id if file_id is not None else None,
+        F.col("domain") == domain if domain is not None else None,
+        F.col("domain") == entity_type if entity_type is not None else None,
+        F.col("source_id").isin(*source_ids) if source_ids else None,
+        ~F.col("source_id").isin(*exclude_source_ids) if exclude_source_ids else None,
+    ]
+    for c in conditions:
+        records = records if c is None else records.filter(c)
+    return records
+
+
+def by_source_id(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked (universe_id, source_id) its record with the smallest id; unknown ones give no row."""
+    met = records.join(asked.select("universe_id", "source_id").distinct(), ["universe_id", "source_id"], "left_semi")
+    return top_rows(met, ["universe_id", "source_id"], [F.col("id"), F.desc("created_at")], 1).drop("rank")
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """Rows of any origin as vector records: the thirteen columns with their types, missing ones and nulls as empty values."""
+    texts = ["id", "kind", "source_id", "universe_id", "title", "text", "domain", "graph_node_id", "file_id"]
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    lists = lambda c: F.filter(F.coalesce(have(c).cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    numbers = F.filter(F.coalesce(have("vector").cast("array<float>"), F.array().cast("array<float>")), lambda x: x.isNotNull())
+    cols = {c: F.coalesce(have(c).cast("string"), F.lit("")) for c in texts}
+    cols |= {"vector": numbers, "keywords": lists("keywords"), "topics": lists("topics"), "created_at": F.coalesce(have("created_at").cast("long"), F.lit(0).cast("long"))}
+    order = ["id", "kind", "source_id", "universe_id", "title", "text", "vector", "keywords", "domain", "topics", "graph_node_id", "file_id", "created_at"]
+    return rows.select(*[cols[c].alias(c) for c in order])
+
+
+def embed_texts(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], task: str = "passage", column: str = "text", batch: int = 16) -> DataFrame:
+    """``texts`` with their vectors in ``v``: a model is called with batches of ``batch`` texts, each with the task as its prefix.
+
+    ``embed`` runs on the workers.  Null texts have null vectors.
+    """
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    def run(batches):
+        for b in batches:
+            known = b[column].notna().to_numpy().nonzero()[0]
+            vectors: list = [None] * len(b)
+            for lo in range(0, len(known), batch):
+                at = known[lo : lo + batch]
+                for i, v in zip(at, embed([f"{task}: {b[column].iloc[j]}" for j in at])):
+                    vectors[i] = [float(x) for x in v]
+            yield b.assign(v=pd.Series(vectors, index=b.index, dtype=object))
+
+    return texts.mapInPandas(run, StructType([*texts.schema.fields, StructField("v", ArrayType(DoubleType()))]))
+
+
 def sample_diverse(records: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """Up to n records of each key, each farthest from those chosen; the first is the smallest id.
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.engine import hashed_embedding
 from loomgraph.operators import graph as G
-from loomgraph.operators.ranking import best_sources, expand, linked_references, rrf
+from loomgraph.operators.ranking import across_universes, best_sources, expand, hybrid_search, linked_references, rrf
 from loomgraph.operators.search import bm25, match_expression
-from loomgraph.operators.vectors import knn, running_mean, sample_diverse, sample_recent
+from loomgraph.operators.vectors import knn, running_mean, sample_diverse, sample_recent, usable
 from loomgraph.session import table
 from loomgraph.sources.knowledge import GRAPH_SQL, edges, latest_vectors, nodes
 
@@ -134,15 +134,6 @@ def rrf_hybrid(spark, d):
     return rrf([vec, fts], ["qid", "vid"], 10).select("qid", "vid", "id", "score", "rank")
 
 
-@_query("rrf_cross_universe", f"""WITH {_BM25}, t AS (SELECT qid, universe_id || ':' || id AS id, row_number() OVER (PARTITION BY qid, universe_id ORDER BY score DESC, id) AS rank FROM fts JOIN (SELECT doc_id AS id, universe_id FROM documents) USING (id) QUALIFY rank <= 5)
-  SELECT qid::INT AS qid, id, round(1.0::DOUBLE / (60 + rank), 12) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(1.0::DOUBLE / (60 + rank), 12) DESC, rank, id) AS rank FROM t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(1.0::DOUBLE / (60 + rank), 12) DESC, rank, id) <= 10""")
-def rrf_cross_universe(spark, d):
-    docs = _docs(spark, d)
-    hits = bm25(docs, _asked(spark), 1 << 30).drop("rank").join(docs.select("id", "universe_id"), "id")
-    per = G.top_rows(hits, ["qid", "universe_id"], [F.desc("score"), F.col("id")], 5)
-    return rrf([per.select("qid", F.concat_ws(":", "universe_id", "id").alias("id"), "rank")], ["qid"], 10).select("qid", "id", "score", "rank")
-
-
 _OK = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
 #: The newest summary of each document, and the words of the asked texts as a sparse hashed vector (dim, val).
 _SUMMARIES = """latest AS (SELECT * FROM vector_records WHERE kind = 'doc_summary' QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, source_id DESC, universe_id DESC, title DESC, text DESC, vector DESC) = 1),
@@ -155,6 +146,36 @@ def _hashed_sql(texts: str) -> str:
   FROM (SELECT t, sha256(w) AS h FROM (SELECT t, unnest(string_split_regex(lower(trim(t)), '\\s+')) AS w FROM {texts}) WHERE w <> '') GROUP BY ALL"""
 
 
+def _newest_summaries(spark, d):
+    newest = F.max(F.struct("created_at", F.col("id").alias("record"), "title", "text", "vector")).alias("m")
+    return latest_vectors(spark, d, "doc_summary").groupBy("universe_id", F.col("source_id").alias("id")).agg(newest).select("universe_id", "id", "m.title", "m.text", "m.vector")
+
+
+_CROSS = rf"""WITH {_SUMMARIES}, {_ASK}, words AS (SELECT qid, unnest(string_split_regex(regexp_replace(query, '["''*^:()\-]', ' ', 'g'), '\s+')) AS w FROM asked),
+q AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_TERMS.format(c="w")}) AS term FROM words WHERE length(w) > 1) GROUP BY ALL),
+d AS MATERIALIZED (SELECT universe_id, 'doc:' || file_id AS id, {_TERMS.format(c="title")} || {_TERMS.format(c="text")} AS ts FROM documents),
+st AS (SELECT universe_id, count(*) AS n, avg(len(ts)) AS av FROM d GROUP BY ALL),
+tf AS (SELECT universe_id, id, len, term, count(*) AS f FROM (SELECT universe_id, id, len(ts) AS len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+dfs AS (SELECT universe_id, term, count(*) AS df FROM tf GROUP BY ALL),
+fts AS (SELECT universe_id, qid, id, round(sum(s * times), 6) AS score FROM (SELECT universe_id, id, term, CASE WHEN n > 2 * df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av)) AS s FROM tf JOIN dfs USING (universe_id, term) JOIN st USING (universe_id)) JOIN q USING (term) GROUP BY ALL),
+l2 AS (SELECT universe_id, qid, id, row_number() OVER (PARTITION BY universe_id, qid ORDER BY score DESC, id) AS rank FROM fts QUALIFY rank <= 10),
+h AS MATERIALIZED ({_hashed_sql("(SELECT query AS t FROM asked)")}),
+vec AS (SELECT universe_id, qid, id, round(sum(val * vector[dim]::DOUBLE) / sqrt(sum(val * val)) / any_value(len2), 9) AS score FROM asked JOIN h ON h.t = query, (SELECT *, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS len2 FROM summaries WHERE {_OK}) GROUP BY ALL),
+l1 AS (SELECT universe_id, qid, id, row_number() OVER (PARTITION BY universe_id, qid ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 10),
+f AS (SELECT universe_id, qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({{'l': list, 'r': rank}}) AS first FROM (SELECT *, 0 AS list FROM l1 UNION ALL SELECT *, 1 FROM l2) GROUP BY ALL),
+per AS (SELECT *, row_number() OVER (PARTITION BY universe_id, qid ORDER BY score DESC, first, id) AS r FROM f QUALIFY r <= 5)
+SELECT qid::INT AS qid, universe_id, id, round(1.0::DOUBLE / (60 + r), 12) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(1.0::DOUBLE / (60 + r), 12) DESC, r, universe_id, id) AS rank FROM per QUALIFY rank <= 10"""
+
+
+@_query("rrf_cross_universe", _CROSS)
+def rrf_cross_universe(spark, d):
+    """Full text of documents and vectors of summaries, fused in every universe and then across them."""
+    docs = table(spark, d, "documents").select("universe_id", F.concat(F.lit("doc:"), "file_id").alias("id"), "title", "text", F.col("mime").alias("kind"))
+    records = _newest_summaries(spark, d).filter(usable(F.col("vector"))).select("universe_id", "id", F.col("vector").alias("v"))
+    asked = spark.createDataFrame([(i, q, hashed_embedding(q)) for i, q in enumerate(ASKED)], "qid int, query string, qv array<double>")
+    return across_universes(hybrid_search(docs, records, asked, 5), 10).select("qid", "universe_id", "id", "score", "rank")
+
+
 @_query("link_references", rf"""WITH {_SUMMARIES}, refs AS (SELECT DISTINCT universe_id, id AS document, trim(title) AS ref FROM chats WHERE length(trim(title)) >= 4),
 ru AS (SELECT DISTINCT universe_id, ref FROM refs WHERE universe_id IS NOT NULL),
 q AS (SELECT ref, term, count(*) AS times FROM (SELECT ref, unnest({_TERMS.format(c="w")}) AS term FROM (SELECT ref, unnest(string_split_regex(regexp_replace(ref, '["''*^:()\-]', ' ', 'g'), '\s+')) AS w FROM (SELECT DISTINCT ref FROM refs)) WHERE length(w) > 1) GROUP BY ALL),
@@ -176,14 +197,11 @@ def link_references(spark, d):
     """Chats stand for the documents that refer, their titles for the references; files have a text or a summary."""
     refs = table(spark, d, "chats").select("universe_id", F.col("id").alias("document"), F.trim("title").alias("ref")).filter(F.length("ref") >= 4).distinct()
     vectors = refs.select("ref").distinct().withColumn("qv", F.udf(hashed_embedding, "array<double>", useArrow=True)("ref"))
-    v = F.col("vector")
-    ok = (F.size(v) == 64) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    newest = F.max(F.struct("created_at", F.col("id").alias("record"), "title", "text", "vector")).alias("m")
-    summaries = latest_vectors(spark, d, "doc_summary").groupBy("universe_id", F.col("source_id").alias("id")).agg(newest).select("universe_id", "id", "m.title", "m.text", "m.vector")
+    summaries = _newest_summaries(spark, d)
     texts = table(spark, d, "documents").select("universe_id", F.concat(F.lit("doc:"), "file_id").alias("id"), "title", "text")
     bare = summaries.join(texts, ["universe_id", "id"], "left_anti").select("universe_id", "id", "title", "text")
     docs = texts.unionByName(bare).withColumn("kind", F.lit("doc_summary"))
-    return linked_references(refs.join(vectors, "ref"), docs, summaries.filter(ok).select("universe_id", "id", v.alias("v")), 0.0)
+    return linked_references(refs.join(vectors, "ref"), docs, summaries.filter(usable(F.col("vector"))).select("universe_id", "id", F.col("vector").alias("v")), 0.0)
 
 
 @_query("record_sources_topn", """SELECT user_id, source_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, seq, source_id) AS rank FROM
@@ -200,9 +218,11 @@ fused AS (SELECT r.universe_id, r.id, round(1.0::DOUBLE / (60 + row_number() OVE
 seed AS (SELECT universe_id, id FROM fused QUALIFY row_number() OVER (PARTITION BY universe_id ORDER BY score DESC, id) <= 6),
 deg AS (SELECT universe_id, id, count(*) AS g FROM (SELECT universe_id, src AS id FROM edges UNION ALL SELECT universe_id, dst FROM edges WHERE src <> dst) GROUP BY ALL),
 cen AS (SELECT universe_id, id, g / greatest(1, max(g) OVER (PARTITION BY universe_id)) AS c FROM deg),
-met AS (SELECT universe_id, other AS id, max(w) AS w, max(least(2.0, 1 + 0.3 * ln(1 + count))) AS e FROM (
-  SELECT x.universe_id, x.other, x.count, CASE rel WHEN 'CONTAINS' THEN 0.3 WHEN 'ABOUT' THEN 0.6 WHEN 'MENTIONS' THEN 0.5 WHEN 'RELATED' THEN 0.7 WHEN 'PART_OF' THEN 0.5 WHEN 'IN_DOMAIN' THEN 0.2 ELSE 0.3 END AS w
-  FROM seed s JOIN (SELECT universe_id, src AS h, dst AS other, rel, count FROM edges UNION ALL SELECT universe_id, dst, src, rel, count FROM edges) x ON x.universe_id = s.universe_id AND x.h = s.id WHERE rel <> 'TAGGED') m
+steps AS MATERIALIZED (SELECT universe_id, src AS h, dst AS other, rel, src, count FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY universe_id, src ORDER BY rel, src, dst) <= 200)
+  UNION ALL SELECT universe_id, dst, src, rel, src, count FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY universe_id, dst ORDER BY rel, src, dst) <= 200)),
+met AS (SELECT universe_id, other AS id, max(w) AS w, max(least(2.0, 1 + 0.3 * ln(1 + n) + 0.3 * CASE WHEN rel = 'ABOUT' OR (rel = 'MENTIONS' AND src LIKE 'doc:%') THEN 1.0 WHEN rel = 'MENTIONS' THEN least(1.0, 0.3 + 0.1 * n) ELSE 0.0 END)) AS e FROM (
+  SELECT x.universe_id, x.other, x.rel, x.src, CASE WHEN rel = 'MENTIONS' THEN x.count::DOUBLE ELSE 0.0::DOUBLE END AS n, CASE rel WHEN 'CONTAINS' THEN 0.3 WHEN 'ABOUT' THEN 0.6 WHEN 'MENTIONS' THEN 0.5 WHEN 'RELATED' THEN 0.7 WHEN 'PART_OF' THEN 0.5 WHEN 'IN_DOMAIN' THEN 0.2 WHEN 'REFERENCES_DOC' THEN 0.6 ELSE 0.3 END AS w
+  FROM seed s JOIN steps x ON x.universe_id = s.universe_id AND x.h = s.id WHERE rel <> 'TAGGED' AND x.other <> s.id) m
   WHERE NOT EXISTS (FROM fused f WHERE f.universe_id = m.universe_id AND f.id = m.other) GROUP BY ALL)
 SELECT universe_id, id, score FROM fused UNION ALL
 SELECT m.universe_id, m.id, round(0.4 * w * greatest(0.1, coalesce(c, 0.1)) * greatest(0.1, (list_cosine_similarity(v, qv) + 1) / 2) * e, 9)
