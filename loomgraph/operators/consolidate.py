@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import top_rows
-from loomgraph.operators.skew import lookup_join
+from loomgraph.operators.skew import lookup_join, paired
 from loomgraph.operators.vectors import similarity
 from loomgraph.session import cut
 
@@ -14,12 +14,12 @@ from loomgraph.session import cut
 def similar_pairs(records: DataFrame, least: float, keys: list[str], metric: str = "dot") -> DataFrame:
     """(keys, a, b) of records (keys, id, v) of one key with a similarity of at least ``least``, a < b.
 
-    Exact.  The work grows as the square of a key's records, as consolidation is defined; a
-    hot key's rows are dealt by the join over all tasks.
+    Exact.  The work grows as the square of a key's records, as consolidation is defined; the
+    records of a hot key are dealt to blocks, which many tasks pair.
     """
     x, y = records.select(*keys, F.col("id").alias("a"), F.col("v").alias("va")), records.select(*keys, F.col("id").alias("b"), F.col("v").alias("vb"))
     near = similarity(F.col("va"), F.col("vb"), metric) >= least
-    return x.join(y, keys).filter((F.col("a") < F.col("b")) & near).select(*keys, "a", "b")
+    return paired(x, y, keys).filter((F.col("a") < F.col("b")) & near).select(*keys, "a", "b")
 
 
 def single_link(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,7 +63,8 @@ def resolve(new: DataFrame, known: DataFrame, least: float, keys: list[str], met
     """
     n, k = new.select(*keys, "id", F.col("v").alias("nv")), known.select(*keys, F.col("id").alias("kid"), F.col("v").alias("kv"))
     s = F.round(similarity(F.col("nv"), F.col("kv"), metric), 9)
-    pairs = n.join(k, keys).filter(F.col("kid") != F.col("id")) if others else n.join(k, keys)
+    pairs = paired(n, k, keys)
+    pairs = pairs.filter(F.col("kid") != F.col("id")) if others else pairs
     best = pairs.groupBy(*keys, "id").agg(F.max_by("kid", F.struct(s.alias("s"), F.col("kid"))).alias("kid"), F.max(s).alias("s"))
     hit = F.coalesce((F.col("s") >= least) & (F.col("kid") != F.col("id")), F.lit(False))
     return n.select(*keys, "id").join(best, [*keys, "id"], "left").select(*keys, "id", F.when(hit, F.col("kid")).otherwise(F.col("id")).alias("resolved"), hit.alias("merged"))
@@ -73,3 +74,9 @@ def consolidation_due(documents: DataFrame, last_run: DataFrame, every: int = 10
     """Universes with at least ``every`` documents (universe_id, ingested_at) since their last run (universe_id, ran_at)."""
     d = documents.join(last_run, "universe_id", "left").filter(F.col("ran_at").isNull() | (F.col("ingested_at") > F.col("ran_at")))
     return d.groupBy("universe_id").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= every)
+
+
+def branched(messages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The messages of each chat up to the chosen one's time (chosen: chat_id, id), that one included."""
+    at = messages.join(chosen, ["chat_id", "id"], "left_semi").groupBy("chat_id").agg(F.max("created_at").alias("_upto"))
+    return lookup_join(messages, at, ["chat_id"]).filter(F.col("created_at") <= F.col("_upto")).drop("_upto")

@@ -136,6 +136,14 @@ def entity_triples(edges: DataFrame, k: int = 10) -> DataFrame:
     return top_rows(out.unionByName(into), ["universe_id", "id"], [F.desc("direction"), F.col("other"), F.col("predicate")], k)
 
 
+def entity_details(nodes: DataFrame, edges: DataFrame, triples: int = 8, documents: int = 5) -> DataFrame:
+    """Entities with their first ``triples`` and the ``documents`` that mention them most, each list joined by ``; `` (null if empty)."""
+    listed = lambda of, c, name: of.groupBy("universe_id", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", c.alias("x")))), lambda y: y["x"]), "; ").alias(name))
+    t = listed(entity_triples(edges, triples), F.concat_ws(" ", "direction", "predicate", "other"), "triples")
+    m = listed(documents_for_entity(edges, documents), F.col("doc"), "documents")
+    return nodes.join(t, ["universe_id", "id"], "left").join(m, ["universe_id", "id"], "left")
+
+
 def documents_for_entity(edges: DataFrame, k: int = 5) -> DataFrame:
     e = edges.filter((F.col("rel") == "MENTIONS") & F.col("src").startswith("doc:")).select("universe_id", F.col("dst").alias("id"), F.col("src").alias("doc"), "count")
     return top_rows(e, ["universe_id", "id"], [F.desc("count"), F.col("doc")], k)

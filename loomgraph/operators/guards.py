@@ -36,28 +36,34 @@ def guarded_calls(log: DataFrame, budgets: dict[str, int], default: int = 6, sof
     return second.select("turn", "seq", "tool", verdict.alias("verdict"))
 
 
-_LINE = re.compile(r"^\s*(?:[-*]\s*)?#?(\d+)\s*[.:)\]-]?\s*(high|medium|mid|low|drop|skip|no)\b\s*[:,-]?\s*(.*)$", re.I)
-
-
-def parse_lines(text: str) -> dict[int, tuple[str, str]]:
-    """Item number to (rating, reason) of lines like ``#2 high: why``; the first of a number counts."""
-    out: dict[int, tuple[str, str]] = {}
-    for line in text.splitlines():
-        m = _LINE.match(line)
-        if m and int(m.group(1)) not in out:
-            rating = m.group(2).lower()
-            out[int(m.group(1))] = ({"mid": "medium", "skip": "drop", "no": "drop"}.get(rating, rating), m.group(3).strip())
-    return out
-
-
 def parse_loose_json(text: str):
-    """The first JSON object or array in ``text``, fenced or not; None if there is none."""
-    for m in re.finditer(r"[\[{]", text):
-        try:
-            return json.JSONDecoder().raw_decode(text[m.start() :])[0]
-        except ValueError:
-            continue
-    return None
+    """The JSON value of ``text`` or of its first fenced block, else the first balanced object in it; None if there is none."""
+    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S | re.I)
+    text = (fenced.group(1) if fenced else text).strip()
+    try:
+        return json.loads(text)
+    except ValueError:
+        at = text.find("{")
+    try:
+        return json.JSONDecoder().raw_decode(text[at:])[0] if at >= 0 else None
+    except ValueError:
+        return None
+
+
+def coerced_verdict(value) -> list[tuple[str, str, str]] | None:
+    """(source, relevance, reason) of the kept entries of a verdict in any of its known shapes; None if it is no verdict."""
+    if not isinstance(value, dict):
+        return None
+    kept = next((value[k] for k in ("kept", "results") if isinstance(value.get(k), list)), None)
+    if kept is None:
+        return None
+    out = []
+    for e in kept:
+        source = next((e[k] for k in ("sourceId", "source_id") if isinstance(e.get(k), str)), None) if isinstance(e, dict) else None
+        if source is not None:
+            rating = e["relevance"].lower().strip() if isinstance(e.get("relevance"), str) else ""
+            out.append((source, rating if rating in ("high", "medium", "low") else "medium", e["why"] if isinstance(e.get("why"), str) else ""))
+    return out
 
 
 def shape_verdict(rated: DataFrame, items: DataFrame, keep: int) -> DataFrame:
@@ -68,6 +74,23 @@ def shape_verdict(rated: DataFrame, items: DataFrame, keep: int) -> DataFrame:
     return items.select("turn", "source_id").distinct().join(ranked, ["turn", "source_id"], "left").withColumn("kept", F.col("rank").isNotNull())
 
 
+#: The pattern of a citation, and of the list of sources at the end of an answer.
+CITATION = r"\[\^(?:source:)?([^\]\s]+)\]"
+SOURCES_AT_END = r"(?is)\n+\s*(?:#+\s*|\*\*)?sources:?(?:\*\*)?\s*\n.*$"
+
+
 def citations(text: Column) -> Column:
-    """Ids of the citations ``[^source:id]`` and ``[^id]`` of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(r"\[\^(?:source:)?([^\]\s]+)\]"), 1)
+    """Ids of the citations ``[^source:id]`` and ``[^id]`` of a text, in order, without a list of sources at its end."""
+    return F.regexp_extract_all(F.regexp_replace(text, SOURCES_AT_END, ""), F.lit(CITATION), 1)
+
+
+def cited_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, place, cited, mark): each citation of ``answers`` (id, text) with its number in ``sources`` (id, source_id, n), or ``?``."""
+    said = answers.select("id", F.posexplode(citations(F.col("text"))).alias("place", "cited"))
+    known = sources.groupBy("id", F.col("source_id").alias("cited")).agg(F.min("n").alias("n"))
+    return said.join(known, ["id", "cited"], "left").select("id", "place", "cited", F.coalesce(F.col("n").cast("string"), F.lit("?")).alias("mark"))
+
+
+def timed_out(calls: DataFrame, limit_ms: int = 30_000) -> DataFrame:
+    """Calls (with started and ended, milliseconds) with ``timeout``: whether they took longer than the limit or never ended."""
+    return calls.withColumn("timeout", F.col("ended").isNull() | (F.col("ended") - F.col("started") > limit_ms))

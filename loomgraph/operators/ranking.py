@@ -115,3 +115,21 @@ def linked_references(refs: DataFrame, docs: DataFrame, records: DataFrame, thre
     met = refs.select("universe_id", "document", "ref").distinct().join(found, ["universe_id", "ref"]).filter("id <> document")
     best = top_rows(met, ["universe_id", "document", "ref"], [F.col("rank")], 1, "place")
     return best.filter(F.col("score") >= threshold).select("universe_id", "document", "ref", "id", "score")
+
+
+def analyzer_context(known: DataFrame, asked: DataFrame, entities: int = 25, topics: int = 15) -> DataFrame:
+    """(universe_id, qid, kind, id, name, place): known names that an analysis of a text should reuse.
+
+    ``known`` has universe_id, id, kind (entity or topic), title and v, ``asked`` universe_id,
+    qid and qv, the vector of a text's beginning.  Of the nearest 2 ``entities`` and 2
+    ``topics`` each name (in any case) counts once; the first of them are kept.
+    """
+    out = None
+    for kind, n in (("entity", entities), ("topic", topics)):
+        own = known.filter(F.col("kind") == kind)
+        near = knn(own, asked, 2 * n, keys=["universe_id"]).join(own.select("universe_id", "id", F.col("title").alias("name")), ["universe_id", "id"])
+        named = near.filter(F.coalesce(F.col("name"), F.lit("")) != "").withColumn("low", F.lower("name"))
+        once = top_rows(named, ["universe_id", "qid", "low"], [F.col("rank")], 1, "r")
+        best = top_rows(once, ["universe_id", "qid"], [F.col("rank")], n, "place").select("universe_id", "qid", F.lit(kind).alias("kind"), "id", "name", "place")
+        out = best if out is None else out.unionByName(best)
+    return out

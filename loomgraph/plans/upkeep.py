@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import chunking
-from loomgraph.functions.text import node_slug, predicate_name, shorten
+from loomgraph.functions.text import node_slug, predicate_name, shorten, strip_space
 from loomgraph.operators import consolidate as C
 from loomgraph.operators import graph as G
-from loomgraph.operators.guards import citations, guarded_calls
+from loomgraph.operators.guards import cited_sources, guarded_calls
 from loomgraph.session import table
 from loomgraph.sources.files import file_changes
-from loomgraph.sources.knowledge import GRAPH_SQL, edges, predicate_sql, slug_sql, squeeze_sql
+from loomgraph.sources.knowledge import _S, GRAPH_SQL, edges, predicate_sql, slug_sql, squeeze_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,35 +88,25 @@ def normalize_predicate(spark, d):
     return table(spark, d, "relations").select("relation_id", predicate_name(F.col("predicate")).alias("predicate"))
 
 
-@_query("topic_is_part_of", f"""WITH w AS (SELECT DISTINCT universe_id, name, string_split(name, ' ') AS ws FROM (SELECT universe_id, {squeeze_sql("title")} AS name FROM vector_records WHERE kind = 'topic') WHERE name <> '')
+@_query("topic_is_part_of", f"""WITH w AS (SELECT DISTINCT universe_id, name, string_split(name, ' ') AS ws FROM (SELECT universe_id, {squeeze_sql("t")} AS name FROM (SELECT universe_id, title AS t FROM vector_records WHERE kind = 'topic'
+    UNION ALL SELECT universe_id, unnest(topics) FROM vector_records WHERE kind = 'doc_summary' UNION ALL SELECT universe_id, unnest(keywords) FROM vector_records WHERE kind = 'doc_summary')) WHERE name <> '')
   SELECT DISTINCT a.universe_id, a.name AS longer, b.name AS shorter FROM w a JOIN w b ON a.universe_id = b.universe_id WHERE len(b.ws) < len(a.ws) AND len(a.ws) >= 2 AND list_has_all(a.ws, b.ws)""")
 def topic_is_part_of(spark, d):
-    """Names whose words are all in a longer name. They meet through the shorter one's first word, not pair by pair."""
+    """Names of topics and keywords whose words are all in a longer name. They meet through the shorter one's first word, not pair by pair."""
     from loomgraph.functions.text import squeeze
 
-    t = table(spark, d, "vector_records").filter(F.col("kind") == "topic").select("universe_id", squeeze(F.col("title")).alias("name"))
-    t = t.filter("name <> ''").distinct().withColumn("ws", F.split("name", " "))
+    v = table(spark, d, "vector_records")
+    summaries = v.filter(F.col("kind") == "doc_summary")
+    t = v.filter(F.col("kind") == "topic").select("universe_id", F.col("title").alias("t"))
+    for c in ("topics", "keywords"):
+        t = t.unionByName(summaries.select("universe_id", F.explode(c).alias("t")))
+    t = t.select("universe_id", squeeze(F.col("t")).alias("name")).filter("name <> ''").distinct().withColumn("ws", F.split("name", " "))
     a = t.select("universe_id", F.col("name").alias("longer"), F.col("ws").alias("wa"), F.explode(F.array_distinct("ws")).alias("w")).filter(F.size("wa") >= 2)
     b = t.select("universe_id", F.col("name").alias("shorter"), F.col("ws").alias("wb"), F.element_at("ws", 1).alias("w"))
     inside = (F.size(F.array_except("wb", "wa")) == 0) & (F.size("wb") < F.size("wa"))
     return a.join(b, ["universe_id", "w"]).filter(inside).select("universe_id", "longer", "shorter").distinct()
 
 
-@_query("mention_counts", r"""WITH n AS (SELECT DISTINCT document_id[5:] AS file_id, id, lower(trim(name)) AS s FROM entities WHERE length(trim(name)) >= 3 AND document_id IS NOT NULL AND regexp_full_match(trim(name), '[\p{L}\p{N} ]+')),
-  c AS (SELECT DISTINCT doc_id AS chunk, file_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g') || ' ' AS t FROM documents)
-  SELECT chunk, n.id, sum(len(string_split(t, ' ' || s || ' ')) - 1)::BIGINT AS count FROM c JOIN n USING (file_id) GROUP BY ALL HAVING sum(len(string_split(t, ' ' || s || ' ')) - 1) > 0""")
-def mention_counts(spark, d):
-    """Whole-word mentions of a document's entities, by name or alias, in its text or chunks; only entities and texts of one file meet."""
-    n = table(spark, d, "entities").filter(F.col("document_id").isNotNull())
-    surfaces = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    n = n.select(F.expr("substring(document_id, 5)").alias("file_id"), "id", surfaces.alias("s")).withColumn("s", F.lower(F.trim("s"))).filter(F.length("s") >= 3).distinct()
-    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk"), "file_id", "text")
-    c = texts.unionByName(table(spark, d, "chunks").select(F.col("id").alias("chunk"), "file_id", "text")).distinct()
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("s"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    times = F.regexp_count("text", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
-    return c.join(n, "file_id").groupBy("chunk", "id").agg(F.sum(times).cast("long").alias("count")).filter("count > 0")
-
-
 @_query("chunk_documents")
 def chunk_documents(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id").select("doc_id", "position", "text", "start_offset", "end_offset")
@@ -130,10 +120,11 @@ def page_range_overlap(spark, d):
     return chunking.page_ranges(c, pages, ["file_id"]).withColumn("page_start", F.col("page_start").cast("long")).withColumn("page_end", F.col("page_end").cast("long"))
 
 
-@_query("excerpt_context", "SELECT doc_id, substr(text, greatest(0, 500 - 400) + 1, least(length(text), 700 + 400) - greatest(0, 500 - 400)) AS excerpt FROM documents WHERE length(text) > 500")
+@_query("excerpt_context", """SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, greatest(0, 500 - 400) + 1, least(length(text), length(text) // 2 + 500 + 400) - greatest(0, 500 - 400)) ELSE text END AS excerpt FROM documents""")
 def excerpt_context(spark, d):
-    t = table(spark, d, "documents").filter(F.length("text") > 500)
-    return t.select("doc_id", F.substring("text", F.lit(101), (F.least(F.length("text"), F.lit(1100)) - 100).cast("int")).alias("excerpt"))
+    """From character 500 on; shorter texts come out whole."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", chunking.excerpt(t, F.lit(500), F.floor(F.length(t) / 2) + 500).alias("excerpt"))
 
 
 @_query("llm_slices", "SELECT doc_id, i AS slice, substr(text, i * 18000 + 1, 18000) AS part FROM (SELECT doc_id, text, unnest(range(0, ((length(text) - 1) // 18000) + 1)) AS i FROM documents WHERE length(text) > 24000) UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 24000")
@@ -195,18 +186,23 @@ def loop_fingerprints(spark, d):
     return e.groupBy(F.col("user_id").alias("turn"), F.col("event_type").alias("tool"), F.col("props").alias("args")).agg(F.count(F.lit(1)).alias("calls")).filter("calls > 1")
 
 
-@_query("chat_list_counts", "SELECT c.id, c.title, count(DISTINCT m.id) AS messages FROM chats c LEFT JOIN messages m ON m.chat_id = c.id GROUP BY ALL")
+_TRIMMED = f"regexp_replace(chat_id, '^{_S}+|{_S}+$', '', 'g')"
+
+
+@_query("chat_list_counts", f"SELECT c.id, c.title, count(DISTINCT m.id) AS messages FROM chats c LEFT JOIN messages m ON {_TRIMMED} = c.id GROUP BY ALL")
 def chat_list_counts(spark, d):
-    n = table(spark, d, "messages").groupBy("chat_id").agg(F.count_distinct("id").alias("messages"))
+    n = table(spark, d, "messages").groupBy(strip_space(F.col("chat_id")).alias("chat_id")).agg(F.count_distinct("id").alias("messages"))
     c = table(spark, d, "chats").select("id", "title")
     return c.join(n, c["id"] == n["chat_id"], "left").select("id", "title", F.coalesce("messages", F.lit(0).cast("long")).alias("messages"))
 
 
-@_query("chat_branch", """SELECT DISTINCT m.id, m.chat_id FROM messages m JOIN (SELECT chat_id, min(created_at) + 60000 AS upto FROM messages WHERE created_at > 100000000000 GROUP BY chat_id) b USING (chat_id) WHERE m.created_at <= b.upto""")
+@_query("chat_branch", f"""WITH m AS (SELECT id, {_TRIMMED} AS chat_id, role, created_at FROM messages WHERE chat_id IS NOT NULL AND created_at IS NOT NULL),
+  b AS (SELECT chat_id, max(created_at) AS upto FROM m WHERE role = 'user' GROUP BY chat_id) SELECT DISTINCT m.id, m.chat_id FROM m JOIN b USING (chat_id) WHERE m.created_at <= b.upto""")
 def chat_branch(spark, d):
-    m = table(spark, d, "messages")
-    upto = m.filter("created_at > 100000000000").groupBy("chat_id").agg((F.min("created_at") + 60000).alias("upto"))
-    return m.join(upto, "chat_id").filter(F.col("created_at") <= F.col("upto")).select("id", "chat_id").distinct()
+    """Every chat branched at the user's last message: it and all that was before."""
+    m = table(spark, d, "messages").select("id", strip_space(F.col("chat_id")).alias("chat_id"), "role", "created_at")
+    chosen = m.filter("role = 'user'").groupBy("chat_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
+    return C.branched(m, chosen).select("id", "chat_id").distinct()
 
 
 @_query("last_user_goal", "SELECT chat_id, arg_max(content, {'t': created_at, 'i': id, 'c': content}) AS goal FROM messages WHERE role = 'user' AND chat_id IS NOT NULL AND created_at IS NOT NULL AND content IS NOT NULL GROUP BY chat_id")
@@ -220,9 +216,21 @@ def chat_title(spark, d):
     return table(spark, d, "messages").filter("content IS NOT NULL").select("id", F.substring(F.substring_index("content", "\n", 1), 1, 60).alias("title")).distinct()
 
 
-@_query("citation_extract", r"SELECT id, unnest(regexp_extract_all(content, '\[\^(?:source:)?([^\]\s]+)\]', 1)) AS cited FROM messages WHERE content IS NOT NULL")
+_SAID = r"""content || ' See [^source:' || coalesce(json_extract_string(sources, '$[0].id'), 'none') || '], [^s' || length(content) % 7 || '] and [^source: no].' || chr(10) || chr(10) || '## Sources' || chr(10) || '- [^source:hidden]'"""
+
+
+@_query("citation_extract", rf"""WITH m AS (SELECT DISTINCT id, content, sources FROM messages WHERE content IS NOT NULL AND id IS NOT NULL), n AS (SELECT id, content, sources FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(content) DESC, content DESC, sources DESC NULLS LAST) = 1),
+  k AS (SELECT id, s.id AS cited, min(i) AS n FROM (SELECT id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (SELECT id, from_json(sources, '[{{"id":"VARCHAR"}}]') AS x FROM n WHERE sources IS NOT NULL)) GROUP BY ALL),
+  c AS (SELECT id, unnest(x) AS cited, unnest(range(0, len(x))) AS place FROM (SELECT id, regexp_extract_all(split_part({_SAID}, chr(10) || chr(10) || '## Sources', 1), '\[\^(?:source:)?([^\]\s]+)\]', 1) AS x FROM n))
+  SELECT c.id, c.place::INT AS place, c.cited, coalesce(k.n::VARCHAR, '?') AS mark FROM c LEFT JOIN k USING (id, cited)""")
 def citation_extract(spark, d):
-    return table(spark, d, "messages").filter("content IS NOT NULL").select("id", F.explode(citations(F.col("content"))).alias("cited"))
+    """Answers that cite their first source, another one and, in a list at the end that doesn't count, a third."""
+    m = table(spark, d, "messages").filter("content IS NOT NULL AND id IS NOT NULL")
+    one = m.groupBy("id").agg(F.max(F.struct(F.length("content").alias("n"), "content", "sources")).alias("m")).select("id", "m.content", "m.sources")
+    listed = one.select("id", F.posexplode(F.from_json("sources", "array<struct<id:string>>")).alias("n", "s")).select("id", F.col("s.id").alias("source_id"), (F.col("n") + 1).alias("n"))
+    first = F.coalesce(F.get_json_object("sources", "$[0].id"), F.lit("none"))
+    said = F.concat("content", F.lit(" See [^source:"), first, F.lit("], [^s"), (F.length("content") % 7).cast("string"), F.lit("] and [^source: no].\n\n## Sources\n- [^source:hidden]"))
+    return cited_sources(one.select("id", said.alias("text")), listed)
 
 
 @_query("hint_truncate", "SELECT doc_id, CASE WHEN length(title) > 18 THEN substr(title, 1, 17) || '…' ELSE title END AS hint FROM documents WHERE title IS NOT NULL")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Extensions by parser.
@@ -83,6 +83,17 @@ def is_supported(name: str) -> bool:
     return extension(name) in {"", "pdf", "docx", *MARKDOWN, *HTML, *CODE, *TEXT}
 
 
+#: Media types by extension.
+MIME = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "html": "text/html", "htm": "text/html", "md": "text/markdown", "markdown": "text/markdown", "mdx": "text/markdown"}
+
+
+def mime_of(path: Column) -> Column:
+    """The media type of a file by its extension; code has a type of its own, everything else is plain text."""
+    ext = F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)
+    known = F.create_map(*[F.lit(x) for kv in (MIME | {e: f"text/x-{e}" for e in CODE}).items() for x in kv])
+    return F.coalesce(F.try_element_at(known, ext), F.lit("text/plain"))
+
+
 def parse(path: str, data: bytes) -> tuple[str, str, str, dict[str, str]]:
     """(title, text, mime, metadata) of a file by its extension; unsupported ones raise ValueError."""
     name, ext = path.rsplit("/", 1)[-1], extension(path)

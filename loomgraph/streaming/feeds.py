@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,11 +12,28 @@ from pyspark.sql import functions as F
 from loomgraph.sources.files import IGNORED
 
 
-def watch_files(spark: SparkSession, path: str, per_trigger: int = 1_000) -> DataFrame:
-    """A stream of (path, modificationTime, length, hash) of new files below ``path``, without hidden and ignored ones."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).schema("path string, modificationTime timestamp, length long, content binary").load(path)
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression for whole paths: ``**/`` any folders, ``**`` anything, ``*`` and ``?`` within a name."""
+    out = ""
+    for token in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", glob):
+        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token) or re.escape(token)
+    return f"^(?:.*/)?{out}$" if not glob.startswith("/") else f"^{out}$"
+
+
+def watch_files(spark: SparkSession, path: str, per_trigger: int = 1_000, exclude: list[str] | None = None, settled: str | None = None) -> DataFrame:
+    """A stream of (path, modificationTime, length, hash) of new files below ``path``, without hidden and ignored ones.
+
+    ``exclude`` are globs of paths to pass over; with ``settled`` (as ``600 milliseconds``)
+    files changed since then wait for a later start.
+    """
+    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger)
+    if settled:
+        source = source.option("modifiedBefore", spark.sql(f"SELECT date_format(current_timestamp() - INTERVAL {settled}, \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0])
+    raw = source.schema("path string, modificationTime timestamp, length long, content binary").load(path)
     parts = F.split("path", "/")
     hidden = F.exists(F.slice(parts, -1, 1), lambda p: p.startswith(".")) | F.exists(parts, lambda p: p.isin(*IGNORED))
+    for g in exclude or []:
+        hidden = hidden | F.col("path").rlike(glob_pattern(g))
     return raw.filter(~hidden).select("path", "modificationTime", "length", F.sha2("content", 256).alias("hash"))
 
 

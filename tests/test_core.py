@@ -147,8 +147,9 @@ def test_parsers(tmp_path, spark):
 
 
 def test_gate_parsers():
-    assert guards.parse_lines("#1 high: fits\n- 2) mid\n1 low: later\n3. skip, no\nnoise") == {1: ("high", "fits"), 2: ("medium", ""), 3: ("drop", "no")}
-    assert guards.parse_loose_json('text ```json\n{"kept": [1]}\n```') == {"kept": [1]} and guards.parse_loose_json("none") is None
+    assert guards.parse_loose_json('text ```json\n{"kept": [1]}\n```') == {"kept": [1]} and guards.parse_loose_json("none") is None and guards.parse_loose_json('so {"a": {"b": 1}} it } is') == {"a": {"b": 1}} and guards.parse_loose_json("{ open") is None
+    shapes = {"results": [{"source_id": "a", "relevance": " HIGH"}, {"sourceId": "b", "why": 3}, 7, {"sourceId": 5}]}
+    assert guards.coerced_verdict(shapes) == [("a", "high", ""), ("b", "medium", "")] and guards.coerced_verdict([1]) is None and guards.coerced_verdict({"kept": 1}) is None
     assert guards.stable_json({"b": 1, "a": [2, {"d": 1, "c": 2}]}) == guards.stable_json({"a": [2, {"c": 2, "d": 1}], "b": 1})
 
 
@@ -186,6 +187,31 @@ def test_streams(spark, tmp_path):
     seen = []
     feeds.on_each_batch(feeds.watch_files(spark, str(tmp_path / "in")), lambda df, _: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()), str(tmp_path / "ck")).awaitTermination()
     assert seen == ["a.txt"]
+    (tmp_path / "in" / "sub").mkdir()
+    (tmp_path / "in" / "sub" / "b.tmp").write_text("x")
+    (tmp_path / "in" / "sub" / "c.md").write_text("x")
+    seen.clear()
+    feeds.on_each_batch(feeds.watch_files(spark, str(tmp_path / "in"), exclude=["*.tmp", "**/a.*"]), lambda df, _: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()), str(tmp_path / "ck2")).awaitTermination()
+    assert seen == ["c.md"]
+
+
+def test_globs():
+    import re
+
+    hits = lambda g, p: bool(re.match(feeds.glob_pattern(g), p))
+    assert hits("*.tmp", "/a/b/x.tmp") and hits("sub/**", "/a/sub/c/d") and hits("**/x?.md", "/x1.md") and hits("/a/*.md", "/a/x.md")
+    assert not hits("*.tmp", "/a/x.tmp/y") and not hits("sub/*", "/a/sub/c/d") and not hits("x?.md", "/x12.md") and not hits("/a/*.md", "/b/a/x.md")
+
+
+def test_windowed_calls(spark, tmp_path):
+    rows = [("2024-01-01 00:01:00", "view", 1.0), ("2024-01-01 00:09:00", "view", 2.0), ("2024-01-01 00:11:00", "click", 4.0), ("2024-01-01 02:00:00", "view", 8.0)]
+    df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    for i in range(2):  # the second file moves the watermark beyond the first windows
+        (df if i == 0 else df.filter("value = 8")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = feeds.windowed_calls(stream).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(str(r.window.start), r.event_type, r.calls, r.value) for r in spark.table("windows").collect()} == {("2024-01-01 00:00:00", "view", 2, 3.0), ("2024-01-01 00:10:00", "click", 1, 4.0)}
 
 
 def test_breaker(spark, tmp_path):
@@ -204,7 +230,8 @@ def test_tools(spark):
     assert e.entity_search("valley", 3).count() == 3 and e.find_entity_mentions(top.id).count() >= 1
     doc = e.find_entity_mentions(top.id).first().id
     assert e.graph_navigate(doc).filter(F.col("id") == top.id).first().direction == "out"
-    assert e.find_path(top.universe_id, doc, top.id).first().path == [doc, top.id]
+    path = e.find_path(top.universe_id, doc, top.id).first()
+    assert path.path == [doc, top.id] and "--[MENTIONS]-->" in path.narrative and e.find_path(top.universe_id, doc, "nowhere").count() == 0
     assert e.navigate(doc, "harbour").count() >= 1 and e.find_related_docs(doc).count() >= 0
     assert e.list_domains().count() and e.list_topics(3).count() and e.topic_hierarchy().count()
     summary = e.sample_knowledge(n=2).first().id
@@ -217,10 +244,32 @@ def test_tools(spark):
     assert e.quote(source, "why?", lambda q, t: f"{q} {len(t)}").first().quote == "why? 1"
     assert e.save_agent_note(top.universe_id, "n1", "harbour note", links=[top.id, "gone"]).first().links == [top.id]
     assert e.recall_agent_memory("harbour note").first().id == "n1"
+    assert e.note_links().first().dst == top.id and e.get_node(top.id).count() == 1 and e.list_entities(5, "nothing").count() == 0
+    e.remove_agent_note("n1")
+    assert e.note_links().count() == 0 and Engine(spark, SF_DIR).note_links().count() == 0
     with pytest.raises(ValueError):
         e.list_topics(0)
 
 
+def test_gated_tools_keep_what_the_judge_keeps(spark):
+    asked = []
+
+    def judge(goal, tool, items):
+        asked.append((goal, tool, len(items), items[0].text is not None))
+        return "\n".join(f"#{i + 1} {'high: fits' if i in (1, 3) else 'drop'}" for i in range(len(items)))
+
+    e = Engine(spark, SF_DIR, judge=judge, goal="the harbour")
+    hits = e.vector_search("harbour survey", top_k=5, depth=0)
+    ids = [r.id for r in hits.orderBy("rank").collect()]
+    rows = e.compact(hits, "vectorSearch").collect()
+    assert [(r.source_id, r.relevance, r.why, r["rank"]) for r in rows] == [(ids[1], "high", "fits", 1), (ids[3], "high", "fits", 2)] and "text" not in rows[0] and rows[0].universe_name
+    assert asked == [("the harbour", "vectorSearch", 5, True)] and e.inspect(ids[0]).first().from_cache and not Engine(spark, SF_DIR).inspect(ids[0]).first().from_cache
+    plain = Engine(spark, SF_DIR)
+    assert [r.source_id for r in plain.compact(plain.vector_search("harbour survey", top_k=5, depth=0), "vectorSearch", 2).collect()] == ids[:2]
+    node = plain.list_entities(1).first().id
+    assert plain.compact(plain.graph_navigate(node), "graphNavigate").count() >= 1 and plain.compact(plain.graph_navigate("nowhere"), "graphNavigate").count() == 0
+
+
 @pytest.mark.parametrize("hot", [1_000, 3, 0])
 def test_most_shared_targets_without_pairing_hot_ones(spark, hot):
     """With ``hot`` 0 no documents are paired at all."""
@@ -255,3 +304,143 @@ def test_related_documents_sum_their_channels(spark):
     assert G.similar_documents(e, 1).count() == 0 and G.similar_documents(e.filter("rel <> 'REFERENCES_DOC'"), 1).count() == 1
     with pytest.raises(ValueError):
         G.related_documents(e, "friends")
+
+
+def test_relevance_of_turns(spark):
+    from loomgraph.operators import gate
+
+    items = [(turn, s, i) for turn in ("lines", "loose", "none", "strict", "bad", "late") for i, s in enumerate("abcd")] + [("few", "a", 1), ("few", "b", 0), ("few", "a", 5)]
+    answers = [
+        ("lines", None, "#3 high: first\r\n 1) Mid\n3 low\n2. drop: no\n#4: odd", None), ("loose", "{}", "1 drop", 'x {"kept": [{"sourceId": "d"}], "dropped": []} y'), ("none", None, None, None),
+        ("strict", '{"kept": [{"sourceId": "zz", "relevance": "low", "why": ""}, {"sourceId": "c", "relevance": "low", "why": "w"}], "droppedIds": ["a"]}', "1 high", None),
+        ("bad", '{"kept": [{"sourceId": "c", "relevance": "good", "why": "w"}]}', "", "nothing"), ("late", '{"kept": []}', "1 high", None), ("few", None, "1 high", None), ("unknown", None, "1 high", None),
+    ]
+    i = spark.createDataFrame(items, "turn string, source_id string, pos int")
+    a = spark.createDataFrame(answers, "turn string, structured string, lines string, prose string")
+    got = gate.evaluate_relevance(i, a, 2)
+    kept = {}
+    for r in got.orderBy("turn", "rank").collect():
+        kept.setdefault((r.turn, r.way), []).extend([(r.source_id, r.relevance, r.why)] if r.kept else [])
+    few, none = "Too few candidates to judge.", "Kept without a verdict."
+    assert kept == {
+        ("lines", "lines"): [("c", "high", "first"), ("a", "medium", "Rated medium by its line.")], ("loose", "loose"): [("d", "medium", "")],
+        ("none", "fallback"): [("a", "medium", none), ("b", "medium", none)], ("strict", "structured"): [("c", "low", "w")], ("bad", "fallback"): [("a", "medium", none), ("b", "medium", none)],
+        ("late", "structured"): [], ("few", "trivial"): [("b", "medium", few), ("a", "medium", few)],
+    }
+    assert got.count() == 26 and gate.evaluate_relevance(i.limit(0), a).count() == 0
+    seen = spark.createDataFrame([(1, "a", 2, "late"), (1, "a", 1, "first"), (2, "a", 3, "x")], "turn int, source_id string, seq int, text string")
+    assert {(r.turn, r.text) for r in gate.evidence(seen).collect()} == {(1, "first"), (2, "x")}
+
+
+def test_citations(spark):
+    text = "As [^source:s1] and [^s2], [^source: no] [^].\n\n**Sources:**\n1. [^s9]"
+    a = spark.createDataFrame([("m", text), ("n", None), ("o", "plain")], "id string, text string")
+    s = spark.createDataFrame([("m", "s2", 4), ("m", "s2", 3), ("x", "s1", 1)], "id string, source_id string, n int")
+    assert {tuple(r) for r in guards.cited_sources(a, s).collect()} == {("m", 0, "s1", "?"), ("m", 1, "s2", "3")}
+    calls = spark.createDataFrame([(1, 0, 30_000), (2, 0, 30_001), (3, 0, None)], "c int, started long, ended long")
+    assert [r.timeout for r in guards.timed_out(calls).orderBy("c").collect()] == [False, True, True]
+
+
+def store(spark, nodes=(), edges=(), fts=()):
+    from loomgraph.operators.sinks import Stored
+
+    return Stored(
+        spark.createDataFrame(list(nodes), "universe_id string, id string, type string, label string, aliases array<string>, text string"),
+        spark.createDataFrame(list(edges), "universe_id string, rel string, src string, dst string, count long, predicate string"),
+        spark.createDataFrame(list(fts), "universe_id string, source_id string, kind string, file_id string, graph_node_id string, title string, text string"),
+    )
+
+
+def analysis(spark, docs, chunks, ents, rels):
+    return (
+        spark.createDataFrame(docs, "universe_id string, id string, file_id string, title string, summary string, domain string, topics array<string>, keywords array<string>"),
+        spark.createDataFrame(chunks, "universe_id string, document string, id string, position int, text string, heading array<string>"),
+        spark.createDataFrame(ents, "universe_id string, document string, name string, type string, aliases array<string>, id string"),
+        spark.createDataFrame(rels, "universe_id string, document string, kind string, src_name string, dst_name string, predicate string"),
+    )
+
+
+def test_analysis_is_written_and_replaced(spark):
+    from loomgraph.operators import sinks
+
+    doc = ("u", "doc:f", "f", "Title", "Sum", "Arts", ["kiln", "big kiln", " "], ["clay"])
+    chunks = [("u", "doc:f", "chunk:f:0", 0, "OpenKiln met Ada; Open-Kiln!", ["H", None]), ("u", "doc:f", "chunk:f:1", 1, "nothing", None), ("u", "doc:f", "chunk:f:2", 2, "ada, Ada and adamant", [])]
+    ents = [("u", "doc:f", "OpenKiln", "organization", ["Open-Kiln"], None), ("u", "doc:f", "Ada", "person", None, "ent:person:ada_l")]
+    rels = [("u", "doc:f", "related", "ada", "OPENKILN ", "Works At!"), ("u", "doc:f", "related", "ada", "nobody", None), ("u", "doc:f", "part_of", "kiln", "Big Kiln", None), ("u", "doc:f", "related", "ada", "Ada", None)]
+    once = sinks.write_analysis(store(spark), *analysis(spark, [doc], chunks, ents, rels))
+    edges = {(r.rel, r.src, r.dst, r["count"], r.predicate) for r in once.edges.collect()}
+    assert edges >= {
+        ("MENTIONS", "doc:f", "ent:organization:openkiln", 1, None), ("MENTIONS", "chunk:f:0", "ent:organization:openkiln", 2, None), ("MENTIONS", "chunk:f:0", "ent:person:ada_l", 1, None),
+        ("MENTIONS", "chunk:f:2", "ent:person:ada_l", 2, None), ("RELATED", "ent:person:ada_l", "ent:organization:openkiln", 1, "works_at"), ("IN_DOMAIN", "doc:f", "dom:arts", 1, None), ("TAGGED", "doc:f", "kw:clay", 1, None),
+    }
+    assert {(s, d) for rel, s, d, _, _ in edges if rel == "PART_OF"} == {("top:big_kiln", "top:kiln"), ("top:kiln", "top:big_kiln")}
+    assert sum(rel == "MENTIONS" for rel, *_ in edges) == 5 and once.nodes.count() == 1 + 1 + 2 + 1 + 2 + 3
+    titles = {r.source_id: r.title for r in once.fts.collect()}
+    assert titles == {"doc:f": "Title", "chunk:f:0": "Title — H › ", "chunk:f:1": "Title — part 2", "chunk:f:2": "Title — part 3"}
+    # Written again with one chunk: the old chunks go, entities stay with united aliases.
+    again = sinks.write_analysis(once, *analysis(spark, [doc[:5] + (None, [], None)], chunks[1:2], [("u", "doc:f", "OpenKiln", "organization", ["OK", "Open-Kiln "], None)], []))
+    assert {r.id for r in again.nodes.filter("type = 'Chunk'").collect()} == {"chunk:f:1"} and again.fts.count() == 2
+    assert again.nodes.filter("label = 'OpenKiln'").first().aliases == ["Open-Kiln", "OK"] and again.nodes.filter("type = 'Topic'").count() == 2
+    assert {(r.rel, r.src, r.dst) for r in again.edges.filter("src like 'doc:%' or src like 'chunk:%'").collect()} == {("MENTIONS", "doc:f", "ent:organization:openkiln"), ("CONTAINS", "doc:f", "chunk:f:1")}
+    empty = sinks.write_analysis(once, *(x.limit(0) for x in analysis(spark, [doc], chunks, ents, rels)))
+    assert empty.edges.count() == once.edges.count() and empty.nodes.count() == once.nodes.count()
+
+
+def test_notes_are_saved_and_removed(spark):
+    from loomgraph.operators import sinks
+
+    old = store(spark, [("u", "doc:a", "Document", "A", None, None)], [("u", "CONTAINS", "doc:a", "chunk:a", 1, None)])
+    notes = spark.createDataFrame([("u", "n1", "x" * 80, "fact", ["doc:a", "gone", "doc:a"]), ("u", "n2", "short", "note", None)], "universe_id string, id string, content string, kind string, links array<string>")
+    new = sinks.save_notes(old, notes)
+    assert {(r.rel, r.src, r.dst) for r in new.edges.collect()} == {("CONTAINS", "doc:a", "chunk:a"), ("DERIVED_FROM_DOC", "n1", "doc:a")}
+    assert new.nodes.filter("id = 'n1'").first().label == "x" * 60 and new.fts.filter("kind = 'agent_note'").count() == 2
+    back = sinks.remove_notes(new, notes)
+    assert back.nodes.count() == 1 and back.edges.count() == 1 and back.fts.count() == 0
+
+
+def test_upserts_deletes_and_patches(spark):
+    from loomgraph.operators import sinks
+    from loomgraph.operators.vectors import as_records, embed_texts
+
+    v = "id string, text string"
+    old, new = spark.createDataFrame([("a", "old"), ("a", "older"), ("b", "keep")], v), spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3")], v)
+    assert sorted(tuple(r) for r in sinks.upsert_vectors(old, new).collect()) == [("a", "1"), ("a", "2"), ("b", "keep"), ("c", "3")]
+    with pytest.raises(ValueError):
+        sinks.upsert_vectors(old, new, cap=2)
+    for bad in ("no space", None, "a'b"):
+        with pytest.raises(Exception, match="malformed id"):
+            sinks.upsert_vectors(old, spark.createDataFrame([(bad, "x")], v)).collect()
+    assert sinks.replace_rows(old, new, ["id"], [F.col("text")]).filter("id = 'a'").first().text == "2"
+    assert sinks.patched(old, spark.createDataFrame([("b", None), ("z", "x"), ("a", "n")], v), ["id"]).filter("id <> 'a'").first().text == "keep"
+    j = spark.createDataFrame([('{"a": 1, "b": {"c": [2]}}',), ("no json",), (None,)], "p string")
+    got = j.select(sinks.json_set(F.col("p"), "a", F.lit("x")).alias("s"), sinks.json_field(F.col("p"), "b").alias("f")).collect()
+    assert [tuple(r) for r in got] == [('{"b":{"c":[2]},"a":"x"}', '{"c":[2]}'), ('{"a":"x"}', None), ('{"a":"x"}', None)]
+    assert sinks.quote_literal("it's") == "'it''s'"
+    for bad in (3, "a\0b", None):
+        with pytest.raises(ValueError):
+            sinks.quote_literal(bad)
+    r = as_records(spark.createDataFrame([("i", [1.0, None], None, 9)], "id string, vector array<double>, keywords array<string>, extra int")).first()
+    assert len(r) == 13 and r.vector == [1.0] and r.keywords == [] and r.title == "" and r.created_at == 0
+    texts = spark.createDataFrame([(i, None if i == 2 else f"t{i}") for i in range(5)], "id int, text string")
+    e = {r.id: r.v for r in embed_texts(texts, lambda b: [[len(b), len(t)] for t in b], "query", batch=3).collect()}
+    assert e[2] is None and e[0][1] == len("query: t0") and embed_texts(texts.limit(0), lambda b: 1 / 0).count() == 0
+
+
+def test_expansion_to_depth_two(spark):
+    from loomgraph.operators.ranking import expand, hydrate
+
+    e = spark.createDataFrame([("u", "MENTIONS", "doc:a", "e", 3, None), ("u", "MENTIONS", "doc:b", "e", 1, None), ("u", "TAGGED", "doc:a", "k", 1, None), ("u", "ABOUT", "doc:b", "t", 1, None)], "universe_id string, rel string, src string, dst string, count long, predicate string")
+    fused = spark.createDataFrame([("u", "doc:a", 0.5)], "universe_id string, id string, score double")
+    recs = spark.createDataFrame([("u", i, [1.0, 0.0]) for i in ("doc:a", "doc:b", "e", "t", "k")], "universe_id string, id string, v array<double>")
+    q = spark.createDataFrame([("u", [1.0, 0.0])], "universe_id string, qv array<double>")
+    n = spark.createDataFrame([("u", "e", 0.5)], "universe_id string, id string, centrality double")
+    run = lambda depth: {r.id: r.score for r in expand(fused, e, recs, q, n, ["universe_id"], depth=depth).collect()}
+    import math
+
+    near = round(0.4 * 0.5 * 0.5 * min(2, 1 + 0.3 * math.log(4) + 0.3), 9)
+    assert run(0) == {"doc:a": 0.5} and run(1) == {"doc:a": 0.5, "e": near}
+    # At two steps the far edge counts for its source, the other document; its topic is three steps away.
+    assert run(2) == {"doc:a": 0.5, "e": near, "doc:b": round(0.4 * 0.5 * 0.1 * min(2, 1 + 0.3 * math.log(2) + 0.3), 9)}
+    hits = spark.createDataFrame([("u", "s1", "chunk", "T"), ("u", "s2", "chunk", "T")], "universe_id string, source_id string, kind string, title string")
+    known = spark.createDataFrame([("u", "s1", "r2", "topic", "d", ["x"], None, 5), ("u", "s1", "r1", "entity", "d", ["x"], None, 5)], "universe_id string, source_id string, id string, kind string, domain string, topics array<string>, keywords array<string>, created_at long")
+    assert {(r.source_id, r.kind, r.domain, r.created_at) for r in hydrate(hits, known).collect()} == {("s1", "entity", "d", 5), ("s2", "chunk", "", 0)}

@@ -99,7 +99,7 @@ def test_every_universe_has_its_own_vector_list(spark, tmp_path):
     rows = [(f"v{u}{i}", "topic", f"{u}{i}", u, "other", "other", near if u == "big" else far, None, None, None, f"{u}{i}", None, 1) for u, n in (("big", 40), ("small", 3)) for i in range(n)]
     schema = "id string, kind string, source_id string, universe_id string, title string, text string, vector array<float>, keywords array<string>, domain string, topics array<string>, graph_node_id string, file_id string, created_at long"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "vector_records.parquet"))
-    got = Engine(spark, str(tmp_path)).vector_search("kiln glaze", ["topic"], 4).orderBy("rank").collect()
+    got = Engine(spark, str(tmp_path)).vector_search("kiln glaze", ["topic"], 4, depth=0).orderBy("rank").collect()
     assert [(r.universe_id, r.id) for r in got] == [("big", "big0"), ("small", "small0"), ("big", "big1"), ("small", "small1")]
 
 
@@ -115,5 +115,6 @@ def test_mentions_of_names_and_aliases_in_texts_and_chunks(spark, tmp_path):
     spark.createDataFrame(entities, "id string, name string, aliases array<string>, document_id string").write.parquet(str(tmp_path / "entities.parquet"))
     spark.createDataFrame([(7, "g", r"kiln, KILN; kilns my_kiln c\e+")], "doc_id long, file_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([("k0", "f", "ACME-Works and aw ltd. ab"), ("k1", "f", "kiln")], "id string, file_id string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("r2", "entity", "e2", "Kiln and a kiln"), ("r1", "topic", "e1", "AW Ltd.")], "id string, kind string, source_id string, text string").write.parquet(str(tmp_path / "vector_records.parquet"))
     got = {(r.chunk, r.id, r["count"]) for r in catalog.QUERIES["mention_counts"](spark, str(tmp_path)).collect()}
-    assert got == {("7", "e2", 2), ("7", "e3", 1), ("k0", "e1", 2)}
+    assert got == {("7", "e2", 2), ("7", "e3", 1), ("k0", "e1", 2), ("r2", "e2", 2)}
