@@ -32,7 +32,7 @@ def latest_parent(links: DataFrame, group: str, child: str, parent: str, order:
     kept = kept.filter(F.col("node").isNotNull() & F.col("parent").isNotNull() & (F.col("node") != F.col("parent")))
     rank = [f"_o{i}" for i in range(len(order))]
     # max() of a struct ranks nulls lowest; among equal ranks min() of the parent decides.
-    best = cut(kept.groupBy("g", "node", "parent").agg(F.max(F.struct(*rank)).alias("_r")))
+    best = cut(kept.groupBy("g", "node", "parent").agg(F.max(F.struct(*(rank or [F.lit(0).alias("_o")]))).alias("_r")))
     top = best.groupBy("g", "node").agg(F.max("_r").alias("_m"))
     same = best.withColumnRenamed("g", "_g").withColumnRenamed("node", "_n")
     chosen = (
