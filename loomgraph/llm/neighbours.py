@@ -184,7 +184,7 @@ class Shard:
         mix = np.random.default_rng(len(first)).permutation(len(first))
         place = np.empty_like(mix)
         place[mix] = np.arange(len(mix))
-        which = place[which]
+        self.which = which = place[which]
         self.exact = unit(self.raw[first[mix]])
         self.members = np.argsort(which, kind="stable")  # by distinct vector, then id
         self.count = np.bincount(which, minlength=len(first))
@@ -196,40 +196,60 @@ class Shard:
             self.graph = Graph(x32[:0])
             self.graph.x, self.graph.edges, self.graph.entries = x32, edges.reshape(-1, DEGREE), entries
 
-    def nearest(self, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, member, similarity): the k nearest members of each of ``ids``, itself excluded, equal ones by id."""
+    def nearest(self, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, member, similarity): the k nearest members of each member, itself excluded, equal ones by id.
+
+        What a search finds counts both ways, so a node that no edge leads to is found by those near it.
+        """
+        n = len(self.exact)
+        row, node, sim = self._candidates(self.exact, least, BEAM // 2)
+        row, node, sim = np.concatenate([row, node]), np.concatenate([node, row]), np.concatenate([sim, sim])
+        _, once = np.unique(row * n + node, return_index=True)
+        row, node, sim = row[once], node[once], sim[once]
+        order = np.lexsort((-sim, row))
+        row, node, sim = row[order], node[order], sim[order]
+        keep = places(row, n)[1] < 2 * k + 2
+        return self._rows(self.ids, self.which, n, *self._expanded(row[keep], node[keep], sim[keep], n, k), k)
+
+    def visited(self, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the vectors ``x`` of ``ids``, which may be members."""
         first, which = folded(x)
-        q = unit(x[first])
-        lists = [self._lists(q[lo : lo + 1_024], lo, k, least) for lo in range(0, len(q), 1_024)]
-        asked, member, sim = (np.concatenate([y[i] for y in lists]) for i in range(3))
-        # One list of k + 1 for each distinct query; each row takes it without itself.
-        size = np.bincount(asked, minlength=len(q))
+        return self._rows(ids, which, len(first), *self._expanded(*self._candidates(unit(x[first]), least, 2 * k + 2), len(first), k), k)
+
+    def _candidates(self, q: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, exact similarity) of the ``most`` nearest nodes that a search finds, nearest first."""
+        out = []
+        for lo in range(0, len(q), 1_024):
+            x = q[lo : lo + 1_024]
+            found, _ = self.graph.search(x.astype(np.float32), max(BEAM, most))
+            sims = np.einsum("ij,ikj->ik", x, self.exact[np.maximum(found, 0)])
+            sims[found < 0] = -np.inf
+            at, sims = top_columns(sims, most)
+            row, col = np.nonzero(np.isfinite(sims) & (sims >= least))
+            out.append((row + lo, np.take_along_axis(found, at, 1)[row, col].astype(np.int64), sims[row, col]))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+    def _expanded(self, row: np.ndarray, node: np.ndarray, sim: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes as their members: of each query the first k + 1 by similarity, then id."""
+        several = np.minimum(self.count[node], k + 1)
+        step = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+        row, sim, member = np.repeat(row, several), np.repeat(sim, several), self.members[np.repeat(self.begin[node], several) + step]
+        order = np.lexsort((member, -sim, row))
+        row, sim, member = row[order], sim[order], member[order]
+        keep = places(row, n)[1] <= k
+        return row[keep], member[keep], sim[keep]
+
+    def _rows(self, ids: np.ndarray, which: np.ndarray, n: int, asked: np.ndarray, member: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The list of each distinct query for every row that asks it, without the row itself."""
+        size = np.bincount(asked, minlength=n)
         begin, times = np.cumsum(size) - size, size[which]
         row = np.repeat(np.arange(len(ids)), times)
         at = np.repeat(begin[which], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
         other = self.ids[member[at]] != ids[row]
         row, at = row[other], at[other]
-        _, place = places(row, len(ids))
-        keep = place < k
+        keep = places(row, len(ids))[1] < k
         return row[keep], member[at[keep]], sim[at[keep]]
 
-    def _lists(self, q: np.ndarray, base: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found, _ = self.graph.search(q.astype(np.float32), max(BEAM, 2 * k + 2))
-        sims = np.einsum("ij,ikj->ik", q, self.exact[np.maximum(found, 0)])
-        sims[found < 0] = -np.inf
-        at, sims = top_columns(sims, 2 * k + 2)
-        found = np.take_along_axis(found, at, 1)
-        row, col = np.nonzero((found >= 0) & (sims >= least))
-        node, sim = found[row, col], sims[row, col]
-        several = np.minimum(self.count[node], k + 1)
-        step = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
-        row, sim, member = np.repeat(row, several), np.repeat(sim, several), self.members[np.repeat(self.begin[node], several) + step]
-        order = np.lexsort((member, -sim, row))
-        row, sim, member = row[order], sim[order], member[order]
-        _, place = places(row, len(q))
-        keep = place <= k
-        return row[keep] + base, member[keep], sim[keep]
-
 
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = np.array(t["id"].to_pylist(), dtype=object)
@@ -239,8 +259,8 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = "id string, other_id string, similarity double"
 
 
-def _answers(shard: Shard, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> pa.Table:
-    a, b, s = shard.nearest(ids, x, k, least)
+def _answers(shard: Shard, ids: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    a, b, s = found
     return pa.table({"id": pa.array(ids[a], pa.string()), "other_id": pa.array(shard.ids[b], pa.string()), "similarity": pa.array(s, pa.float64())})
 
 
@@ -362,7 +382,9 @@ def _large_groups(joined: DataFrame, shard: int, probes: int | None, k: int, lea
             return pa.table({"id": pa.array([], pa.string()), "other_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
         nodes = np.array(g["ids"][0].as_py(), dtype=object)
         x, edges, entries = (np.frombuffer(g[c][0].as_py(), dtype=d) for c, d in (("x", np.float32), ("edges", np.int32), ("entries", np.int64)))
-        return _answers(Shard(nodes, x.reshape(len(nodes), -1), edges, entries), *_columns(t), k, least)
+        s = Shard(nodes, x.reshape(len(nodes), -1), edges, entries)
+        ids, own = _columns(t)
+        return _answers(s, ids, s.visited(ids, own, k, least))
 
     return visits.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(visit, _FOUND)
 
@@ -388,8 +410,8 @@ def nearest_records(records: DataFrame, k: int = 5, least: float = -1.0, dim: in
     total = big.agg(F.sum("cells")).first()[0] or 0
 
     def whole(t: pa.Table) -> pa.Table:
-        ids, x = _columns(t)
-        return _answers(Shard(ids, x), ids, x, k, least)
+        s = Shard(*_columns(t))
+        return _answers(s, s.ids, s.nearest(k, least))
 
     if not total:
         found = keyed.groupBy("g").applyInArrow(whole, _FOUND)

@@ -128,9 +128,9 @@ def recall(x, found, k=5):
 def test_graph_of_a_shard_recall():
     x = clustered(3_000)
     ids = np.array([f"v{i:04d}" for i in range(len(x))], dtype=object)
-    a, b, s = neighbours.Shard(ids, x).nearest(ids, x, 5, -1.0)
+    a, b, s = neighbours.Shard(ids, x).nearest(5, -1.0)
     assert recall(neighbours.unit(x), set(zip(a.tolist(), b.tolist()))) >= 0.95 and len(a) == 5 * len(x)
-    few = neighbours.Shard(ids[:40], x[:40]).nearest(ids[:40], x[:40], 5, -1.0)
+    few = neighbours.Shard(ids[:40], x[:40]).nearest(5, -1.0)
     assert recall(neighbours.unit(x[:40]), set(zip(few[0].tolist(), few[1].tolist()))) == 1.0
 
 
@@ -140,9 +140,11 @@ def test_copies_are_folded_and_rank_by_id():
     ids = np.array([f"c{i:05d}" for i in range(len(many))], dtype=object)
     shard = neighbours.Shard(ids, many)
     assert len(shard.graph.x) == 200
-    a, b, s = shard.nearest(ids, many, 5, -1.0)
+    a, b, s = shard.nearest(5, -1.0)
     assert [int(y) for y in b[a == 3]] == [0, 1, 2, 4, 5] and [int(y) for y in b[a == 4_000]] == [0, 1, 2, 3, 4] and np.allclose(s[a == 3], 1)
     assert np.bincount(a, minlength=len(ids)).min() == 5
+    a, b, s = shard.visited(ids[2:5], many[2:5], 5, -1.0)
+    assert [int(y) for y in b[a == 1]] == [0, 1, 2, 4, 5]
 
 
 @pytest.mark.parametrize("shard, cells", [(400, 8), (46, 66)])
