@@ -3,8 +3,9 @@
 UTF-8 bytes read as a one-byte encoding leave sequences of characters that, written in that
 encoding, are valid UTF-8 again.  A candidate is the text after a chain of one or two such
 repairs.  Its description length is the smallest size that zstandard gives with one of the
-per-language dictionaries, plus a cost for every character outside the languages' alphabet,
-plus a cost for each link of the chain.  The shortest description wins, and the search goes
+per-language dictionaries, plus a cost for every character outside the languages' alphabet
+and for every seam that running text hardly has (a sign right behind a letter outside ASCII or
+another kind of sign, or two scripts in one word), plus a cost for each link of the chain.  The shortest description wins, and the search goes
 on from it until nothing is gained; a text that no chain shortens stays as it is.
 """
 
@@ -27,6 +28,10 @@ TYPOGRAPHY = "“”‘’„‚–—…«»‹›€£°·•§±×≈≥≤
 #: Bytes that a link of the chain costs, bytes for each letter of another script, and for each
 #: other character outside the alphabet (accented capitals that the samples lack among them).
 LINK_COST, LETTER_COST, ODD_COST = 2, 1, 2.5
+#: Bytes for each seam.
+SEAM_COST = 4
+#: Symbols that stand side by side (arrows, mathematics, boxes, pictures), Latin letters, letters of other scripts.
+SYMBOLS, LATIN, OTHERS = "\u2190-\u2bff\U0001f000-\U0001faff", "A-Za-z\u00c0-\u024f", "\u0370-\u1fff"
 #: Most repairs of one text.
 ROUNDS = 4
 
@@ -78,6 +83,8 @@ class Restorer:
             words = zstandard.ZstdCompressionDict("\n".join(texts).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers.append(zstandard.ZstdCompressor(level=6, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
         self.odd = re.compile("[^\x00-\x7f]")
+        sign = rf"[^\x00-\x7f\w\s{SYMBOLS}]"
+        self.seam = re.compile(rf"(?<=[^\x00-\x7f]){sign}|(?<=[^\x00-\x7f{SYMBOLS}])[{SYMBOLS}]|(?<=[{OTHERS}])[{LATIN}]|(?<=[{LATIN}])[{OTHERS}]")
 
     def cost(self, c: str) -> float:
         """What a character costs beside its share of the packed bytes."""
@@ -89,7 +96,7 @@ class Restorer:
     def length(self, text: str) -> float:
         data = text.encode("utf-8", "surrogatepass")
         odd = sum(self.cost(c) for c in self.odd.findall(text))
-        return min(len(p.compress(data)) for p in self.packers) + odd
+        return min(len(p.compress(data)) for p in self.packers) + odd + SEAM_COST * len(self.seam.findall(text))
 
     def restore(self, text: str) -> str:
         """``text`` with what was misread put right, or ``text`` itself."""
