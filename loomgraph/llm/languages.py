@@ -24,6 +24,8 @@ from loomgraph.functions.text import strip_space
 RUN_CHARS, MIN_LETTERS = 120, 40
 #: Log-likelihood that a further language of a text, and a change between units, has to gain.
 LANGUAGE_COST, CHANGE_COST = 12.0, 6.0
+#: The language of a text in letters that the samples don't have.
+UNKNOWN = "und"
 #: Labels of the languages.
 LABELS = {
     "en": ["en", "eng", "english", "englisch", "anglais", "inglés"],
@@ -160,7 +162,14 @@ def likeliest_path(ll: np.ndarray) -> np.ndarray:
 
 
 def detect(model: LetterModel, text: str) -> tuple[list[tuple[str, float]], list[tuple[int, int, str, float]]]:
-    """((language, confidence) of the text, (start, end, language, confidence) of its segments)."""
+    """((language, confidence) of the text, (start, end, language, confidence) of its segments).
+
+    A text most of whose letters occur in no sample is UNKNOWN, with their share as confidence.
+    """
+    strange = sum(map(str.isalpha, filter(lambda c: c > "\u024f", text)))
+    if strange and strange > (known := int(np.count_nonzero(model.codes(text)))):
+        share = strange / (strange + known)
+        return [(UNKNOWN, share)], [(0, len(text), UNKNOWN, share)]
     ends = units_of(text)
     ll = model.scores(text, ends)
     keep = sorted(language_set(ll))
@@ -186,8 +195,9 @@ def detect_languages(df: DataFrame, samples: DataFrame, key: str = "id", text: s
     ``samples`` (lang, text) is a small, fixed table.  Offsets count characters.
 
     Defined cases: null texts and texts of fewer than 40 letters give no row; repeated rows
-    and null keys are kept; very long texts are read whole; without samples there are no
-    rows; other columns are ignored.
+    and null keys are kept; very long texts are read whole; a text in letters unknown to the
+    samples has the language UNKNOWN; without samples there are no rows; other columns are
+    ignored.
     """
     known = [(r.lang, r.text) for r in samples.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").collect()]
     kind = df.schema[key].dataType.simpleString()
@@ -223,7 +233,7 @@ def p5_found(spark, sf_dir):
     items = _items(spark, sf_dir).withColumn("key", F.struct("item_id", "labelled", label_language(F.col("lang")).alias("label")))
     found = detect_languages(items, table(spark, sf_dir, "lang_samples"), "key").select("key.*", F.col("langs.lang").alias("langs"))
     wrong = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
-    return found.filter(~F.col("labelled") | wrong).select("item_id", F.explode("langs").alias("lang")).distinct()
+    return found.filter(~F.col("labelled") | wrong).select("item_id", F.explode("langs").alias("lang")).filter(F.col("lang") != UNKNOWN).distinct()
 
 
 def p5_segments(spark, sf_dir):

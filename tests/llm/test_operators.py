@@ -217,6 +217,15 @@ def test_mixed_and_quoted_languages(spark, samples, sample_rows):
     assert languages.detect_languages(df.limit(0), samples).count() == 0 and languages.detect_languages(df, samples.limit(0)).count() == 0
 
 
+def test_unknown_scripts(sample_rows):
+    model = languages.LetterModel(sample_rows)
+    text = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива. OK"
+    langs, segments = languages.detect(model, text)
+    assert langs[0][0] == languages.UNKNOWN and langs[0][1] > 0.9 and segments == [(0, len(text), languages.UNKNOWN, langs[0][1])]
+    english = next(t for x, t in sample_rows if x == "en")
+    assert [x for x, _ in languages.detect(model, english + " Добрый вечер")[0]] == ["en"]
+
+
 def test_labels(spark):
     names = ["EN", "deu", "fr-FR", "Spanish", " pt_BR ", "und", "", None, "??", "Nederlands"]
     df = spark.createDataFrame([(n,) for n in names], "l string")
