@@ -140,10 +140,10 @@ _SUMMARIES = """latest AS (SELECT * FROM vector_records WHERE kind = 'doc_summar
 summaries AS (SELECT universe_id, source_id AS id, title, text, vector, topics, domain, keywords FROM latest QUALIFY row_number() OVER (PARTITION BY universe_id, source_id ORDER BY created_at DESC, latest.id DESC) = 1)"""
 
 
-def _hashed_sql(texts: str) -> str:
+def _hashed_sql(texts: str, space: str = r"\s") -> str:
     """(t, dim, val) of the column t of ``texts``: :func:`hashed_embedding` without its length."""
     return f"""SELECT t, ('0x' || h[1:2])::INT % 64 + 1 AS dim, sum(CASE WHEN ('0x' || h[3:4])::INT % 2 = 1 THEN 1.0 ELSE -1.0 END) AS val
-  FROM (SELECT t, sha256(w) AS h FROM (SELECT t, unnest(string_split_regex(lower(trim(t)), '\\s+')) AS w FROM {texts}) WHERE w <> '') GROUP BY ALL"""
+  FROM (SELECT t, sha256(w) AS h FROM (SELECT t, unnest(string_split_regex(lower(trim(t)), '{space}+')) AS w FROM {texts}) WHERE w <> '') GROUP BY ALL"""
 
 
 def _newest_summaries(spark, d):

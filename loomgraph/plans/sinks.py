@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import chunking
-from loomgraph.functions.text import file_id_of, for_match, found_at, merged_aliases, strip_space, vector_id
+from loomgraph.functions.text import file_id_of, found_at, is_blank, merged_aliases, vector_id
 from loomgraph.operators import graph as G
 from loomgraph.operators import sinks as S
 from loomgraph.operators.vectors import as_records, by_source_id, sample_random, vector_filter
 from loomgraph.plans.graph import _MAP, _same_names
+from loomgraph.plans.retrieval import _OK, _hashed_sql
 from loomgraph.session import table
 from loomgraph.sources.files import mime_of
-from loomgraph.sources.knowledge import _S, GRAPH_SQL, edges, latest_vectors, nodes, predicate_sql, slug_sql, squeeze_sql
+from loomgraph.sources.knowledge import _S, GRAPH_SQL, edges, latest_vectors, nodes, predicate_sql, slug_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -310,7 +311,14 @@ def save_agent_notes(spark, d):
     return S.save_notes(old, _notes(spark, d)).edges.filter("rel = 'DERIVED_FROM_DOC'").select("universe_id", "rel", "src", "dst")
 
 
-@_query("analyzer_context")
+@_query("analyzer_context", f"""WITH asked AS (SELECT universe_id, doc_id::VARCHAR AS qid, coalesce(title, '') || chr(10) || chr(10) || substr(coalesce(text, ''), 1, 1500) AS t FROM documents WHERE doc_id % 50 = 0),
+  known AS (SELECT * FROM vector_records WHERE kind IN ('entity', 'topic') QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, kind DESC, source_id DESC, universe_id DESC, title DESC, text DESC) = 1),
+  usable AS (SELECT universe_id, id, kind, title, vector, sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS size FROM known WHERE {_OK}),
+  h AS MATERIALIZED ({_hashed_sql("(SELECT DISTINCT t FROM asked)", _S)}),
+  s AS (SELECT universe_id, qid, kind, id, title, round(sum(val * vector[dim]::DOUBLE) / sqrt(sum(val * val)) / any_value(size), 9) AS score FROM asked JOIN h USING (t) JOIN usable USING (universe_id) GROUP BY ALL),
+  n AS (SELECT *, row_number() OVER (PARTITION BY universe_id, qid, kind ORDER BY score DESC NULLS LAST, id) AS rank FROM s QUALIFY rank <= CASE kind WHEN 'entity' THEN 50 ELSE 30 END),
+  o AS (SELECT * FROM n WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY universe_id, qid, kind, lower(title) ORDER BY rank) = 1)
+  SELECT universe_id, qid, kind, id, title AS name, row_number() OVER (PARTITION BY universe_id, qid, kind ORDER BY rank)::INT AS place FROM o QUALIFY place <= CASE kind WHEN 'entity' THEN 25 ELSE 15 END""")
 def analyzer_context(spark, d):
     """For every document whose doc_id is divisible by 50 the known entities and topics of its universe that are nearest to its beginning."""
     from loomgraph.engine import hashed_embedding
@@ -319,9 +327,6 @@ def analyzer_context(spark, d):
 
     docs = table(spark, d, "documents").filter(F.col("doc_id") % 50 == 0).select("universe_id", F.col("doc_id").cast("string").alias("qid"), "title", "text")
     previews = docs.select("universe_id", "qid", F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 1500)).alias("preview"))
-    asked = previews.select("universe_id", "qid", F.udf(hashed_embedding, "array<double>", useArrow=True)("preview").alias("qv"))
+    asked = previews.filter(~is_blank(F.col("preview"))).select("universe_id", "qid", F.udf(hashed_embedding, "array<double>", useArrow=True)("preview").alias("qv"))
     known = latest_vectors(spark, d, "entity", "topic").filter(usable(F.col("vector"))).select("universe_id", "id", "kind", "title", F.col("vector").alias("v"))
     return context(known, asked)
-
-
-__all__ = ["QUERIES", "ORACLES", "squeeze_sql", "for_match", "strip_space"]

@@ -444,3 +444,24 @@ def test_expansion_to_depth_two(spark):
     hits = spark.createDataFrame([("u", "s1", "chunk", "T"), ("u", "s2", "chunk", "T")], "universe_id string, source_id string, kind string, title string")
     known = spark.createDataFrame([("u", "s1", "r2", "topic", "d", ["x"], None, 5), ("u", "s1", "r1", "entity", "d", ["x"], None, 5)], "universe_id string, source_id string, id string, kind string, domain string, topics array<string>, keywords array<string>, created_at long")
     assert {(r.source_id, r.kind, r.domain, r.created_at) for r in hydrate(hits, known).collect()} == {("s1", "entity", "d", 5), ("s2", "chunk", "", 0)}
+
+
+def test_samples_against_brute_force(spark):
+    import numpy as np
+
+    from loomgraph.operators.vectors import sample_diverse, sample_random, sample_recent
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    rows = [("u", f"r{i:02d}", int(i * 37 % 60), x[i].tolist()) for i in range(60)] + [("w", "only", 1, x[0].tolist())]
+    df = spark.createDataFrame(rows, "k string, id string, created_at long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [0]
+    while len(want) < 6:  # of the first 30, each the one whose nearest chosen one is farthest
+        want.append(min((i for i in range(30) if i not in want), key=lambda i: (max(u[i] @ u[j] for j in want), i)))
+    got = sample_diverse(df, 6, ["k"]).orderBy("turn").collect()
+    assert [int(r.id[1:]) for r in got if r.k == "u"] == want and [r.id for r in got if r.k == "w"] == ["only"]
+    recent = [r.id for r in sample_recent(df.filter("k = 'u'"), 4, ["k"]).orderBy("rank").collect()]
+    assert recent == sorted((f"r{i:02d}" for i in range(8)), key=lambda s: -(int(s[1:]) * 37 % 60))[:4]
+    drawn = {r.id for r in sample_random(df, 4, ["k"], 1).filter("k = 'u'").collect()}
+    assert len(drawn) == 4 and drawn <= {f"r{i:02d}" for i in range(8)} and drawn == {r.id for r in sample_random(df, 4, ["k"], 1).filter("k = 'u'").collect()}
