@@ -11,6 +11,8 @@ from loomgraph.operators.graph import top_rows
 from loomgraph.session import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Terms of all queries that are sent as a list; more are joined.
+LISTED_TERMS = 2_000
 
 
 def _accents() -> tuple[str, str]:
@@ -51,22 +53,28 @@ def query_units(queries: DataFrame) -> DataFrame:
     return words.groupBy("qid", F.array_join("tokens", " ").alias("unit"), "tokens").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(docs: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, keys: list[str], wanted: DataFrame | list[str] | None = None) -> DataFrame:
     """(keys, id, kind, len, term, pos): one row for each token, and one with a null term for each document.
 
-    With ``wanted`` (term) only those terms are kept.  Written once, it serves statistics and
+    With ``wanted`` (a frame with term, or a short list) only those terms are kept; those of a
+    list leave the texts before anything is exploded.  Written once, it serves statistics and
     hits of any number of searches; the texts are tokenised once.  A position between title
     and text is left out, so no phrase crosses it.
     """
-    title, text = terms(F.col("title")), terms(F.col("text"))
-    own = docs.select(*keys, "id", "kind", title.alias("t1"), text.alias("t2"))
-    tokens = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("pos"))),
-        F.transform("t1", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))),
-        F.transform("t2", lambda t, i: F.struct(t.alias("term"), (i + F.size("t1") + 1).alias("pos"))),
-    )
+    own = docs.select(*keys, "id", "kind", terms(F.col("title")).alias("t1"), terms(F.col("text")).alias("t2"))
+
+    def placed(c: str, after: Column) -> Column:
+        row = lambda t, i: F.struct(t.alias("term"), (i + after).alias("pos"))
+        if isinstance(wanted, list):
+            return F.array_compact(F.transform(c, lambda t, i: F.when(t.isin(*wanted), row(t, i))))
+        return F.transform(c, row)
+
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("pos")))
+    tokens = F.concat(marker, placed("t1", F.lit(0)), placed("t2", F.size("t1") + 1))
     rows = own.select(*keys, "id", "kind", (F.size("t1") + F.size("t2")).alias("len"), F.explode(tokens).alias("p")).select(*keys, "id", "kind", "len", "p.term", "p.pos")
-    return rows if wanted is None else rows.join(wanted.withColumn("_w", F.lit(True)), "term", "left").filter(F.col("_w") | F.col("term").isNull()).drop("_w")
+    if wanted is None or isinstance(wanted, list):
+        return rows
+    return rows.join(wanted.withColumn("_w", F.lit(True)), "term", "left").filter(F.col("_w") | F.col("term").isNull()).drop("_w")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None, kinds: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -79,8 +87,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None,
     """
     keys = [group] if group else []
     q = query_units(queries)
-    wanted = q.select(F.explode("tokens").alias("term")).distinct()
-    post = cut(postings(docs, keys, wanted)) if index is None else index
+    post = index
+    if index is None:
+        wanted = q.select(F.explode("tokens").alias("term")).distinct()
+        few = [r.term for r in wanted.limit(LISTED_TERMS + 1).collect()]
+        post = cut(postings(docs, keys, few if len(few) <= LISTED_TERMS else wanted))
     stats = post.filter(F.col("term").isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     units = q.select("unit", "tokens").distinct()
     hits = post.filter(F.col("term").isNotNull())

@@ -8,6 +8,7 @@ from loomgraph.engine import hashed_embedding
 from loomgraph.operators import graph as G
 from loomgraph.operators.ranking import across_universes, best_sources, expand, hybrid_search, linked_references, rrf
 from loomgraph.operators.search import bm25, match_expression
+from loomgraph.operators.skew import sent_if_small
 from loomgraph.operators.vectors import knn, running_mean, sample_diverse, sample_recent, usable
 from loomgraph.session import table
 from loomgraph.sources.knowledge import GRAPH_SQL, edges, latest_vectors, nodes
@@ -130,7 +131,7 @@ def rrf_hybrid(spark, d):
     """Every text query with every asked vector (``vid``)."""
     asked, vectors = _asked(spark), _asked_vectors(spark, d)
     vec = knn(_vectors(spark, d), vectors, 20).withColumnRenamed("qid", "vid").crossJoin(F.broadcast(asked.select("qid")))
-    fts = bm25(_docs(spark, d), asked, 20).crossJoin(F.broadcast(vectors.select(F.col("qid").alias("vid"))))
+    fts = bm25(_docs(spark, d), asked, 20).crossJoin(sent_if_small(vectors.select(F.col("qid").alias("vid"))))
     return rrf([vec, fts], ["qid", "vid"], 10).select("qid", "vid", "id", "score", "rank")
 
 
