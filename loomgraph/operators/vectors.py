@@ -34,17 +34,97 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return cosine(a, b) if metric == "cosine" else dot(a, b)
 
 
+#: Query vectors that are sent to the tasks as a matrix; more are joined.
+MATRIX_QUERIES = 20_000
+#: Scores of one batch that are held at once.
+BLOCK_SCORES = 4_000_000
+
+
 def knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", keys: list[str] | None = None, digits: int = 9) -> DataFrame:
     """(keys, qid, id, score, rank): the k nearest records of each query, equal scores by id.
 
-    ``queries`` (qid, qv, keys) is a stated set.  A small one, as checked, is sent to all
-    tasks; the records are scanned once and only k rows for each query and task are shuffled.
+    ``queries`` (qid, qv, keys) is a stated set.  Up to MATRIX_QUERIES, as checked, are sent to
+    all tasks as matrices, which batches of records are multiplied with; the records are
+    scanned once and only k rows for each query and batch are shuffled.  More queries are
+    joined.  A similarity that can't be told (a null, or the cosine of a zero vector) is null
+    and ranks last.
     """
     keys = keys or []
+    asked = queries.select(*keys, "qid", "qv").limit(MATRIX_QUERIES + 1).toArrow()
+    order = [F.desc("score"), F.col("id")]
+    if asked.num_rows <= MATRIX_QUERIES:
+        types = [(c, queries.schema[c].dataType.simpleString()) for c in [*keys, "qid"]] + [("id", records.schema["id"].dataType.simpleString()), ("score", "double")]
+        near = records.select(*keys, "id", "v").mapInArrow(_nearest_in_batches(asked, k, metric, keys, digits), ", ".join(f"`{c}` {t}" for c, t in types))
+        return top_rows(near, [*keys, "qid"], order, k)
     score = F.round(similarity(F.col("v"), F.col("qv"), metric), digits).alias("score")
     q = sent_if_small(queries)
     pairs = records.join(q, keys) if keys else records.crossJoin(q)
-    return top_rows(pairs.select(*keys, "qid", "id", score), [*keys, "qid"], [F.desc("score"), F.col("id")], k)
+    return top_rows(pairs.select(*keys, "qid", "id", score), [*keys, "qid"], order, k)
+
+
+def _nearest_in_batches(asked, k: int, metric: str, keys: list[str], digits: int):
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``width`` numbers, NaN where one is null; which rows have that length)."""
+        size = np.asarray(column.value_lengths().fill_null(-1))
+        width = int(size.max(initial=0)) if width is None else width
+        fits = size == width
+        flat = column.filter(pa.array(fits)).flatten().cast(pa.float64())
+        return np.asarray(flat.fill_null(np.nan)).reshape(int(fits.sum()), width), fits
+
+    def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            if metric == "l2":
+                return 1.0 - np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)
+            s = x @ y.T
+            if metric == "cosine":
+                s = s / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+            return np.where(np.isfinite(s), s, np.nan)
+
+    def run(batches):
+        of: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(asked[c].to_pylist() for c in keys)) if keys else [()] * asked.num_rows):
+            of.setdefault(key, []).append(i)
+        qv, whole = matrix(asked["qv"].combine_chunks())
+        if not whole.all():
+            raise ValueError("all query vectors need the same length")
+        names = [*keys, "qid", "id", "score"]
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            rank = np.empty(len(ids), dtype=np.int64)
+            rank[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))] = np.arange(len(ids))
+            x, fits = matrix(b.column("v"), qv.shape[1])
+            at = np.full(len(ids), -1)
+            at[fits] = np.arange(len(x))
+            rows_of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys)) if keys else [()] * len(ids)):
+                if key in of:
+                    rows_of.setdefault(key, []).append(i)
+            for key, rows in rows_of.items():
+                rows = np.array(rows)
+                q = np.array(of[key])
+                step = max(1, BLOCK_SCORES // len(rows))
+                for lo in range(0, len(q), step):
+                    some = q[lo : lo + step]
+                    s = np.full((len(some), len(rows)), np.nan)
+                    known = at[rows] >= 0
+                    s[:, known] = np.round(scores(qv[some], x[at[rows[known]]]), digits)
+                    low = np.where(np.isnan(s), -np.inf, s)
+                    least = -np.partition(-low, min(k, len(rows)) - 1, axis=1)[:, [min(k, len(rows)) - 1]]
+                    r, c = np.nonzero(low >= least)
+                    order = np.lexsort((rank[rows[c]], -low[r, c], r))
+                    r, c = r[order], c[order]
+                    count = np.bincount(r, minlength=len(some))
+                    keep = np.arange(len(r)) - (np.cumsum(count) - count)[r] < k
+                    r, c = r[keep], c[keep]
+                    v = s[r, c]
+                    take = pa.array(rows[c])
+                    cols = [b.column(n).take(take) for n in keys] + [asked["qid"].combine_chunks().take(pa.array(some[r])), b.column("id").take(take), pa.array(v, pa.float64(), mask=np.isnan(v))]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
 
 
 def running_mean(old: Column, new: Column, keep: float = 0.6) -> Column:

@@ -465,3 +465,19 @@ def test_samples_against_brute_force(spark):
     assert recent == sorted((f"r{i:02d}" for i in range(8)), key=lambda s: -(int(s[1:]) * 37 % 60))[:4]
     drawn = {r.id for r in sample_random(df, 4, ["k"], 1).filter("k = 'u'").collect()}
     assert len(drawn) == 4 and drawn <= {f"r{i:02d}" for i in range(8)} and drawn == {r.id for r in sample_random(df, 4, ["k"], 1).filter("k = 'u'").collect()}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_nearest_by_matrix_and_by_join(spark, metric, monkeypatch):
+    """Both ways agree, with keys, ties, zero vectors, nulls and other lengths."""
+    from loomgraph.operators import vectors as V
+
+    rows = [("u" if i % 3 else "w", f"r{i:02d}", [float(i % 5), 1.0 + i % 2]) for i in range(40)] + [("u", "zero", [0.0, 0.0]), ("u", "none", None), ("u", "hole", [None, 1.0]), (None, "x", [1.0, 1.0])]
+    rec = spark.createDataFrame(rows, "g string, id string, v array<double>")
+    asked = spark.createDataFrame([("u", 1, [1.0, 0.5]), ("w", 1, [0.0, 1.0]), ("w", 2, [2.0, 1.0]), ("z", 3, [1.0, 1.0])], "g string, qid int, qv array<double>")
+    get = lambda k: sorted(map(tuple, V.knn(rec, asked, k, metric, ["g"]).select("g", "qid", "rank", "id", "score").collect()))
+    plain = lambda k: sorted(map(tuple, V.knn(rec.drop("g"), asked.drop("g").filter("qid <> 1"), k, metric).select("qid", "rank", "id", "score").collect()))
+    found = [get(7), get(60), plain(7)]
+    monkeypatch.setattr(V, "MATRIX_QUERIES", 0)
+    assert [get(7), get(60), plain(7)] == found and len(found[0]) == 21
+    assert V.knn(rec.limit(0), asked, 3, metric, ["g"]).count() == 0 and V.knn(rec, asked.limit(0), 3, metric, ["g"]).count() == 0
