@@ -109,7 +109,7 @@ def linked_references(refs: DataFrame, docs: DataFrame, records: DataFrame, thre
     kept if it scores at least ``threshold``.
     """
     asked = refs.groupBy("universe_id", F.col("ref").alias("qid")).agg(F.first("qv").alias("qv"))
-    fts = bm25(docs, asked.select("qid", F.col("qid").alias("query")).distinct(), top, group="universe_id").join(asked.drop("qv"), ["universe_id", "qid"], "left_semi")
+    fts = bm25(docs, asked.select("universe_id", "qid", F.col("qid").alias("query")), top, group="universe_id")
     vec = knn(records, asked, top, keys=["universe_id"])
     found = rrf([fts, vec], ["universe_id", "qid"], 2 * top).withColumnRenamed("qid", "ref")
     met = refs.select("universe_id", "document", "ref").distinct().join(found, ["universe_id", "ref"]).filter("id <> document")

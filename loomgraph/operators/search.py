@@ -43,14 +43,14 @@ def match_expression(c: Column) -> Column:
     return F.array_join(F.transform(sanitize_query(c), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
 
 
-def query_units(queries: DataFrame) -> DataFrame:
-    """(qid, unit, tokens, times): the words of each query with their tokens.
+def query_units(queries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, qid, unit, tokens, times): the words of each query with their tokens.
 
     A word of several tokens, as ``a/b``, is a phrase; one without tokens matches nothing; a
     repeated word counts as often as it is asked.
     """
-    words = queries.select("qid", F.explode(sanitize_query(F.col("query"))).alias("w")).select("qid", terms(F.col("w")).alias("tokens")).filter(F.size("tokens") > 0)
-    return words.groupBy("qid", F.array_join("tokens", " ").alias("unit"), "tokens").agg(F.count(F.lit(1)).alias("times"))
+    words = queries.select(*keys, "qid", F.explode(sanitize_query(F.col("query"))).alias("w")).select(*keys, "qid", terms(F.col("w")).alias("tokens")).filter(F.size("tokens") > 0)
+    return words.groupBy(*keys, "qid", F.array_join("tokens", " ").alias("unit"), "tokens").agg(F.count(F.lit(1)).alias("times"))
 
 
 def postings(docs: DataFrame, keys: list[str], wanted: DataFrame | list[str] | None = None) -> DataFrame:
@@ -81,12 +81,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None,
     """(``group``, qid, id, score, rank): the k best documents of each query.
 
     ``docs`` has id, title, text, kind (and ``group``: statistics are per group), ``queries``
-    qid and query.  Statistics cover all documents; ``kinds`` filters the hits only.  Only
+    qid and query, and ``group`` if a query is asked in one group only.  Statistics cover all documents; ``kinds`` filters the hits only.  Only
     the terms of the queries leave the scan: the corpus isn't shuffled.  ``index`` is a written
     :func:`postings` in place of ``docs``.
     """
     keys = [group] if group else []
-    q = query_units(queries)
+    own = [c for c in keys if c in queries.columns]
+    q = query_units(queries, own)
     post = index
     if index is None:
         wanted = q.select(F.explode("tokens").alias("term")).distinct()
@@ -108,7 +109,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None,
     joined = tf.join(rare, [*keys, "unit"])
     if kinds:
         joined = joined.filter(F.col("kind").isin(*kinds))
-    scored = joined.withColumn("s", weight).join(q.select("qid", "unit", "times"), "unit").groupBy(*keys, "qid", "id").agg(F.round(F.sum(F.col("s") * F.col("times")), 6).alias("score"))
+    scored = joined.withColumn("s", weight).join(q.select(*own, "qid", "unit", "times"), [*own, "unit"]).groupBy(*keys, "qid", "id").agg(F.round(F.sum(F.col("s") * F.col("times")), 6).alias("score"))
     return top_rows(scored, [*keys, "qid"], [F.desc("score"), F.col("id")], k)
 
 
