@@ -314,7 +314,9 @@ def split_files(spark: SparkSession, paths: str | list[str], max_chars: int = MA
                     table = range_table(body + halo, before, len(body), ends, max_chars, overlap)
                     yield pd.DataFrame([(r.d, r.no // BLOCK_RANGES, r.no, len(body), *table)], columns=_COLUMNS)
 
-    made = cut(plan.repartition("d", "no").mapInPandas(tables, _TABLE).withColumnRenamed("size", "size_"))
+    # The rows are few and small but each stands for a range to read, so the number of tasks is stated.
+    tasks = max(1, min(plan.count(), 4 * spark.sparkContext.defaultParallelism))
+    made = cut(plan.repartition(tasks).mapInPandas(tables, _TABLE).withColumnRenamed("size", "size_"))
     return pieces_of(made, max_chars, overlap).select(F.col("d").alias("path"), "piece_no", F.col("s").alias("piece_start"), F.col("e").alias("piece_end"))
 
 
