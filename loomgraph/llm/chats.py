@@ -1,9 +1,9 @@
 """Rebuilding conversations from message rows.
 
-Messages are cleaned and put in order, broken chats are dropped, and within the rest each
-message chooses its likeliest parent among the messages before it, by time, mentions,
-lexical overlap and speaker roles.  The reply links form trees (pointer doubling), and a chat
-whose messages don't hang together in one tree is not a conversation.
+Messages are cleaned and put in order, and broken chats are dropped; that alone decides which
+rows there are.  Within the rest each message chooses its likeliest parent among the messages
+before it, by time, mentions, lexical overlap and speaker roles.  The reply links form trees
+(pointer doubling), which give each message its depth or its thread.
 """
 
 from __future__ import annotations
@@ -117,6 +117,9 @@ def reply_links(ordered: DataFrame, candidates: int = CANDIDATES, new_thread_bel
 def conversations(messages: DataFrame, chats: DataFrame, candidates: int = CANDIDATES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``chat_id``, ``message_id``, ``turn`` long, ``role``, ``parent_id``, ``depth`` int of whole conversations.
 
+    The rows are those of :func:`ordered_chats`.  Uncut links always go to some message before,
+    so a chat is one tree below its first message and the links can drop nothing.
+
     Defined cases: rows without chat are ignored; rows of one id are one message, the longest;
     an unknown role, a null time, a null id, a chat not in ``chats`` or a null or blank text of
     a speaker drops the chat; equal times are ordered by role, then id; very long texts are
@@ -125,17 +128,10 @@ def conversations(messages: DataFrame, chats: DataFrame, candidates: int = CANDI
     ordered = cut(ordered_chats(messages, chats))
     links = cut(reply_links(ordered, candidates))
     trees = build_hierarchy(links.filter(F.col("parent").isNotNull()), "chat_id", "id", "parent", hot_rows=hot_rows)
-    # A chat is one conversation if all its messages hang below its first one.
-    below = trees.select(F.col("chat_id").alias("c"), F.col("node").alias("n"), "root", "depth")
-    placed = links.join(below, (F.col("chat_id") == F.col("c")) & (F.col("id") == F.col("n")), "left").withColumn("root", F.coalesce("root", "id"))
-    first = links.filter(F.col("turn") == 1).select("chat_id", F.col("id").alias("first"))
-    strays = (
-        placed.groupBy("chat_id").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .join(first, "chat_id").filter((F.col("low") != F.col("first")) | (F.col("high") != F.col("first"))).select("chat_id")
-    )
-    kept = lookup_join(placed.drop("c", "n", "root", "score"), strays, ["chat_id"], "left_anti", hot_rows=hot_rows)
+    below = trees.select(F.col("chat_id").alias("c"), F.col("node").alias("n"), "depth")
+    placed = links.join(below, (F.col("chat_id") == F.col("c")) & (F.col("id") == F.col("n")), "left").drop("c", "n")
     roles = ordered.select(F.col("chat_id").alias("c"), F.col("turn").alias("t"), "role")
-    return kept.join(roles, (F.col("chat_id") == F.col("c")) & (F.col("turn") == F.col("t"))).select(
+    return placed.join(roles, (F.col("chat_id") == F.col("c")) & (F.col("turn") == F.col("t"))).select(
         "chat_id", F.col("id").alias("message_id"), "turn", "role", F.col("parent").alias("parent_id"), F.coalesce("depth", F.lit(0)).alias("depth")
     )
 
@@ -154,9 +150,10 @@ def threads(ordered: DataFrame, new_thread_below: float = THREAD_SCORE, candidat
 
 
 def p6_found(spark, sf_dir):
+    """The rows of whole conversations: order and roles decide them, so no links are made."""
     from loomgraph.session import table
 
-    return conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "chats")).select("chat_id", "message_id", "turn")
+    return ordered_chats(table(spark, sf_dir, "messages"), table(spark, sf_dir, "chats")).select("chat_id", F.col("id").alias("message_id"), "turn")
 
 
 def p6_replies(spark, sf_dir):

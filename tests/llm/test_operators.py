@@ -263,6 +263,19 @@ def test_blank_unknown_and_empty_chats(spark):
     assert talk(spark, [good[1]]) == [] and talk(spark, [("s", "c", "system", "only", 1)]) == []
 
 
+def test_links_decide_parent_and_depth_but_no_rows(spark, monkeypatch):
+    m, c = table(spark, SF_DIR, "messages"), table(spark, SF_DIR, "chats")
+    rows = lambda df: sorted(tuple(r) for r in df.select("chat_id", "message_id", "turn").collect())
+    linked = chats.conversations(m, c)
+    want, links = rows(linked), chats.reply_links
+    assert want and linked.filter("depth > 0 AND parent_id IS NOT NULL").count() == linked.filter("turn > 1").count()
+    monkeypatch.setattr(chats, "reply_links", lambda ordered, candidates: links(ordered, candidates, new_thread_below=9.0))
+    apart = chats.conversations(m, c)
+    assert rows(apart) == want and apart.filter("depth > 0 OR parent_id IS NOT NULL").count() == 0
+    monkeypatch.setattr(chats, "reply_links", None)  # nothing that p6_found leaves out is computed for it
+    assert rows(chats.p6_found(spark, SF_DIR)) == want
+
+
 def test_interleaved_threads_separate(spark):
     rows = [("1", "ch", "user", "kiln glaze temperature", 0, 1), ("2", "ch", "user", "harbour ferry timetable", 1_000, 2), ("3", "ch", "assistant", "the kiln glaze temperature is 900", 60_000, 3), ("4", "ch", "assistant", "see 2 : ferry timetable harbour", 61_000, 4)]
     df = spark.createDataFrame(rows, "id string, chat_id string, role string, content string, at long, turn long")
